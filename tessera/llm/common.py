@@ -117,3 +117,33 @@ class Forest:
             return False
         self.up[max(a, b)] = min(a, b)
         return True
+
+
+def runs(batches, keys: list[int]):
+    """Consecutive rows with equal values in the (integer) columns ``keys``, as record batches, across batches.
+
+    The rows must come sorted by those columns.
+    """
+    held: list[pa.RecordBatch] = []
+    value = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            now = tuple(c[a] for c in columns)
+            if now != value and held:
+                yield _one(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            value = now
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, digests, langid, mixing, warc
+from . import bpe, chat, counts, digests, langid, mixing, ngram_join, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def mixing_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -62,6 +66,7 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": ngram_jaccard_join,
         "op2_mixing_entropy_balance": mixing_entropy_balance,
         "op4_chat_round_trip": chat_round_trip,
         "op5_byte_bpe": byte_bpe,
