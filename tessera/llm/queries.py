@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, digests, langid, mixing, ngram_join, warc
+from . import bpe, chat, counts, digests, langid, mixing, neardup, ngram_join, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -64,6 +64,10 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard_join,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc_normaliser": warc_normaliser,
         "op8_language_id": language_id,
         "op9_document_fingerprints": document_fingerprints,
+        "op10_embedding_near_dedup": embedding_near_dedup,
     }
 
 
