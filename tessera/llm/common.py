@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +148,10 @@ def runs(batches, keys: list[int]):
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table in the shared checkpoint folder: for many narrow rows, which it packs better than ``cut``."""
+    place = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -123,7 +123,7 @@ def copies(rates: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """id_col, source, size, source_size, target, rate, copies, taken (words, repeats counted) and row_key of every document."""
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # in code point order, null last
-    rows = docs.select(F.col(id_col), F.col("source"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(id_col, "text").alias("row_key"))
+    rows = docs.select(F.col(id_col), F.col("source"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(id_col, "text", "source").alias("row_key"))
     rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("row_key", F.lit(3)), F.lit(SALTS)).cast("int")))
     cells = cut(rows.groupBy("src", "size", "salt").agg(F.count("*").alias("n")))
     strata = cut(cells.groupBy("src", "size").agg(F.sum("n").alias("n")))

@@ -208,7 +208,7 @@ def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """id_col, class_id, n_links and row_key of every row of ``docs``."""
+    """id_col, class_id, n_links of every row of ``docs``, with row_key (a hash of id and text) and class_key (that of the class's first row)."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), text.alias("text"))
@@ -227,11 +227,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     met = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     links = cut(met.mapInArrow(_exact(threshold), "node bigint, links bigint, to bigint"))
     parts = components(links.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    whole = parts.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id"))
-    by_node = parts.join(whole, "component").select("node", "class_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row_key")).alias("first")
+    whole = parts.join(classes.select("node", "id", "row_key"), "node").groupBy("component").agg(first)
+    by_node = parts.join(cut(whole), "component").select("node", F.col("first.id").alias("class_id"), F.col("first.row_key").alias("class_key"))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(by_node, "node", "left").join(counted, "node", "left")
-    known = cut(known.select("d1", "d2", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    alone = sketched.where("n = 0").select("id", "row_key", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    joined = sketched.where("n > 0").select("id", "row_key", "d1", "d2").join(known, ["d1", "d2"]).select("id", "row_key", "class_id", "n_links")
-    return joined.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", "row_key")
+    known = cut(known.select("d1", "d2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_key", "row_key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    alone = sketched.where("n = 0").select("id", "row_key", F.col("id").alias("class_id"), F.col("row_key").alias("class_key"), F.lit(0).cast("bigint").alias("n_links"))
+    joined = sketched.where("n > 0").select("id", "row_key", "d1", "d2").join(known, ["d1", "d2"]).select("id", "row_key", "class_id", "class_key", "n_links")
+    return joined.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", "row_key", "class_key")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, digests, langid, mixing, neardup, ngram_join, warc
+from . import bpe, chat, counts, digests, langid, mixing, neardup, ngram_join, suffixdedup, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_table(spark, sf_dir, "documents")).drop("row_key")
+    return ngram_join.join(_table(spark, sf_dir, "documents")).drop("row_key", "class_key")
 
 
 def mixing_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def mixing_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard_join,
         "op2_mixing_entropy_balance": mixing_entropy_balance,
+        "op3_suffix_array_dedup": suffix_array_dedup,
         "op4_chat_round_trip": chat_round_trip,
         "op5_byte_bpe": byte_bpe,
         "op6_token_counts": token_counts,
