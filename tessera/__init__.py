@@ -1,0 +1 @@
+"""Retrieval analytics over document and source-code corpora on the PySpark DataFrame API."""
