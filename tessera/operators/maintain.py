@@ -132,7 +132,7 @@ class Generations:
         """Write a generation that isn't live; an empty one is refused."""
         name = f"generation-{uuid.uuid4().hex}"
         index.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}")
-        if self.spark.read.parquet(f"{self.folder}/{name}").isEmpty():
+        if self.spark.read.schema(index.schema).parquet(f"{self.folder}/{name}").isEmpty():
             raise ValueError("a generation without rows is not made live")
         self._write(f"{name}.manifest.json", asdict(manifest))
         return name

@@ -56,7 +56,10 @@ def workspaces(spark: SparkSession, manifests: list[dict]) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder: path (absolute), length, content; content is only read for rows that stay."""
+    """All files below a folder: path (absolute), length, content; content is only read for rows that stay.
+
+    Spark's listing skips names that begin with . or _; such a folder is a root of its own to be scanned.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), "length", "content")
 
