@@ -35,7 +35,7 @@ from .common import cut, groups_of, small, views
 
 UNKNOWN = "und"
 #: Parameters: labelled rows per language that the model is fitted on, labels it takes at most and rows a label needs.
-SAMPLE, MOST_LANGUAGES, LEAST_ROWS = 500, 64, 20
+SAMPLE, MOST_LANGUAGES, LEAST_ROWS = 500, 64, 3
 BUCKETS = 1 << 16
 #: Trigrams that a text's evidence counts as, at most; prior of ``und``; smoothing of hosts and suffixes; least posterior.
 EVIDENCE, UNKNOWN_PRIOR, HOST_WEIGHT, VALUE_WEIGHT, LEAST = 64.0, 0.01, 20.0, 10.0, 0.5

@@ -19,7 +19,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key <<= bits
-        key[: n - k] |= text[k:]
+        if k < n:
+            key[: n - k] |= text[k:]
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     step = width

@@ -1,0 +1,471 @@
+"""Each operator against a plain version: on the small tables, and on odd rows."""
+
+from __future__ import annotations
+
+import collections
+import gzip
+import math
+import random
+
+import brute
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, chat, common, counts, digests, langid, mixing, neardup, ngram_join, pretokens, queries, rindex, shingles, suffixdedup, warc
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row_key string, node int, size int, text_score int, h string"
+rng = random.Random(5)
+PASSAGE = "".join(rng.choice("abcdefghij \n") for _ in range(900))
+LONG = " ".join(f"w{i}é" for i in range(30_000))
+
+
+def odd_rows():
+    plain = lambda i, t, source="s": (i, t, "en", source, None if t is None else len(t), "key", 1, 2, 3, "h")
+    rows = [plain(1, None), plain(2, ""), plain(3, " \n\t"), plain(4, "one two"), plain(5, "one two"), plain(6, LONG), plain(7, LONG + " more"), plain(8, "x" * 700), plain(8, "x" * 700)]
+    rows += [plain(9, "begin " + PASSAGE + " end"), plain(10, "other " + PASSAGE[:500]), plain(None, "one two"), plain(12, "same words here are five and more", None), plain(13, "\U0001f600 naïve Straße ﬁ ① ½ 'tis", "\U0001f600")]
+    return [(*r[:2], None if r[0] == 4 else r[2], *r[3:]) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(data):
+    return pd.read_parquet(f"{data}/documents.parquet")
+
+
+def bag(df):
+    return collections.Counter(map(tuple, df.collect()))
+
+
+# 1: Jaccard join
+
+
+def test_jaccard_join(spark, data, documents):
+    rows = list(zip(documents.doc_id, documents.text, strict=True))
+    found = queries.ngram_jaccard_join(spark, data)
+    assert bag(found) == collections.Counter((k, *x) for (k, _), x in zip(rows, brute.jaccard(rows), strict=True))
+
+
+def test_jaccard_join_odd_rows(odd, nothing):
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    found = ngram_join.join(odd).drop("row_key", "class_key")
+    assert bag(found) == collections.Counter((k, *x) for (k, _), x in zip(rows, brute.jaccard(rows), strict=True))
+    assert ngram_join.join(nothing).count() == 0
+
+
+def test_jaccard_join_of_a_large_group_with_a_common_passage(spark):
+    """Buckets that stay large are split to the last level, and compared in blocks."""
+    r = random.Random(1)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        w[r.randrange(60)] = f"x{r.random()}"
+        texts.append(" ".join(w))
+    common = " ".join(f"c{i}" for i in range(12))
+    texts += [common + " " + " ".join(f"{r.random()}" for _ in range(30)) for _ in range(80)]
+    rows = list(enumerate(texts))
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), leaf=8, block=16)
+    got, want = bag(found.select("doc_id", "class_id", "n_links")), collections.Counter((k, *x) for (k, _), x in zip(rows, brute.jaccard(rows), strict=True))
+    assert got == want
+
+
+@given(st.lists(st.text(alphabet=" \t\nabcé\x0b\x0c\r ", max_size=60), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_shingles(texts):
+    import pyarrow as pa
+
+    data, offsets = common.views(pa.array(texts))
+    found, bounds = shingles.shingles(data, offsets)
+    known = {}
+    for i, t in enumerate(texts):
+        w = brute.words(t)
+        want = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        got = found[bounds[i] : bounds[i + 1]].tolist()
+        assert len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert known.setdefault(b, a) == a
+    assert len(set(known.values())) == len(known)
+
+
+# 2: mixing
+
+
+def mixed(rows, weights=(5, 2, 1), most=3):
+    """Targets of rows (source, size)."""
+    sizes = collections.Counter()
+    for s, n in rows:
+        sizes[s] += n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest, free = total - most * sum(sizes[s] for s in full), [s for s in order if s not in full]
+        share = {s: w[s] * rest / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return {s: float(most * sizes[s]) if s in full else share[s] for s in order}, sizes
+        full |= over
+
+
+def test_mixing(spark, data, documents):
+    rows = [(s, len(brute.words(t))) for s, t in zip(documents.source, documents.text, strict=True)]
+    want, sizes = mixed(rows)
+    found = mixing.mix(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
+    assert collections.Counter(zip(found.source, found["size"], strict=True)) == collections.Counter(rows)
+    assert all(math.isclose(t, want[s], rel_tol=1e-9) for s, t in zip(found.source, found.target, strict=True))
+    assert all(n == sizes[s] for s, n in zip(found.source, found.source_size, strict=True))
+    assert (found.taken <= 3 * found["size"]).all() and (found.taken == found.copies * found["size"]).all()
+    taken = found.groupby("source").taken.sum()
+    largest = found.groupby("source")["size"].max()
+    assert all(abs(taken[s] - want[s]) <= max(0.02 * want[s], 0.5 * largest[s]) for s in taken.index)
+    inside = found[(found.rate > 0) & (found.rate < 3)]
+    for s, g in inside.groupby("source"):  # the rates solve the dual
+        assert math.isclose((found[found.source == s].rate * found[found.source == s]["size"]).sum(), want[s], rel_tol=1e-5)
+        tilt = np.log(g.rate) / g["size"]
+        assert np.allclose(tilt, tilt.iloc[0], rtol=1e-6, atol=1e-12)
+    again = mixing.mix(spark.read.parquet(f"{data}/documents.parquet").repartition(7))
+    assert bag(again.select("doc_id", "taken")) == collections.Counter(zip(found.doc_id, found.taken, strict=True))
+
+
+def test_mixing_odd_rows(odd, nothing):
+    want, _ = mixed([(r[3], len(brute.words(r[1]))) for r in odd_rows()])
+    found = mixing.mix(odd).toPandas()
+    assert len(found) == len(odd_rows())
+    assert all(math.isclose(t, want[None if pd.isna(s) else s], rel_tol=1e-9) for s, t in zip(found.source, found.target, strict=True))
+    assert (found.taken[found["size"] == 0] == 0).all()
+    assert mixing.mix(nothing).count() == 0
+
+
+# 3: repeated strings
+
+
+def test_repeated_strings(spark, data, documents):
+    found = queries.suffix_array_dedup(spark, data)
+    want = [(n, g, s, brute.sha(k)) for n, g, s, k in brute.removed(documents.text)]
+    assert bag(found) == collections.Counter((i, *x) for i, x in zip(documents.doc_id, want, strict=True))
+
+
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
+def test_repeated_strings_odd_rows(odd, nothing, hot):
+    rows = odd_rows()
+    found = suffixdedup.deduplicate(odd, keep=["row_key", "h"], texts=True, hot=hot)
+    want = brute.removed([r[1] for r in rows])
+    got = bag(found.select("doc_id", "row_key", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"))
+    assert got == collections.Counter((r[0], "key", "h", n, g, s, brute.sha(k), k.decode("utf-8", "ignore")) for r, (n, g, s, k) in zip(rows, want, strict=True))
+    assert suffixdedup.deduplicate(nothing).count() == 0
+
+
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
+@pytest.mark.parametrize("slice_", [suffixdedup.SLICE, 600])
+def test_repeated_strings_at_random(spark, monkeypatch, hot, slice_):
+    """Edits, shifted repeats, periods and short texts, with small strings so that all happens often; long texts in slices."""
+    monkeypatch.setattr(suffixdedup, "SLICE", slice_)
+    r = random.Random(hot)
+    base = ["".join(r.choice("ab") for _ in range(400)) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        t = r.choice(base)
+        a = r.randrange(len(t))
+        t = t[a:] + t[: r.randrange(len(t))]
+        for _ in range(r.randrange(4)):
+            p = r.randrange(len(t) + 1)
+            t = t[:p] + r.choice("abc") + t[p:]
+        texts.append(t[: r.randrange(100, 1200)])
+    texts += ["ab" * 300, "é" * 200, "a" * 136, "a" * 135]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    length = 136
+    # the slices are set in this process only, so the functions run here
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_key", "text"])
+    here = pa.Table.from_batches(suffixdedup._anchors(length)(iter([batch]))).to_pandas().drop_duplicates()
+    monkeypatch.setattr(suffixdedup, "SLICE", 1 << 20)
+    whole = pa.Table.from_batches(suffixdedup._anchors(length)(iter([batch]))).to_pandas()
+    assert set(map(tuple, here.values)) == set(map(tuple, whole.values))
+    found = suffixdedup.deduplicate(df, length=length, hot=hot)
+    want = [(n, g, s, brute.sha(k)) for n, g, s, k in brute.removed(texts, length)]
+    assert bag(found) == collections.Counter((i, *x) for i, x in enumerate(want))
+
+
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=30), min_size=1, max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_run_index(rows):
+    """Match lengths from the sampled run ends are those of comparing all pairs."""
+    text = [s for i, row in enumerate(rows) for s in [*row, 10 + i]]
+    n = len(text)
+    longest = [max([next((k for k in range(n) if max(i, j) + k >= n or text[i + k] != text[j + k]), n) for j in range(n) if j != i], default=0) for i in range(n)]
+    assert rindex.RunIndex(np.array(text)).statistics().tolist() == longest
+
+
+# 4: chat
+
+
+def conversation(rows):
+    turns = "".join(f"{r}\n{t}\n" for r, t in rows)
+    said = "".join(t for r, t in rows if r == "assistant")
+    return len(rows), brute.sha(turns), len(said), brute.sha(said)
+
+
+def test_chat(spark, data):
+    rows = pd.read_parquet(f"{data}/conversations.parquet")
+    want = {k: conversation(list(zip(g.role, g.text, strict=True))) for k, g in rows.sort_values(["conv_id", "turn"]).groupby("conv_id")}
+    said = "</s>[INST] ok [/INST]"
+    want[-1] = conversation([("user", said), ("assistant", said)])
+    found = queries.chat_round_trip(spark, data)
+    assert {r[0]: tuple(r[1:5]) for r in found.collect()} == want
+
+
+TEXTS = ["", "plain", "</s>", "[INST] a [/INST]", "[OUT] x</s>", "␛", "␛a␛0", "<<SYS user>> x <</SYS>>", ">> ", " ", "\n", "<s esc>", "a\\b$1", " [/INST", "<", "é\U0001f600", "</s", "[", "x" * 50_000]
+
+
+def test_chat_round_trips_any_text(spark):
+    roles = ["user", "assistant", "system", "tool>> ", "", None, "[INST] "]
+    rows = [(i, j, roles[(i + j) % 7], TEXTS[(i * 3 + j * j) % len(TEXTS)], "extra") for i in range(60) for j in range(4)]
+    rows += [(None, 0, "user", None, "x"), (77, 1, "user", "b", "x"), (77, 1, "user", "a", "x"), (77, None, "assistant", None, "x"), (77, 1, "user", "a", "x")]
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, turns string"))
+    groups = collections.defaultdict(list)
+    for c, j, r, t, _ in rows:
+        groups[c].append((-1 if j is None else j, r or "", t or ""))
+    seen = {r.conv_id: r for r in found.withColumn("loss", chat.masked_text(F.col("formatted"))).collect()}
+    assert set(seen) == set(groups)
+    for c, turns in groups.items():
+        want = [(r, t) for _, r, t in sorted(turns)]
+        assert [tuple(x) for x in seen[c].parsed] == want
+        assert seen[c].loss == "".join(t for r, t in want if r == "assistant")
+    assert any(r.escaped for r in seen.values()) and not all(r.escaped for r in seen.values())
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+# 5 and 6: tokens
+
+
+@given(st.text(alphabet=st.sampled_from(list("aé1² \n\t'sdtlrvem!字　\x85")), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_pretokens(text):
+    (_, _, bounds, codes, found), *_ = list(pretokens.pieces([text, "x"]))
+    assert [found[i] for i in codes[bounds[0] : bounds[1]]] == regex.findall(public_tokenizers.PATTERN, text)
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+
+
+def encoded(encoding, key, text):
+    ids = encoding.encode_ordinary(text or "")
+    return key, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(text or "")
+
+
+def test_byte_bpe(spark, data, documents, encoding):
+    found = queries.byte_bpe(spark, data)
+    assert bag(found) == collections.Counter(encoded(encoding, k, t) for k, t in zip(documents.doc_id, documents.text, strict=True))
+
+
+def test_byte_bpe_odd_rows(odd, nothing, encoding):
+    found = bpe.encode_decode(odd, PATH, keep_ids=True)
+    assert bag(found.drop("ids", "decoded")) == collections.Counter(encoded(encoding, r[0], r[1]) for r in odd_rows())
+    assert all(encoding.decode(r.ids) == bytes(r.decoded).decode() for r in found.collect())
+    assert bpe.encode_decode(nothing, PATH).count() == 0
+
+
+def test_long_words_by_queue_and_by_query_agree(encoding):
+    ranks = bpe.read_ranks(PATH)
+    r = random.Random(2)
+    texts = ["".join(r.choice("anthe") for _ in range(n)) for n in (3, 50, 120)] + ["a" * 90]
+    whole = ["".join(r.choice("anthe") for _ in range(5000)), "a" * 4000]
+    by_query, by_queue = bpe.Codec(ranks, long_word=1000), bpe.Codec(ranks, long_word=1)
+    for a, b, t in zip(by_query.documents(texts), by_queue.documents(texts), texts, strict=True):
+        assert a == b and a[1] == ",".join(map(str, encoding.encode_ordinary(t)))
+    for a, t in zip(by_queue.documents(whole), whole, strict=True):
+        assert a[1] == ",".join(map(str, encoding.encode_ordinary(t)))
+
+
+def test_token_counts(spark, odd, nothing, documents, data):
+    scores = counts.scores(bpe.read_ranks(PATH))
+    memory = {}
+
+    def best(word):
+        if word not in memory:
+            raw, table = word.encode(), [(0.0, 0)]
+            for end in range(1, len(raw) + 1):
+                options = [(table[b][0] + scores[raw[b:end]], -(table[b][1] + 1)) for b in range(max(0, end - 130), end) if raw[b:end] in scores]
+                s, n = max(options)
+                table.append((s, -n))
+            memory[word] = table[-1]
+        return memory[word]
+
+    def count(key, text):
+        found = [best(w) for w in regex.findall(public_tokenizers.PATTERN, text or "")]
+        return key, len(found), sum(n for _, n in found)
+
+    rows = odd_rows()
+    found = counts.token_counts(odd, PATH)
+    assert bag(found.drop("log_prob")) == collections.Counter(count(r[0], r[1]) for r in rows)
+    found = queries.token_counts(spark, data).drop("log_prob")
+    assert bag(found) == collections.Counter(count(k, t) for k, t in zip(documents.doc_id, documents.text, strict=True))
+    assert counts.token_counts(nothing, PATH).count() == 0
+
+
+# 7: WARC
+
+
+def test_warc(spark, data):
+    pages = pd.read_parquet(f"{data}/pages.parquet")
+    found = queries.warc_normaliser(spark, data)
+    want = collections.Counter((i, len(h.encode()), brute.sha(h), "response", None) for i, h in zip(pages.page_id, pages.html, strict=True))
+    assert bag(found) == want
+
+
+def test_warc_revisits_and_files(spark, tmp_path):
+    same, small = "y" * 120, "z" * 99
+    rows = [(5, "http://a/\n1", same, 1), (3, None, same, 1), (9, "u", same, 1), (1, "u", small, 1), (2, "u", small, 1), (7, "u", None, 1), (8, "u", "", 1), (None, "u", same, 1), (11, "u", "é" * 50, 1), (10, "u", "é" * 50, 1), (12, "u", "WARC/1.1\r\n\r\n" * 300_000, 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int").repartition(3)
+    sidecar = warc.write_archives(pages, str(tmp_path / "archives"))
+    found = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(sidecar).collect()}
+    want = set()
+    for i, _, h, _ in rows:
+        h = h or ""
+        raw = h.encode()
+        first = min([r[0] for r in rows if (r[2] or "") == h and r[0] is not None])
+        again = len(raw) >= 100 and i is not None and i > first
+        want.add((i, len(raw), brute.sha(raw), "revisit" if again else "response", first if again else None))
+    assert found == want
+    for archive, group in sidecar.toPandas().groupby("archive"):  # one member per record, and whole when read as one stream
+        raw = open(archive, "rb").read()
+        members = [gzip.decompress(raw[o : o + n]) for o, n in zip(group.offset, group.length, strict=True)]
+        assert gzip.decompress(raw) == b"".join(members)
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+# 8: language
+
+
+def test_language_id_keeps_and_knows(spark, data, documents):
+    found = queries.language_id(spark, data).toPandas().set_index("doc_id")
+    assert found.accepted.all() and (found.language == documents.set_index("doc_id").lang).all()
+
+
+def test_language_id_on_held_out_text(spark):
+    """Without any declared language the text alone must do, on rows that the model was not fitted on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    part = F.pmod(F.xxhash64("text", F.lit(99)), F.lit(2))
+    model = langid.fit(docs.where(part == 0), "text", "lang", 200)
+    found = langid.identify(docs.where(part == 1), declared=None, host=None, model=model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(found) > 300 and (found.language == found.lang).mean() > 0.97
+
+
+def test_language_id_odd_rows(spark, odd, nothing, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs, "text", "lang")
+    assert set(model.languages) <= {"de", "en", "es", "fr"}
+    rows = {(r.doc_id, r.language, r.accepted) for r in langid.identify(odd, model=model).collect() if r.doc_id in (1, 2, 3)}
+    assert rows == {(i, "und", False) for i in (1, 2, 3)}
+    assert langid.identify(odd, model=model).count() == len(odd_rows())
+    assert langid.identify(nothing).count() == 0
+    few = odd.where("doc_id IN (6, 9)")
+    assert {r.language for r in langid.identify(few).collect()} == {"und"}  # too few labels to fit on
+    noise = spark.createDataFrame([(1, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), None, None)], "doc_id bigint, text string, lang string, source string")
+    assert [r.accepted for r in langid.identify(noise, model=model).collect()] == [False]
+
+
+def test_language_of_pages(spark, data):
+    pages = langid.page_columns(spark.read.parquet(f"{data}/pages.parquet"))
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = langid.identify(pages, key="page_id", declared="declared", host="host", suffix="suffix", model=langid.fit(docs, "text", "lang"))
+    truth = pages.select("page_id", F.regexp_extract("url", "/(de|en|es|fr)/", 1).alias("lang")).where("lang <> ''")
+    assert found.join(truth, "page_id").agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0] > 0.9
+
+
+# 9: fingerprints
+
+
+def expected_prints(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    for (key, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(text) // 3
+        changed = text[: len(text) - n] + following[:n]
+        yield key, len(text), brute.sha(changed), float(digests.canonical(text) == digests.canonical(changed)), float(digests.canonical(text) == digests.canonical(following))
+
+
+def test_fingerprints(spark, data, documents):
+    rows = list(zip(documents.doc_id, documents.text, strict=True))
+    found = queries.document_fingerprints(spark, data).cache()
+    assert bag(found.drop("fingerprint", "edited_fingerprint")) == collections.Counter(expected_prints(rows))
+    prints = {r.doc_id: r.fingerprint for r in found.collect()}
+    forms = {k: digests.canonical(t) for k, t in rows}
+    assert len(set(prints.values())) == len(set(forms.values())) == len({(prints[k], forms[k]) for k in forms})
+
+
+def test_fingerprints_odd_rows(spark, odd, nothing):
+    rows = [(r[0], r[1] or "") for r in odd_rows()]
+    found = digests.fingerprints(odd, broadcast_rows=0)
+    assert bag(found.drop("fingerprint", "edited_fingerprint")) == collections.Counter(expected_prints(rows))
+    assert digests.fingerprints(nothing).count() == 0
+    one = digests.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")).first()
+    assert one.edited_sha256 == brute.sha("abcdab") and one.near_next == 1.0
+
+
+def test_fingerprints_tell_clashing_texts_apart(spark, monkeypatch):
+    """Where hashes are equal the bytes are compared."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c")], "doc_id bigint, text string")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("key"))
+    hashes = rows.select("key", F.when(F.col("text").isin("a", "A "), digests.wide("a")[0]).otherwise("other").alias("hash"))
+    assert digests._clashes(rows, hashes.where("hash <> 'other'"), None) is None
+    assert digests.canonical("A  ﬁ\n") == "a fi"
+
+
+# 10: vectors
+
+
+def test_near_vectors(spark, data):
+    rows = [(r.vec_id, list(map(float, r.embedding)), r.label) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    found = queries.embedding_near_dedup(spark, data)
+    assert bag(found) == collections.Counter((r[0], *x) for r, x in zip(rows, brute.near_vectors(rows), strict=True))
+
+
+def test_near_vectors_odd_rows_and_a_dense_group(spark):
+    r = np.random.default_rng(3)
+    centre = r.standard_normal(16)
+    rows = [(i, (centre + 0.12 * r.standard_normal(16)).tolist(), 1) for i in range(200)]
+    rows += [(200 + i, r.standard_normal(16).tolist(), i % 3) for i in range(200)]
+    for i in range(60):
+        v = r.standard_normal(16)
+        rows += [(1000 + 2 * i, v.tolist(), 2), (1001 + 2 * i, (v + 0.05 * r.standard_normal(16)).tolist(), 2 if i % 2 else 1)]
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 16, 1), (2003, [float("nan")] * 16, 1), (2004, [None] + [1.0] * 15, 1), (2005, centre.tolist(), None), (None, centre.tolist(), 1), (2006, centre.tolist()[:8], 1), (2007, (centre * 7).tolist(), 1)]
+    rows += [(3000, centre.tolist(), 5), (3001, centre.tolist(), 5), (3001, centre.tolist(), 5)]
+    schema = "vec_id bigint, embedding array<double>, label int"
+    found = neardup.near_duplicates(spark.createDataFrame(rows, schema).repartition(3), bucket=16)
+    assert bag(found) == collections.Counter((x[0], *y) for x, y in zip(rows, brute.near_vectors(rows), strict=True))
+    assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+# shared helpers
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 600 + i) for i in range(50)]
+    parts = brute.Sets(700)
+    for a, b in edges:
+        parts.join(a, b)
+    found = common.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {tuple(x) for x in found.collect()} == {(x, parts.root(x)) for e in edges if e[0] != e[1] for x in e}
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
