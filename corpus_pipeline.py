@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, mixing, ngram_join, suffixdedup
-from tessera.llm.common import cut, stored
+from tessera.llm.common import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The name of a row's hash while a stage runs; no column of documents.
+KEY = "_pipeline_row_key"
 
 #: DuckDB can't express the minimum hashes, the suffix index nor the BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,14 +26,14 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is among ``keys`` (row_key)."""
-    return docs.withColumn("row_key", key).join(keys.hint("shuffle_hash"), "row_key", "left_semi").select(*docs.columns)
+    return docs.withColumn(KEY, key).join(keys.withColumnRenamed("row_key", KEY).hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is rejected go: no letters, none of the known languages, or too uncertain."""
     key = F.xxhash64("doc_id", "text", "lang", "source")
-    found = langid.identify(docs.withColumn("row_key", key), key="row_key")
-    return _only(docs, cut(found.where("accepted").select("row_key").distinct()), key)
+    found = langid.identify(docs.withColumn(KEY, key), key=KEY)
+    return _only(docs, cut(found.where("accepted").select(F.col(KEY).alias("row_key")).distinct()), key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +58,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = cut(mixing.mix(docs).groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")))
     once = docs if taken.where("rows > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text", "source"])
     chosen = taken.where("copies > 0").drop("rows")
-    joined = once.withColumn("row_key", key).join(chosen.hint("shuffle_hash"), "row_key")
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    chosen = chosen.toDF(KEY, f"{KEY}_copies")
+    joined = once.withColumn(KEY, key).join(chosen.hint("shuffle_hash"), KEY)
+    return joined.withColumn(KEY, F.explode(F.array_repeat(F.lit(0), F.col(f"{KEY}_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +80,5 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,9 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder: computed once, and safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, read from a Parquet table in the shared checkpoint folder: computed once, and safe when executors are lost.
+
+    A table has a size of its own.  checkpoint() keeps the estimate of the plan that it cuts, and through
+    the joins of a loop that estimate grows to numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    place = f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -148,10 +154,3 @@ def runs(batches, keys: list[int]):
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared checkpoint folder: for many narrow rows, which it packs better than ``cut``."""
-    place = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)

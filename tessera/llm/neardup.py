@@ -194,8 +194,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     valid = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce((F.size(v) > 0) & ~odd & F.exists(v, lambda x: x != 0), F.lit(False))
     seen = rows.select(F.col(id_col).alias("id"), valid.alias("valid"), F.when(valid, F.xxhash64(label_col, F.size(v))).alias("space"), F.when(valid, v).alias("v"))
     floor = min(FLOOR, threshold)
-    nodes = cut(seen.where("valid").groupBy("space", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(seen.where("valid").groupBy("space", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     vectors = cut(nodes.select("space", "node", "copies", "v").mapInArrow(_pack, "space bigint, node bigint, copies bigint, v binary"))
     edges, groups = None, None
     for planting in range(PLANTINGS):

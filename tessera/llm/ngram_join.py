@@ -35,8 +35,9 @@ from .common import Forest, components, cut, in_blocks, runs, small, views
 from .shingles import batches
 
 THRESHOLD = Fraction(4, 5)
-#: Parameters: minimum hashes of a set, sets of a brute-force bucket, deepest level, runs of a round, target recall.
-COORDINATES, LEAF, DEPTH, ROUND, RECALL = 64, 64, 8, 6, 0.999
+#: Parameters: minimum hashes of a set, sets of a brute-force bucket, deepest level, runs of the first round and of
+#: further ones, target recall.
+COORDINATES, LEAF, DEPTH, ROUND, FURTHER, RECALL = 64, 64, 6, 6, 18, 0.999
 #: Sets of a block of the exact comparison.
 BLOCK = 64
 #: Shingle columns of one matrix product.
@@ -111,44 +112,38 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, *, recall: floa
     """(a, b): links between ``sets`` (node, minima) whose components hold every pair at the threshold, but for 1 - recall."""
     t = float(threshold)
     least = math.floor(COORDINATES * t - 5 * math.sqrt(COORDINATES * t * (1 - t)))
-    open_, found, run = sets.select("node"), [], 0
+    open_, found, run, before = sets.select("node"), [], 0, None
     while True:
-        upto = run + round_
+        upto = run + (FURTHER if run else round_)
         rows = open_.join(sets, "node").withColumn("run", F.explode(F.array(*map(F.lit, range(run, upto)))))
-        level, leaves, misses = 0, [], []
         rows = cut(rows.select("node", "run", F.xxhash64("run", _value(F.col("run"), 0, upto)).alias("key")))
-        while True:
+        done: list[DataFrame] = []  # (node, key, m, miss): where each path of each run ended
+        for level in range(DEPTH):
             shared = cut(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1"))
-            dealt = rows.join(shared, "key", "left")
-            large = F.coalesce(F.col("m") > leaf, F.lit(False))
-            last = level + 1 == DEPTH
+            dealt = cut(rows.join(shared, "key", "left").select("node", "run", "key", F.coalesce("m", F.lit(1)).alias("m"), "first"))
+            large, last = F.col("m") > leaf, level + 1 == DEPTH
+            ended = dealt if last else dealt.where(~large)
+            done.append(ended.select("node", "key", "m", F.lit(math.log1p(-(t ** (level + 1)))).alias("miss")))
             if last:
                 found.append(dealt.where(large & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b")))
-            done = dealt if last else dealt.where(~large)
-            misses.append(done.select("node", F.lit(math.log1p(-(t ** (level + 1)))).alias("miss")))
-            leaves.append(dealt.where((F.col("m") > 1) & ~large).select("key", "node"))
             if last or shared.where(f"m > {leaf}").isEmpty():
                 break
-            level += 1
             rows = dealt.where(large).select("node", "run", "key").join(sets, "node")
-            rows = cut(rows.select("node", "run", F.xxhash64("key", _value(F.col("run"), level, upto)).alias("key")))
-        leaf_rows = leaves[0]
-        for x in leaves[1:]:
-            leaf_rows = leaf_rows.union(x)
-        parts = leaf_rows.join(sets, "node").select("key", "node", "minima").repartition("key").sortWithinPartitions("key", "node")
-        found.append(cut(parts.mapInArrow(_similar(least), "a bigint, b bigint")))
-        miss = misses[0]
-        for x in misses[1:]:
-            miss = miss.union(x)
-        total = miss.groupBy("node").agg(F.sum("miss").alias("miss"))
-        if run:
-            total = total.join(before, "node").select("node", (F.col("miss") + F.col("was")).alias("miss"))
-        before = cut(total.where(F.col("miss") > math.log1p(-recall)).select("node", F.col("miss").alias("was")))
+            rows = cut(rows.select("node", "run", F.xxhash64("key", _value(F.col("run"), level + 1, upto)).alias("key")))
+        ends = _union(done)
+        parts = ends.where((F.col("m") > 1) & (F.col("m") <= leaf)).select("key", "node").join(sets, "node")
+        parts = parts.select("key", "node", "minima").repartition("key").sortWithinPartitions("key", "node")
+        found.append(cut(parts.mapInArrow(_similar(least), "a bigint, b bigint").distinct()))
+        miss = ends.select("node", "miss") if before is None else ends.select("node", "miss").union(before)
+        before = cut(miss.groupBy("node").agg(F.sum("miss").alias("miss")).where(F.col("miss") > math.log1p(-recall)))
         if before.isEmpty():
-            break
+            return _union(found)
         open_, run = before.select("node"), upto
-    out = found[0]
-    for x in found[1:]:
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
         out = out.union(x)
     return out
 
@@ -215,8 +210,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     sketched = cut(rows.mapInArrow(_sketch, f"row_key bigint, id {kind}, d1 bigint, d2 bigint, n bigint, minima binary"))
     least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row_key")).alias("least")
     classes = sketched.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("copies"), least, F.first("minima").alias("minima"))
-    classes = cut(classes.select("d1", "d2", "copies", F.col("least.id").alias("id"), F.col("least.row_key").alias("row_key"), "minima"))
-    classes = classes.withColumn("node", F.monotonically_increasing_id())
+    classes = classes.select("d1", "d2", "copies", F.col("least.id").alias("id"), F.col("least.row_key").alias("row_key"), "minima", F.monotonically_increasing_id().alias("node"))
+    classes = cut(classes)  # numbers that are written once are the same for all who read them
     groups = components(candidates(classes.select("node", "minima"), threshold, recall=recall, leaf=leaf))
     chosen = cut(groups.join(classes, "node").select("row_key", "node", "copies", F.col("component").alias("grp")))
     texts = rows.join(small(chosen), "row_key").select("grp", "node", "copies", "text")

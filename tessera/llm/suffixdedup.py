@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups_of, stored, views
+from .common import cut, groups_of, views
 from .pretokens import mix, powers
 from .rindex import RunIndex
 
@@ -275,16 +275,16 @@ def marks(keyed: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFram
     """(row_key, begin, end) of the bytes to remove from ``keyed`` (row_key, text, ...); ends may lie beyond the text."""
     reach = length - ANCHOR
     text = F.coalesce("text", F.lit(""))
-    seen = stored(keyed.select("row_key", text.alias("text")).where(F.octet_length("text") >= length).mapInArrow(_anchors(length), "row_key bigint, pos bigint, h bigint, ctx bigint"))
+    seen = cut(keyed.select("row_key", text.alias("text")).where(F.octet_length("text") >= length).mapInArrow(_anchors(length), "row_key bigint, pos bigint, h bigint, ctx bigint"))
     again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    seen = stored(seen.join(again, "h"))
+    seen = cut(seen.join(again, "h"))
     first = F.min(F.struct("row_key", "pos")).alias("first")
-    contexts = stored(seen.groupBy("h", "ctx").agg(F.count("*").alias("n"), first))
+    contexts = cut(seen.groupBy("h", "ctx").agg(F.count("*").alias("n"), first))
     several = cut(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
     contexts = contexts.join(several, "h", "left").select("h", "ctx", "n", "first", F.coalesce("m", F.lit(1)).alias("m"))
     seen = seen.join(contexts, ["h", "ctx"])
     alone = (F.col("n") == 1) | (F.col("first") == F.struct("row_key", "pos"))
-    seen = stored(seen.select("row_key", "pos", (F.col("n") > 1).alias("whole"), ((F.col("m") > 1) & alone).alias("open"), (F.col("m") > hot).alias("hot")).where("whole OR open"))
+    seen = cut(seen.select("row_key", "pos", (F.col("n") > 1).alias("whole"), ((F.col("m") > 1) & alone).alias("open"), (F.col("m") > hot).alias("hot")).where("whole OR open"))
     whole = seen.where("whole").select("row_key", (F.col("pos") - reach).alias("begin"), (F.col("pos") + length).alias("end"))
     columns = [*keyed.columns, "places"]
 
@@ -298,8 +298,8 @@ def marks(keyed: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFram
     out = whole.union(found)
     if not seen.where("hot AND open").isEmpty():
         strings = places(seen.where("open AND hot")).mapInArrow(_cores(length, columns, True), "h1 bigint, h2 bigint, row_key bigint, start bigint").distinct()
-        strings = stored(strings)
-        repeated = stored(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+        strings = cut(strings)
+        repeated = cut(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
         out = out.union(strings.join(repeated, ["h1", "h2"]).select("row_key", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
     return out
 
