@@ -276,7 +276,7 @@ def marks(keyed: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFram
     reach = length - ANCHOR
     text = F.coalesce("text", F.lit(""))
     seen = cut(keyed.select("row_key", text.alias("text")).where(F.octet_length("text") >= length).mapInArrow(_anchors(length), "row_key bigint, pos bigint, h bigint, ctx bigint"))
-    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     seen = cut(seen.join(again, "h"))
     first = F.min(F.struct("row_key", "pos")).alias("first")
     contexts = cut(seen.groupBy("h", "ctx").agg(F.count("*").alias("n"), first))
