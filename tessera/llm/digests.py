@@ -129,7 +129,7 @@ def _clashes(rows: DataFrame, hashes: DataFrame, broadcast_rows: int | None) ->
     Only texts in buckets of two or more are compared, by partial minima and maxima of the bytes, so a
     bucket of any size is compared where its rows are and no task gathers it.
     """
-    shared = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     keys = cut(hashes.join(shared, "hash").select("key").distinct())
     keys = small(keys) if broadcast_rows is None else small(keys, broadcast_rows)
 
