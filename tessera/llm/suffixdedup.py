@@ -61,7 +61,11 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, hash of the context) of the anchors of all strings that start in [low, high) of ``data``, inside texts."""
+    """(place, hash, hash of the context) of the anchors of all strings that start in [low, high) of ``data``, inside texts.
+
+    An anchor that also serves the start before ``low`` is left out: the slice before emits it. The starts that an anchor
+    serves are consecutive, so no other anchor is shared.
+    """
     n, width = len(data), length - ANCHOR + 1
     empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if n < length:
@@ -74,6 +78,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, low: int, high:
     starts = np.arange(n - length + 1)
     inside = (starts + length <= end[: len(starts)]) & (starts >= low) & (starts < high)
     place = np.unique(least[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if low and low <= len(starts):
+        place = place[place != int(least[low - 1] & np.uint64((1 << bits) - 1))]
     text = np.searchsorted(offsets, place, side="right") - 1
     left, right = np.maximum(place - (length - ANCHOR), offsets[text]), np.minimum(place + length, offsets[text + 1])
     around = mix((sums[right] - sums[left]) * down[left]) + mix((place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64))

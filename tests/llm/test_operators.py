@@ -203,6 +203,20 @@ def test_repeated_strings_at_random(spark, monkeypatch, hot, slice_):
     assert bag(found) == collections.Counter((i, *x) for i, x in enumerate(want))
 
 
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
+def test_repeated_strings_of_texts_of_several_slices(spark, hot):
+    """What lies about the slices' borders counts once; only true repeats go, also across a border and of repeated rows."""
+    size = suffixdedup.SLICE
+    text = random.Random(7).randbytes(7 * size // 4).hex()  # 3.5 slices
+    passage = text[size - 300 : size + 300]
+    twin = random.Random(8).randbytes(5 * size // 4).hex()
+    rows = [(1, text), (2, twin), (2, twin), (3, "-" * 50 + passage + "+" * 50)]
+    found = suffixdedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot)
+    part = text[: size - 300] + text[size + 300 :]
+    want = [(1, len(text), 600, 1, brute.sha(part)), *[(2, len(twin), len(twin), 1, brute.sha(""))] * 2, (3, 700, 600, 1, brute.sha("-" * 50 + "+" * 50))]
+    assert bag(found) == collections.Counter(want)
+
+
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=30), min_size=1, max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_run_index(rows):
