@@ -17,6 +17,8 @@ from tessera.llm import bpe, langid, mixing, ngram_join, suffixdedup
 from tessera.llm.common import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Words of a passage that is cut out where it repeats: over 50.
+PASSAGE_WORDS = 51
 #: The name of a row's hash while a stage runs; no column of documents.
 KEY = "_pipeline_row_key"
 
@@ -45,9 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out of the texts; a text may become empty, its row stays."""
+    """Strings of 400 bytes and passages of over 50 words that occur twice are cut out; a text may become empty, its row stays."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = suffixdedup.deduplicate(docs, keep=others, texts=True)
+    found = suffixdedup.deduplicate(docs, keep=others, texts=True, words=PASSAGE_WORDS)
     found = found.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")})
     return found.select(*docs.columns)
 

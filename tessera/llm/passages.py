@@ -1,0 +1,150 @@
+"""Passages of at least ``words`` words that occur more than once in a corpus, by their words in order.
+
+A word is covered if a window of ``words`` words that holds it also starts anywhere else, in the same document
+or in another.  In every window the least hash of its ``ANCHOR``-word strings marks an anchor, by the window's
+words alone, so equal windows have the same anchor at the same place.  All windows of an anchor lie in its
+context; a context that occurs twice is covered as a whole, and one copy of each distinct context goes on.
+Where a repeated anchor has several contexts, its windows are counted one by one by their hashes.  All steps
+are aggregations with partial sums and joins of plain shuffles.
+
+Cases: separators may differ; texts of fewer words have no windows; repeated rows match each other.
+Equality of windows is that of two 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import shingles
+from .common import SEPARATORS, cut, groups_of, views
+from .pretokens import mix, powers
+
+ANCHOR = 12
+#: Bytes of one pass over texts; a longer text is one pass.
+SLICE = 1 << 20
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(SEPARATORS)] = True
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every window of ``width`` values."""
+    out = x[: len(x) - width + 1].copy()
+    for k in range(1, width):
+        np.minimum(out, x[k : k + len(out)], out=out)
+    return out
+
+
+class _Windows:
+    """The windows of a group of texts: the word each starts with, its anchor's word, and bytes of words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: int) -> None:
+        w, self.bounds = shingles.words(data, offsets)
+        n = len(w)
+        self.starts = np.zeros(0, np.int64)
+        if n < words:
+            return
+        begin, end = int(offsets[0]), int(offsets[-1])
+        edge = np.zeros(end - begin + 1, bool)
+        edge[offsets - begin] = True
+        inside = ~_SEPARATOR[data[begin:end]]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        last[:-1] &= ~inside[1:] | edge[1:-1]
+        self.first, self.last = np.flatnonzero(first) + begin, np.flatnonzero(last) + 1 + begin
+        up, self.down = powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(w * up[:n], out=self.sums[1:])
+        at = np.arange(n - ANCHOR + 1)
+        self.x = self.take(at, at + ANCHOR)
+        bits = np.uint64(max(1, n.bit_length()))
+        least = _least((self.x >> bits << bits) | at.astype(np.uint64), words - ANCHOR + 1)
+        starts = np.arange(n - words + 1)
+        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        self.starts = np.flatnonzero(starts + words <= ends[: len(starts)])
+        self.anchor = (least[self.starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+    def take(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the words from a to b."""
+        return mix((self.sums[b] - self.sums[a]) * self.down[a])
+
+    def text(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, word, side="right") - 1
+
+
+def _anchors(words: int):
+    """row_key, text -> row_key, pos, h, ctx, and the bytes of the context before and after pos."""
+
+    def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            key = b.column(0).to_numpy()
+            data, offsets = views(b.column(1))
+            for a, z in groups_of(offsets, SLICE):
+                g = _Windows(data, offsets[a : z + 1], words)
+                if not len(g.starts):
+                    continue
+                place = np.unique(g.anchor)
+                text = g.text(place)
+                left, right = np.maximum(place - (words - ANCHOR), g.bounds[text]), np.minimum(place + words, g.bounds[text + 1])
+                ctx = g.take(left, right) + mix((place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64))
+                at = g.first[place]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[a + text]), pa.array(at - offsets[a + text]), pa.array(g.x[place].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array((at - g.first[left]).astype(np.int32)), pa.array((g.last[right - 1] - at).astype(np.int32))],
+                    names=["row_key", "pos", "h", "ctx", "before", "after"],
+                )
+
+    return inside
+
+
+def _strings(words: int):
+    """row_key, text, places of anchors -> h, w, row_key, pos, begin, end of each window of these anchors."""
+
+    def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            key = b.column(0).to_numpy()
+            data, offsets = views(b.column(1))
+            lists = b.column(2)
+            count = np.diff(lists.offsets.to_numpy())
+            asked = lists.flatten().to_numpy() + np.repeat(offsets[:-1], count)
+            for a, z in groups_of(offsets, SLICE):
+                g = _Windows(data, offsets[a : z + 1], words)
+                if not len(g.starts):
+                    continue
+                ok = np.isin(g.first[g.anchor], asked)
+                start, anchor = g.starts[ok], g.anchor[ok]
+                text = g.text(start) + a
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.x[anchor].view(np.int64)), pa.array(g.take(start, start + words).view(np.int64)), pa.array(key[text]), pa.array(g.first[anchor] - offsets[text]), pa.array(g.first[start] - offsets[text]), pa.array(g.last[start + words - 1] - offsets[text])],
+                    names=["h", "w", "row_key", "pos", "begin", "end"],
+                )
+
+    return inside
+
+
+def marks(keyed: DataFrame, *, words: int) -> DataFrame:
+    """(row_key, begin, end) of the bytes of ``keyed`` (row_key, text, ...) in windows of ``words`` words that occur twice."""
+    if words <= ANCHOR:
+        raise ValueError(f"words must be more than {ANCHOR}")
+    text = keyed.select("row_key", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+    seen = cut(text.mapInArrow(_anchors(words), "row_key bigint, pos bigint, h bigint, ctx bigint, before int, after int"))
+    again = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    seen = cut(seen.join(again, "h"))
+    first = F.min(F.struct("row_key", "pos")).alias("first")
+    contexts = cut(seen.groupBy("h", "ctx").agg(F.count("*").alias("n"), first))
+    several = cut(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.lit(True).alias("several")))
+    contexts = contexts.join(several, "h", "left").select("h", "ctx", "n", "first", F.coalesce("several", F.lit(False)).alias("several"))
+    alone = (F.col("n") == 1) | (F.col("first") == F.struct("row_key", "pos"))
+    seen = seen.join(contexts, ["h", "ctx"]).select("row_key", "pos", "before", "after", (F.col("n") > 1).alias("whole"), (F.col("several") & alone).alias("open"))
+    seen = cut(seen.where("whole OR open"))
+    whole = seen.where("whole").select("row_key", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("end"))
+    places = seen.where("open").groupBy("row_key").agg(F.collect_set("pos").alias("places"))
+    opened = text.join(places.hint("shuffle_hash"), "row_key").select("row_key", "text", "places")
+    strings = cut(opened.mapInArrow(_strings(words), "h bigint, w bigint, row_key bigint, pos bigint, begin bigint, end bigint"))
+    repeated = cut(strings.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w"))
+    # the windows of an anchor all hold it, so what they cover has no gap
+    found = strings.join(repeated, ["h", "w"]).groupBy("row_key", "pos").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return whole.union(cut(found).select("row_key", "begin", "end"))

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import cut, groups_of, views
 from .pretokens import mix, powers
 from .rindex import RunIndex
@@ -343,9 +344,10 @@ def _remove(columns: list[str], texts: bool):
     return inside
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), length: int = LENGTH, hot: int = HOT, texts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), length: int = LENGTH, hot: int = HOT, texts: bool = False, words: int | None = None) -> DataFrame:
     """id_col, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (text).
 
+    With ``words`` also the repeated passages of as many words go, however few bytes they have.
     With ``texts`` also kept: the text that stays, without characters of which a part was removed.
     """
     if length < 2 * ANCHOR or (length - ANCHOR) % (2 * PARTS):
@@ -353,6 +355,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = ()
     held = list(dict.fromkeys([id_col, *keep]))
     keyed = docs.select(F.xxhash64(id_col, "text").alias("row_key"), *(F.col(c).alias(f"own_{c}") for c in held), "text")
     found = marks(keyed, length=length, hot=hot)
+    if words is not None:
+        found = found.union(passages.marks(keyed, words=words))
     spans = found.groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     columns = [*keyed.columns, "spans"]
     joined = keyed.join(spans.hint("shuffle_hash"), "row_key", "left").select(*columns)

@@ -64,3 +64,77 @@ def test_stages_on_odd_rows(spark, data):
             assert sorted((r.doc_id for r in found.collect()), key=str) == [1, 2, 3]
         assert stage(spark, docs.limit(0), data).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs.where(F.col("doc_id") < 3), data).count() == 0
+
+
+def test_short_passages_of_over_50_words_are_cut(spark, data):
+    """51 words of 254 bytes go, wherever they stand and whatever separates them; 50 words stay, as do words that only repeat apart."""
+    words = lambda n, name: [f"{name}{i:03d}" for i in range(n)]
+    long, short, apart = words(51, "w"), words(50, "v"), words(60, "u")
+    texts = [
+        " ".join(words(300, "a") + long + words(300, "b")),
+        " ".join(long) + "\n" + " ".join(words(30, "c") + short),
+        " ".join(words(70, "d")) + " " + "\t ".join(long[:30]) + "\n" + " ".join(long[30:]),
+        " ".join(short + words(60, "e") + apart[:40]),
+        " ".join(apart + words(90, "f")),
+        " ".join(words(60, "g") + apart[20:]),
+        None,
+        "",
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema)
+    found = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_strings(spark, docs.repartition(3), data).collect()}
+    want = [" ".join(words(300, "a")) + "  " + " ".join(words(300, "b")), "\n" + " ".join(words(30, "c") + short), " ".join(words(70, "d")) + " ", *texts[3:6], "", ""]
+    assert found == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
+def test_passages_at_random(spark):
+    import random
+
+    from tessera.llm import passages
+
+    r = random.Random(3)
+    base = [[r.choice("ab") for _ in range(90)] for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        t = list(r.choice(base))
+        a = r.randrange(len(t))
+        t = t[a:] + t[: r.randrange(len(t))]
+        for _ in range(r.randrange(4)):
+            t.insert(r.randrange(len(t) + 1), r.choice("abc"))
+        texts.append(" ".join(t[: r.randrange(20, 300)]))
+    texts += [" ".join("ab" * 60), " ".join("a" * 51), " ".join("a" * 50), "a" * 500]
+    width = 51
+    count = collections.Counter(tuple(w[i : i + width]) for w in map(brute.words, texts) for i in range(len(w) - width + 1))
+    want = set()
+    for key, t in enumerate(texts):
+        w = brute.words(t)
+        places = [m.span() for m in brute.WORD.finditer(t)]
+        for i in range(len(w) - width + 1):
+            if count[tuple(w[i : i + width])] > 1:
+                want.update((key, x) for x in range(places[i][0], places[i + width - 1][1]))
+    keyed = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").repartition(5)
+    got = {(k, x) for k, b, e in passages.marks(keyed, words=width).collect() for x in range(b, e)}
+    assert got == want and want
+
+
+def test_repeated_strings_are_those_of_400_bytes_or_51_words(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    table = docs.toPandas()
+    raw = [t.encode() for t in table.text]
+    spans = [[m.span() for m in brute.WORD.finditer(t.decode("latin-1"))] for t in raw]
+    windows = lambda t, p: [tuple(t[x:y] for x, y in p[i : i + 51]) for i in range(len(p) - 50)]
+    strings = collections.Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    passages = collections.Counter(w for t, p in zip(raw, spans, strict=True) for w in windows(t, p))
+    want, by_bytes = {}, {}
+    for key, t, p in zip(table.doc_id, raw, spans, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if strings[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        by_bytes[key] = sum(gone)
+        for i, w in enumerate(windows(t, p)):
+            if passages[w] > 1:
+                gone[p[i][0] : p[i + 50][1]] = b"\1" * (p[i + 50][1] - p[i][0])
+        want[key] = bytes(x for x, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
+    assert any(len(t) - by_bytes[key] > len(want[key].encode()) for key, t in zip(table.doc_id, raw, strict=True))  # the words find more
+    assert {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, data).collect()} == want
