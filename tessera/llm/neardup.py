@@ -1,11 +1,14 @@
 """Near-duplicate vectors by NN-descent, within equal labels, at a cosine threshold.
 
 A forest of random-projection trees gives each vector its first neighbours: vectors whose projections
-have the same signs, as many as the label's size asks for, are compared in small buckets.  NN-descent
+have the same signs, as many as the label's size asks for, are compared in small buckets.  The deeper a label's trees, the more
+of them: two vectors at the threshold share no leaf with a chance of at most ``MISS``, also where they have no
+other neighbour.  NN-descent
 then joins neighbours of neighbours: two vectors that share a neighbour are compared if one of those
 edges is new, until hardly any edge is.  Only edges above ``FLOOR`` are kept, as no others lead to
-near-duplicates.  The recall is audited on a bounded sample of vectors against all rows; below
-``TARGET`` more trees are planted and the descent goes on.
+near-duplicates.  The recall is audited on a bounded sample of vectors against all rows, each vector with
+links counting alike; below ``TARGET`` as many trees again are planted and the descent goes on, and the job
+fails if the last planting still misses it.
 
 Neighbour lists hold ``NEIGHBOURS`` vectors.  A list that is full of vectors above the threshold is
 saturated and would hide others, so it is enlarged to all the vectors that its links reach, compared by
@@ -22,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,10 @@ from pyspark.sql.window import Window
 from .common import Forest, components, cut, in_blocks, runs, small
 
 THRESHOLD = 0.93
-#: Parameters: list length, least cosine of a list's edge, trees of a planting, vectors of a bucket, rounds of the descent and of planting.
+#: Parameters: list length, least cosine of a list's edge, trees of a pass, vectors of a bucket, rounds of the descent and of planting.
 NEIGHBOURS, FLOOR, TREES, BUCKET, ROUNDS, PLANTINGS = 12, 0.85, 8, 96, 8, 6
+#: Chance that a pair at the threshold shares no leaf of a planting.
+MISS = 0.001
 #: Share of its vectors that a round must find new edges for to go on; vectors of the audit; recall that it asks for.
 STILL, AUDITED, TARGET = 0.001, 200, 0.98
 BLOCK = 64
@@ -110,11 +116,26 @@ def _cosines(floor: float):
     return inside
 
 
-def planted(vectors: DataFrame, first: int, trees: int, bucket: int, floor: float, k: int) -> DataFrame:
-    """Edges (a, b, cos) inside the leaves of random-projection trees ``first`` and on."""
-    sizes = cut(vectors.groupBy("space").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / bucket))).cast("int").alias("depth")))
+def trees_for(depth: int, threshold: float, miss: float = MISS) -> int:
+    """Trees of ``depth`` planes so that two vectors at the threshold share no leaf with a chance of at most ``miss``; ``TREES`` at least."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
+    return TREES if met >= 1 else max(TREES, math.ceil(math.log(miss) / math.log1p(-met)))
+
+
+def depths(vectors: DataFrame, bucket: int, threshold: float) -> DataFrame:
+    """(space, depth, trees) of every space."""
+    sizes = vectors.groupBy("space").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / bucket))).cast("int").alias("depth"))
+    known = [F.lit(trees_for(d, threshold)) for d in range(64)]
+    return cut(sizes.withColumn("trees", F.element_at(F.array(*known), F.least("depth", F.lit(63)) + 1)))
+
+
+def planted(vectors: DataFrame, sizes: DataFrame, first: int, low: int, trees: int, bucket: int, floor: float, k: int) -> DataFrame:
+    """Edges (a, b, cos) inside the leaves of random-projection trees ``first`` + ``low`` and on, of the spaces that ask for as many."""
+    asking = sizes.where(F.col("trees") > low)
+    first += low
+    vectors = vectors.join(small(asking.select("space")), "space", "left_semi")
     coded = vectors.select("space", "node", "v").mapInArrow(_codes(first, trees), "space bigint, node bigint, v binary, codes array<bigint>")
-    rows = coded.join(small(sizes), "space").select("space", "depth", "node", "v", F.posexplode("codes").alias("tree", "code"))
+    rows = coded.join(small(asking), "space").select("space", "depth", "trees", "node", "v", F.posexplode("codes").alias("tree", "code")).where(F.col("tree") + low < F.col("trees"))
     prefix = F.expr("code & (shiftleft(1L, least(depth, 60)) - 1)")
     rows = rows.select(F.xxhash64("space", "tree", prefix).alias("key"), "node", "v")
     counts = cut(rows.groupBy("key").agg(F.ceil(F.count("*") / (2 * bucket)).cast("int").alias("parts")))
@@ -144,7 +165,7 @@ def descend(vectors: DataFrame, edges: DataFrame, floor: float, k: int, rounds:
 
 
 def audit(vectors: DataFrame, groups: DataFrame, threshold: float, sample: int = AUDITED) -> float:
-    """Share of the true links of a bounded sample (by hash, against all rows) whose ends are in one component."""
+    """Share of a vector's true links whose other end is in its component, averaged over those of a bounded sample (by hash, against all rows) that have links."""
     n = vectors.count()
     take = vectors.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(max(1, n))) < sample).limit(2 * sample)
     asked: dict[int, list[tuple[int, bytes]]] = {}
@@ -167,8 +188,9 @@ def audit(vectors: DataFrame, groups: DataFrame, threshold: float, sample: int =
     true = vectors.select("space", "node", "v").mapInArrow(inside, "a bigint, b bigint")
     part = groups.select("node", "component")
     judged = true.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
-    total, found = judged.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return found / total if total else 1.0
+    share = judged.groupBy("a").agg((F.count_if(F.col("ca") == F.col("cb")) / F.count("*")).alias("share"))
+    found = share.agg(F.avg("share")).first()[0]
+    return 1.0 if found is None else found
 
 
 def _count(threshold: float):
@@ -196,13 +218,20 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     floor = min(FLOOR, threshold)
     nodes = cut(seen.where("valid").groupBy("space", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     vectors = cut(nodes.select("space", "node", "copies", "v").mapInArrow(_pack, "space bigint, node bigint, copies bigint, v binary"))
+    sizes = depths(vectors, bucket, threshold)
+    trees = sizes.agg(F.max("trees")).first()[0] or TREES
     edges, groups = None, None
     for planting in range(PLANTINGS):
-        fresh = planted(vectors, planting * TREES, TREES, bucket, floor, neighbours)
-        edges = descend(vectors, fresh if edges is None else edges.union(fresh), floor, neighbours)
+        for low in range(0, trees, TREES):
+            fresh = cut(planted(vectors, sizes, planting * trees, low, min(TREES, trees - low), bucket, floor, neighbours))
+            edges = fresh if edges is None else edges.union(fresh)
+        edges = descend(vectors, edges, floor, neighbours)
         groups = components(edges.where(F.col("cos") >= threshold).select("a", "b"))
-        if audit(vectors, groups, threshold) >= target:
+        recall = audit(vectors, groups, threshold)
+        if recall >= target:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.3f} after {PLANTINGS} plantings, {target} asked for")
     members = groups.select("node", F.col("component").alias("grp"))
     blocks = in_blocks(members, "grp", "node", BLOCK).select("grp", "i", "j", "own", "node")
     met = blocks.join(vectors, "node").select("grp", "i", "j", "own", "node", "copies", "v").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")

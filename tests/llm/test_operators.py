@@ -471,6 +471,45 @@ def test_near_vectors_odd_rows_and_a_dense_group(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_isolated_pairs_are_found_beside_a_dense_group(spark):
+    """Pairs at the threshold without other neighbours, in deep trees; a dense group has nearly all links."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(r.standard_normal((400, 64)))
+    off = r.standard_normal((400, 64))
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * unit(off - (off * a).sum(1, keepdims=True) * a)
+    dense = r.standard_normal(64) + 0.01 * r.standard_normal((60, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b, dense, r.standard_normal((3000, 64))]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)
+    found = {x.vec_id: x.n_links for x in neardup.near_duplicates(df, bucket=32).collect()}
+    assert sum(found[i] == 1 for i in range(800)) >= 796
+    assert all(found[i] == 59 for i in range(800, 860))
+
+
+def test_trees_meet_a_pair_at_the_threshold():
+    for depth in range(61):
+        met = (1 - math.acos(0.93) / math.pi) ** depth
+        assert (1 - met) ** neardup.trees_for(depth, 0.93) <= neardup.MISS
+
+
+def test_audit_counts_vectors_alike(spark):
+    """A group that has nearly all links doesn't hide pairs that were missed."""
+    r = np.random.default_rng(6)
+    group = r.standard_normal(16) + 0.01 * r.standard_normal((30, 16))
+    pairs = np.repeat(r.standard_normal((30, 16)), 2, axis=0) + 0.001 * r.standard_normal((60, 16))
+    rows = [(1, i, v.tobytes()) for i, v in enumerate(np.concatenate([group, pairs]))]
+    vectors = spark.createDataFrame(rows, "space bigint, node bigint, v binary")
+    groups = spark.createDataFrame([(i, 0) for i in range(30)], "node bigint, component bigint")
+    assert neardup.audit(vectors, groups, 0.97) == pytest.approx(30 / 90)
+
+
+def test_a_missed_recall_fails(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PLANTINGS", 1)
+    df = spark.createDataFrame([(i, [1.0, i / 1000], 1) for i in range(5)], "vec_id bigint, embedding array<double>, label int")
+    with pytest.raises(RuntimeError):
+        neardup.near_duplicates(df, target=1.1)
+
+
 # shared helpers
 
 
