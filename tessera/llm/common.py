@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -38,7 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out.tessera_place = place
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``cut`` that nothing will read again, now that all that came from it is written."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.tessera_place)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

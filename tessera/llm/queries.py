@@ -27,7 +27,7 @@ def mixing_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"), passages=suffixdedup.PASSAGES)
 
 
 def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,55 +1,102 @@
-"""Removal of long byte strings that occur more than once in a corpus.
-
-A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in the same
-document or in another.  Matches never cross documents.
-
-1. Anchors.  In every string of ``length`` bytes the least hash of its ``ANCHOR``-byte strings marks an
-   anchor, by the string's content alone, so equal strings have the same anchor at the same place.
-   About one byte in 170 is an anchor.  Only anchors whose string occurs twice go on.
-2. Contexts.  All strings that hold an anchor lie in its context.  Where a context occurs twice, all of it
-   is removed; one copy of each distinct context goes on.
-3. Index.  A string that holds an anchor holds the 168 bytes before it, or those after it.  Contexts that
-   share such a core meet in one task, where the core is a single symbol.  There a run-length
-   Burrows-Wheeler index of the distinct contexts is built, with sampled run ends; its matching
-   statistics, streamed over the text, say which strings have a match.
-
-Every step is an aggregation with partial sums or a join of plain shuffles.  An anchor with more than
-``HOT`` distinct contexts would make a large task; its strings are counted one by one by their hashes
-instead, in an aggregation that spreads them.
+"""Removal of long strings that occur more than once in a corpus, of bytes or of words.
+
+A symbol is removed if a string of ``length`` symbols that covers it also starts anywhere else, in the same document
+or in another.  Matches never cross documents.  A ``Measure`` says what a symbol is: a byte, or a word by its
+64-bit hash whatever separates it from the next one.
+
+1. Anchors.  In every string of ``length`` symbols the least hash of its ``anchor``-symbol strings marks an anchor,
+   by the string's content alone, so equal strings have the same anchor at the same place.  Only anchors whose
+   string occurs twice go on.  They deal the work out and decide nothing.
+2. Contexts.  All strings that hold an anchor lie in its context.  Equal contexts are one row with a count.
+3. Index.  The contexts of an anchor meet in one task.  There their run-length Burrows-Wheeler transform is built,
+   with sampled run ends (``rindex``); the matching statistics, streamed over it, say which strings occur elsewhere.
+   What is compared are the symbols themselves, those of the anchor too.
+4. Marks.  The removed parts of a context hold for all documents that have it.
+
+Every step is an aggregation with partial sums or a join of plain shuffles.  An anchor with more than ``hot`` distinct
+contexts is dealt in ``PARTS`` groups of strings that share all but the ends, by those symbols; where a group is still
+larger, very many documents share one string and differ after it, and its strings are counted one by one by their
+hashes, in an aggregation that spreads them.
 
 Cases: a null text is an empty one; texts shorter than ``length`` keep all; texts of any length are read in
-overlapping slices; repeated rows match each other; an empty table gives no rows; extra columns stay.
-Equality of cores is that of two 64-bit hashes.
+overlapping slices of bytes; repeated rows match each other; an empty table gives no rows; extra columns stay, also
+those named like the operator's own.  Rows and contexts are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import passages
-from .common import cut, groups_of, views
+from . import shingles
+from .common import SEPARATORS, cut, discard, groups_of, views
 from .pretokens import mix, powers
 from .rindex import RunIndex
 
-LENGTH, ANCHOR = 400, 64
-#: Distinct contexts of an anchor beyond which its strings are counted one by one.
-HOT = 20_000
-#: Contexts of one index, at least; bytes of one pass over texts.
-CHUNK, SLICE = 4096, 1 << 20
+#: Distinct contexts of an anchor beyond which they are dealt in parts, and those beyond which strings are counted one by one.
+HOT = 1024
 PARTS = 4
-_TABLES = mix(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
+#: Contexts of one index, at least; contexts that are cut out at a time; bytes of one pass over texts.
+CHUNK, CUT, SLICE = 8192, 1024, 1 << 20
+ROW_KEY = "struct<a:bigint,b:bigint>"
+BYTES, WORDS = 0, 1
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(SEPARATORS)] = True
+
+
+@dataclass(frozen=True)
+class Measure:
+    """Strings of ``length`` symbols (bytes or words), found by anchors of ``anchor`` symbols."""
+
+    unit: int
+    length: int
+    anchor: int
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.anchor
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.unit == BYTES else np.uint64
+
+    def check(self) -> None:
+        if not 0 < self.anchor < self.length:
+            raise ValueError("a string must be longer than its anchor")
+
+    def least_bytes(self) -> int:
+        return self.length if self.unit == BYTES else 2 * self.length - 1
+
+
+#: Strings of 400 bytes, and passages of over 50 words.
+STRINGS, PASSAGES = Measure(BYTES, 400, 64), Measure(WORDS, 51, 12)
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of each word of texts that lie side by side in ``data``."""
+    begin, end = int(offsets[0]), int(offsets[-1])
+    edge = np.zeros(end - begin + 1, bool)
+    edge[offsets - begin] = True
+    inside = ~_SEPARATOR[data[begin:end]]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(first) + begin, np.flatnonzero(last) + 1 + begin
 
 
-def _sums(data: np.ndarray, table: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLES[table][data] * up[: len(data)], out=out[1:])
+def _sums(values: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    up, down = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    hashed = _TABLE[values] if values.dtype == np.uint8 else values
+    np.cumsum((mix(hashed ^ np.uint64(salt)) if salt else hashed) * up[: len(values)], out=out[1:])
     return out, down
 
 
@@ -61,30 +108,31 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[:n], to[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, hash of the context) of the anchors of all strings that start in [low, high) of ``data``, inside texts.
+def anchors(values: np.ndarray, bounds: np.ndarray, measure: Measure, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, hash of the context) of the anchors of all strings that start in [low, high) of ``values``, inside texts.
 
     An anchor that also serves the start before ``low`` is left out: the slice before emits it. The starts that an anchor
     serves are consecutive, so no other anchor is shared.
     """
-    n, width = len(data), length - ANCHOR + 1
+    n, width = len(values), measure.reach + 1
     empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if n < length:
+    if n < measure.length:
         return empty
-    sums, down = _sums(data)
-    x = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
-    bits = max(1, n.bit_length())
-    least = _least((x >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(x), dtype=np.uint64), width)
-    end = np.repeat(offsets[1:], np.diff(offsets))  # of the text at each byte
-    starts = np.arange(n - length + 1)
-    inside = (starts + length <= end[: len(starts)]) & (starts >= low) & (starts < high)
-    place = np.unique(least[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    sums, down = _sums(values)
+    x = mix((sums[measure.anchor :] - sums[: -measure.anchor]) * down[: n - measure.anchor + 1])
+    bits = np.uint64(max(1, n.bit_length()))
+    least = _least((x >> bits << bits) | np.arange(len(x), dtype=np.uint64), width)
+    end = np.repeat(bounds[1:], np.diff(bounds))  # of the text at each symbol
+    starts = np.arange(n - measure.length + 1)
+    inside = (starts + measure.length <= end[: len(starts)]) & (starts >= low) & (starts < high)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.unique(least[inside] & mask).astype(np.int64)
     if low and low <= len(starts):
-        place = place[place != int(least[low - 1] & np.uint64((1 << bits) - 1))]
-    text = np.searchsorted(offsets, place, side="right") - 1
-    left, right = np.maximum(place - (length - ANCHOR), offsets[text]), np.minimum(place + length, offsets[text + 1])
+        place = place[place != int(least[low - 1] & mask)]
+    text = np.searchsorted(bounds, place, side="right") - 1
+    left, right = np.maximum(place - measure.reach, bounds[text]), np.minimum(place + measure.length, bounds[text + 1])
     around = mix((sums[right] - sums[left]) * down[left]) + mix((place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64))
-    return place, x[place], around
+    return place, x[place] ^ np.uint64(measure.unit), around
 
 
 def _slices(offsets: np.ndarray, length: int):
@@ -99,267 +147,285 @@ def _slices(offsets: np.ndarray, length: int):
             yield a, z, low, min(end, at + SLICE + 2 * length), at - low, at - low + SLICE
 
 
-def _anchors(length: int):
-    """row_key, text -> row_key, pos, h, ctx."""
+def _anchors(measures: tuple[Measure, ...]):
+    """row_key, text -> row_key, unit, pos, h, ctx."""
+
+    def rows(b: pa.RecordBatch, measure: Measure):
+        data, offsets = views(b.column(1))
+        if measure.unit == WORDS:
+            for a, z in groups_of(offsets, SLICE):
+                values, bounds = shingles.words(data, offsets[a : z + 1])
+                place, h, around = anchors(values, bounds, measure, 0, len(values))
+                text = np.searchsorted(bounds, place, side="right") - 1
+                yield text + a, place - bounds[text], h, around
+            return
+        for a, z, begin, end, low, high in _slices(offsets, measure.length):
+            own = np.clip(offsets[a : z + 1], begin, end) - begin
+            place, h, around = anchors(data[begin:end], own, measure, low, high)
+            text = np.searchsorted(offsets[a : z + 1], place + begin, side="right") - 1 + a
+            yield text, place + begin - offsets[text], h, around
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            key = b.column(0).to_numpy()
-            data, offsets = views(b.column(1))
-            for a, z, begin, end, low, high in _slices(offsets, length):
-                own = np.clip(offsets[a : z + 1], begin, end) - begin
-                place, h, around = anchors(data[begin:end], own, length, low, high)
-                text = np.searchsorted(offsets[a : z + 1], place + begin, side="right") - 1 + a
-                pos = place + begin - offsets[text]
-                yield pa.RecordBatch.from_arrays([pa.array(key[text]), pa.array(pos), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], names=["row_key", "pos", "h", "ctx"])
+            for measure in measures:
+                for text, pos, h, around in rows(b, measure):
+                    unit = np.full(len(pos), measure.unit, np.int8)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(unit), pa.array(pos), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], names=["row_key", "unit", "pos", "h", "ctx"])
 
     return inside
 
 
-def _cores(length: int, columns: list[str], hot: bool):
-    """Documents with their anchors' places -> (core1, core2, sides, left, right, row_key, pos, side), or strings of hot anchors.
-
-    A side's core is the anchor with the bytes after (0) or before (1) it; ``sides`` are the bytes around the core.
-    The two sides never meet: neighbouring anchors can have one core at one place.
-    """
-    half = (length - ANCHOR) // 2
-    core = ANCHOR + half
+CONTEXT = "unit tinyint, g bigint, h bigint, ctx bigint, n bigint, part int, n_left int, n_right int, left binary, right binary"
+
+
+def _fixed(raw: np.ndarray) -> pa.Array:
+    size = raw.shape[1] * raw.itemsize
+    return pa.Array.from_buffers(pa.binary(size), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]).cast(pa.binary())
+
+
+def _parts(measure: Measure) -> list[tuple[int, int]]:
+    """(first, last) string of each part of a context."""
+    step = -(-(measure.reach + 1) // PARTS)
+    return [(a, min(a + step - 1, measure.reach)) for a in range(0, measure.reach + 1, step)]
+
+
+def _contexts(measures: tuple[Measure, ...], hot: bool):
+    """text, places (pos, unit, h, ctx, n) -> a row for each context, or for each part of it, with its symbols to the left of the anchor's end and to the right."""
+
+    def one(measure: Measure, values: np.ndarray, low: np.ndarray, high: np.ndarray, p: np.ndarray, columns: list[np.ndarray]):
+        for at in range(0, len(p), CUT):
+            place, edge, stop = p[at : at + CUT], low[at : at + CUT], high[at : at + CUT]
+            h, ctx, n = (c[at : at + CUT] for c in columns)
+            middle = place + measure.anchor
+            n_left, n_right = np.minimum(measure.length, middle - edge), np.minimum(measure.reach, stop - middle)
+            left = values[np.maximum(middle[:, None] - 1 - np.arange(measure.length), 0)]
+            right = values[np.minimum(middle[:, None] + np.arange(measure.reach), len(values) - 1)]
+            left[np.arange(measure.length) >= n_left[:, None]] = 0
+            right[np.arange(measure.reach) >= n_right[:, None]] = 0
+            raw, unit = (_fixed(left), _fixed(right)), np.full(len(place), measure.unit, np.int8)
+            for part, (first, last) in enumerate(_parts(measure) if hot else [(0, 0)]):
+                g, some = h, np.arange(len(place))
+                if hot:  # the strings first to last share these symbols
+                    a, z = middle - (measure.length - last), middle + first
+                    some = np.flatnonzero((a >= edge) & (z <= stop))
+                    sums, down = _sums(values[int(edge.min()) : int(stop.max())])
+                    a, z = a[some] - int(edge.min()), z[some] - int(edge.min())
+                    g = (mix((sums[z] - sums[a]) * down[a]) ^ mix(h[some].view(np.uint64) + np.uint64(part))).view(np.int64)
+                take = pa.array(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unit[some]), pa.array(g), pa.array(h[some]), pa.array(ctx[some]), pa.array(n[some]), pa.array(np.full(len(some), part if hot else -1, np.int32)), pa.array(n_left[some].astype(np.int32)), pa.array(n_right[some].astype(np.int32)), raw[0].take(take), raw[1].take(take)],
+                    names=["unit", "g", "h", "ctx", "n", "part", "n_left", "n_right", "left", "right"],
+                )
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            data, offsets = views(b.column(columns.index("text")))
-            lists = b.column(columns.index("places"))
-            count = np.diff(lists.offsets.to_numpy())
-            key = np.repeat(b.column(columns.index("row_key")).to_numpy(), count)
-            pos = lists.flatten().to_numpy()
-            text = np.repeat(np.arange(b.num_rows), count)
-            for at in range(0, len(pos), CHUNK):
-                t, p = text[at : at + CHUNK], pos[at : at + CHUNK]
-                begin, end = int(offsets[t[0]]), int(offsets[t[-1] + 1])
-                if end - begin > SLICE:  # only what lies around these places
-                    begin, end = max(begin, int(offsets[t[0]] + p[0]) - length), min(end, int((offsets[t] + p).max()) + length)
-                part = data[begin:end]
-                left_edge, right_edge = np.maximum(offsets[t] - begin, 0), np.minimum(offsets[t + 1] - begin, end - begin)
-                place = offsets[t] + p - begin
-                k = key[at : at + CHUNK]
-                hashes = [_sums(part, table) for table in (0, 1)]
-                take = lambda x, y: [mix((s[y] - s[x]) * d[x]).view(np.int64) for s, d in hashes]  # noqa: E731, B023
-                if hot:
-                    for d in range(0, length - ANCHOR + 1):
-                        x = place - d
-                        ok = np.flatnonzero((x >= left_edge) & (x + length <= right_edge))
-                        h1, h2 = take(x[ok], x[ok] + length)
-                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(k[ok]), pa.array((p - d)[ok])], names=["h1", "h2", "row_key", "start"])
-                    continue
-                for side in (0, 1):
-                    x = place - side * half
-                    ok = np.flatnonzero((x >= left_edge) & (x + core <= right_edge))
-                    x = x[ok]
-                    left, right = np.minimum(half, x - left_edge[ok]), np.minimum(half, right_edge[ok] - x - core)
-                    span = np.arange(half)
-                    before, after = x[:, None] - half + span, x[:, None] + core + span
-                    around = np.empty((len(ok), 2 * half), np.uint8)
-                    around[:, :half] = part[np.maximum(before, 0)]
-                    around[:, half:] = part[np.minimum(after, len(part) - 1)]
-                    around[:, :half][span < half - left[:, None]] = 0
-                    around[:, half:][span >= right[:, None]] = 0
-                    raw = pa.Array.from_buffers(pa.binary(2 * half), len(ok), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
-                    h1, h2 = take(x, x + core)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1 ^ side), pa.array(h2), raw, pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(k[ok]), pa.array(p[ok]), pa.array(np.full(len(ok), side, np.int32))],
-                        names=["core1", "core2", "sides", "n_left", "n_right", "row_key", "pos", "side"],
-                    )
+            data, offsets = views(b.column(0))
+            lists = b.column(1)
+            text = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            fields = lists.flatten()
+            pos, unit, h, ctx, n = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            for measure in measures:
+                for a, z in groups_of(offsets, SLICE):
+                    at = np.flatnonzero((unit == measure.unit) & (text >= a) & (text < z))
+                    if not len(at):
+                        continue
+                    if measure.unit == WORDS:
+                        values, bounds = shingles.words(data, offsets[a : z + 1])
+                    else:
+                        values, bounds = data[int(offsets[a]) : int(offsets[z])], offsets[a : z + 1] - int(offsets[a])
+                    own = text[at] - a
+                    yield from one(measure, values, bounds[own], bounds[own + 1], bounds[own] + pos[at], [c[at] for c in (h, ctx, n)])
 
     return inside
 
 
-def matches(group: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the half + 1 strings of each context occur in another of its group (of contexts with one core).
-
-    String s has the last half - s bytes before the core, the core, and the first s bytes after it.
-    """
-    m, half = len(group), around.shape[1] // 2
-    found = np.zeros((m, half + 1), bool)
-    before, after = around[:, :half], around[:, half:]
-    up, _ = powers(half + 1)
-    to_core = np.zeros((m, half + 1), np.uint64)  # hash of before[i:]
-    np.cumsum((before[:, ::-1].astype(np.uint64) + np.uint64(1)) * up[:half], axis=1, out=to_core[:, 1:])
-    to_core = to_core[:, ::-1]
-    from_core = np.zeros((m, half + 1), np.uint64)  # hash of after[:i]
-    np.cumsum((after.astype(np.uint64) + np.uint64(1)) * up[:half], axis=1, out=from_core[:, 1:])
-    step = -(-half // PARTS)
-    label = mix(group.astype(np.uint64) + np.uint64(1))
-    for a in range(0, half + 1, step):
-        z = min(a + step, half)  # strings a..z share before[z:], the core and after[:a]
-        usable = np.flatnonzero((left >= half - z) & (right >= a))
-        shared = mix(mix(to_core[usable, z] + label[usable]) ^ (from_core[usable, a] + np.uint64(a)))
-        _, which, times = np.unique(shared, return_inverse=True, return_counts=True)
-        usable, which = usable[times[which] > 1], which[times[which] > 1]
-        if not len(usable):
-            continue
-        width = z - a
-        rows = np.empty((len(usable), 2 * width + 1), np.int64)
-        rows[:, :width] = before[usable, a:z]
-        rows[:, width + 1 :] = after[usable, a:z]
-        rows[:, :width] += 1
-        rows[:, width + 1 :] += 1
-        outside = np.arange(width)
-        rows[:, :width][outside < (half - a - left[usable])[:, None]] = 0
-        rows[:, width + 1 :][outside >= (right[usable] - a)[:, None]] = 0
-        _, rows[:, width] = np.unique(which, return_inverse=True)
-        rows[:, width] += 257
-        packed = np.ascontiguousarray(np.concatenate([rows[:, width : width + 1].astype(np.int32).view(np.uint8), rows[:, :width].astype(np.uint16).view(np.uint8), rows[:, width + 1 :].astype(np.uint16).view(np.uint8)], axis=1))
-        _, first, same, times = np.unique(packed.view(np.dtype((np.void, packed.shape[1]))).ravel(), return_index=True, return_inverse=True, return_counts=True)
-        distinct = rows[first]
-        _, core, cores = np.unique(distinct[:, width], return_inverse=True, return_counts=True)
-        several = np.flatnonzero(cores[core] > 1)
-        hit = np.zeros((len(first), width + 1), bool)
-        if len(several):
-            top = int(distinct[:, width].max()) + 1
-            ends = top + np.arange(len(several))
-            text = np.concatenate([distinct[several], ends[:, None]], axis=1).ravel()
-            hit[several] = (RunIndex(text).statistics() >= width + 1).reshape(len(several), -1)[:, : width + 1]
-        hit[times > 1] = True
-        s = np.arange(a, z + 1)
-        fits = (half - s <= left[usable][:, None]) & (s <= right[usable][:, None])
-        found[usable[:, None], s[None, :]] |= hit[same] & fits
-    return found
-
-
-def _index(length: int):
-    """Contexts sorted by core -> (row_key, begin, end) of removed bytes."""
-    half = (length - ANCHOR) // 2
-
-    def ranges(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        around = np.frombuffer(b"".join(t.column("sides").to_pylist()), np.uint8).reshape(t.num_rows, 2 * half)
-        left, right, pos, side = (t.column(c).to_numpy() for c in ("n_left", "n_right", "pos", "side"))
-        found = matches(group, around, left, right)
+def _table(t: pa.Table, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of contexts as small numbers from 1 on, 0 beyond the text."""
+    out = []
+    for column, count, width in (("left", "n_left", measure.length), ("right", "n_right", measure.reach)):
+        raw = np.frombuffer(b"".join(t.column(column).to_pylist()), measure.kind).reshape(t.num_rows, width)
+        out.append((raw, np.arange(width) < t.column(count).to_numpy()[:, None]))
+    if measure.unit == BYTES:
+        return tuple(np.where(ok, raw.astype(np.uint16) + np.uint16(1), np.uint16(0)) for raw, ok in out)
+    _, dense = np.unique(np.concatenate([raw.ravel() for raw, _ in out]), return_inverse=True)
+    dense = (dense.ravel() + 1).astype(np.uint32)
+    left, right = dense[: out[0][0].size].reshape(out[0][0].shape), dense[out[0][0].size :].reshape(out[1][0].shape)
+    return np.where(out[0][1], left, np.uint32(0)), np.where(out[1][1], right, np.uint32(0))
+
+
+def _index(measures: tuple[Measure, ...]):
+    """Contexts sorted by (unit, g) -> (unit, h, ctx, begin, end) of the symbols to remove, from the anchor's place."""
+    by_unit = {m.unit: m for m in measures}
+
+    def ranges(t: pa.Table, unit: int) -> pa.RecordBatch:
+        measure = by_unit[unit]
+        g = t.column("g").to_numpy()
+        group = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]).astype(np.int64)
+        found = RunIndex(group, *_table(t, measure), t.column("n").to_numpy()).matches(measure.length)
+        part = t.column("part").to_numpy()
+        for k, (first, last) in enumerate(_parts(measure)):
+            found[part == k, :first] = False
+            found[part == k, last + 1 :] = False
         edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, s = np.nonzero(edge == 1)
         _, e = np.nonzero(edge == -1)
-        start = pos[row] - side[row] * half - half + s
-        return pa.RecordBatch.from_arrays([pa.array(t.column("row_key").to_numpy()[row]), pa.array(start), pa.array(start + (e - s) - 1 + length)], names=["row_key", "begin", "end"])
+        begin = s.astype(np.int32) - measure.reach
+        end = e.astype(np.int32) - 1 - measure.reach + measure.length
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), unit, np.int8)), pa.array(t.column("h").to_numpy()[row]), pa.array(t.column("ctx").to_numpy()[row]), pa.array(begin), pa.array(end)], names=["unit", "h", "ctx", "begin", "end"])
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        rest = None
-        ready = 0
-        for b in _with_end(stream):
-            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if t is None or not t.num_rows:
+        held: list[pa.RecordBatch] = []
+        for b in stream:
+            if not b.num_rows:
                 continue
-            c1, c2 = t.column("core1").to_numpy(), t.column("core2").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
-            stop = t.num_rows if b is None else int(new[-1])
-            rest = None if b is None else t.slice(stop).combine_chunks()
-            sizes = np.diff(np.append(new[new < stop], stop))
-            several = np.repeat(sizes > 1, sizes)
-            if several.any():
-                part = t.slice(0, stop).filter(pa.array(several))
-                held.append(part)
-                ready += part.num_rows
-            if ready >= CHUNK:
-                yield _whole(held)
-                held, ready = [], 0
+            held.append(b)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                t = pa.Table.from_batches(held).combine_chunks()
+                unit, g = t.column("unit").to_numpy(), t.column("g").to_numpy()
+                last = int(np.flatnonzero((unit != unit[-1]) | (g != g[-1])).max(initial=-1)) + 1  # the last group may go on
+                if last:
+                    yield from whole(t.slice(0, last))
+                held = t.slice(last).to_batches()
         if held:
-            yield _whole(held)
+            yield from whole(pa.Table.from_batches(held).combine_chunks())
 
-    def _whole(parts: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(parts)
-        c1, c2 = t.column("core1").to_numpy(), t.column("core2").to_numpy()
-        return ranges(t, np.concatenate([[0], np.cumsum((c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))]))
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit = t.column("unit").to_numpy()
+        for u in np.unique(unit).tolist():
+            at = np.flatnonzero(unit == u)
+            yield ranges(t.slice(int(at[0]), len(at)), u)
 
     return inside
 
 
-def _with_end(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from stream
-    yield None
+def _strings(measures: tuple[Measure, ...]):
+    """Parts of contexts -> (h1, h2, n, unit, h, ctx, begin) of their strings, one by one."""
+    by_unit = {m.unit: m for m in measures}
+
+    def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for at in range(0, b.num_rows, CUT):
+                piece = pa.Table.from_batches([b.slice(at, CUT)])
+                for u in set(piece.column("unit").to_pylist()):
+                    measure = by_unit[u]
+                    t = piece.filter(pa.array([x == u for x in piece.column("unit").to_pylist()])).combine_chunks()
+                    raw = [np.frombuffer(b"".join(t.column(c).to_pylist()), measure.kind).reshape(t.num_rows, -1) for c in ("left", "right")]
+                    line = np.concatenate([raw[0][:, ::-1], raw[1]], axis=1)
+                    n_left, n_right, part = (t.column(c).to_numpy() for c in ("n_left", "n_right", "part"))
+                    hashes = [(s.reshape(-1), down) for s, down in (_sums(line.ravel(), salt) for salt in (0, 77))]
+                    row = np.arange(t.num_rows) * line.shape[1]
+                    for k, (first, last) in enumerate(_parts(measure)):
+                        for s in range(first, last + 1):
+                            some = np.flatnonzero((part == k) & (n_left >= measure.length - s) & (n_right >= s))
+                            if len(some):
+                                a = row[some] + s
+                                h1, h2 = (pa.array(mix((sums[a + measure.length] - sums[a]) * down[a]).view(np.int64)) for sums, down in hashes)
+                                take = lambda c: t.column(c).combine_chunks().take(pa.array(some))  # noqa: E731, B023
+                                yield pa.RecordBatch.from_arrays([h1, h2, take("n"), take("unit"), take("h"), take("ctx"), pa.array(np.full(len(some), s - measure.reach, np.int32))], names=["h1", "h2", "n", "unit", "h", "ctx", "begin"])
+
+    return inside
 
 
-def marks(keyed: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(row_key, begin, end) of the bytes to remove from ``keyed`` (row_key, text, ...); ends may lie beyond the text."""
-    reach = length - ANCHOR
-    text = F.coalesce("text", F.lit(""))
-    seen = cut(keyed.select("row_key", text.alias("text")).where(F.octet_length("text") >= length).mapInArrow(_anchors(length), "row_key bigint, pos bigint, h bigint, ctx bigint"))
-    again = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    seen = cut(seen.join(again, "h"))
+def marks(keyed: DataFrame, measures: tuple[Measure, ...] = (STRINGS,), *, hot: int = HOT) -> DataFrame:
+    """(row_key, unit, begin, end) of the symbols of ``keyed`` (row_key, text, ...) to remove."""
+    for measure in measures:
+        measure.check()
+    texts = keyed.select("row_key", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= min(m.least_bytes() for m in measures))
+    every = cut(texts.mapInArrow(_anchors(measures), f"row_key {ROW_KEY}, unit tinyint, pos bigint, h bigint, ctx bigint"))
+    again = cut(every.groupBy("unit", "h").agg(F.count("*").alias("n")).where("n > 1").select("unit", "h"))
+    seen = cut(every.join(again, ["unit", "h"]).select("row_key", "unit", "pos", "h", "ctx"))
+    discard(every)
     first = F.min(F.struct("row_key", "pos")).alias("first")
-    contexts = cut(seen.groupBy("h", "ctx").agg(F.count("*").alias("n"), first))
-    several = cut(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    contexts = contexts.join(several, "h", "left").select("h", "ctx", "n", "first", F.coalesce("m", F.lit(1)).alias("m"))
-    seen = seen.join(contexts, ["h", "ctx"])
-    alone = (F.col("n") == 1) | (F.col("first") == F.struct("row_key", "pos"))
-    seen = cut(seen.select("row_key", "pos", (F.col("n") > 1).alias("whole"), ((F.col("m") > 1) & alone).alias("open"), (F.col("m") > hot).alias("hot")).where("whole OR open"))
-    whole = seen.where("whole").select("row_key", (F.col("pos") - reach).alias("begin"), (F.col("pos") + length).alias("end"))
-    columns = [*keyed.columns, "places"]
-
-    def places(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-        return keyed.join(found.hint("shuffle_hash"), "row_key").select(*columns)
-
-    core = "core1 bigint, core2 bigint, sides binary, n_left int, n_right int, row_key bigint, pos bigint, side int"
-    cores = places(seen.where("open AND NOT hot")).mapInArrow(_cores(length, columns, False), core)
-    found = cores.repartition("core1", "core2").sortWithinPartitions("core1", "core2").mapInArrow(_index(length), "row_key bigint, begin bigint, end bigint")
-    out = whole.union(found)
-    if not seen.where("hot AND open").isEmpty():
-        strings = places(seen.where("open AND hot")).mapInArrow(_cores(length, columns, True), "h1 bigint, h2 bigint, row_key bigint, start bigint").distinct()
-        strings = cut(strings)
-        repeated = cut(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
-        out = out.union(strings.join(repeated, ["h1", "h2"]).select("row_key", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
-    return out
-
-
-def _remove(columns: list[str], texts: bool):
-    """Documents with ``spans`` -> the same columns, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept."""
+    contexts = cut(seen.groupBy("unit", "h", "ctx").agg(F.count("*").alias("n"), first))
+    crowded = cut(contexts.groupBy("unit", "h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("unit", "h", F.lit(True).alias("hot")))
+    many = not crowded.isEmpty()
+    if many:
+        contexts = contexts.join(crowded, ["unit", "h"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    contexts = contexts.withColumns({"row_key": F.col("first.row_key"), "pos": F.col("first.pos")})
+
+    def cut_out(rows: DataFrame, parts: bool) -> DataFrame:
+        places = rows.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "h", "ctx", "n"))).alias("places"))
+        return texts.join(places.hint("shuffle_hash"), "row_key").select("text", "places").mapInArrow(_contexts(measures, parts), CONTEXT)
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        return rows.repartition("unit", "g").sortWithinPartitions("unit", "g").mapInArrow(_index(measures), "unit tinyint, h bigint, ctx bigint, begin int, end int")
+
+    found = indexed(cut_out(contexts.where("NOT hot") if many else contexts, False))
+    if many:
+        rows = cut(cut_out(contexts.where("hot"), True))
+        sizes = cut(rows.groupBy("unit", "g").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1"))  # else no string can occur twice
+        rows = rows.join(sizes.withColumn("crowd", F.col("m") > hot).select("unit", "g", "crowd"), ["unit", "g"])
+        found = found.union(indexed(rows.where("NOT crowd").drop("crowd").select(*contexts_columns())))
+        strings = cut(rows.where("crowd").select(*contexts_columns()).mapInArrow(_strings(measures), "h1 bigint, h2 bigint, n bigint, unit tinyint, h bigint, ctx bigint, begin int"))
+        repeated = cut(strings.groupBy("unit", "h", "h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("unit", "h", "h1", "h2"))
+        length = F.element_at(F.create_map(*(F.lit(x) for m in measures for x in (m.unit, m.length))), F.col("unit").cast("int"))
+        # the strings of an anchor all hold it, so what they cover has no gap
+        apart = strings.join(repeated, ["unit", "h", "h1", "h2"]).groupBy("unit", "h", "ctx").agg(F.min("begin").alias("begin"), F.max("begin").alias("last"))
+        found = found.union(apart.select("unit", "h", "ctx", "begin", (F.col("last") + length).cast("int").alias("end")))
+    found = cut(found)
+    return seen.join(found, ["unit", "h", "ctx"]).select("row_key", "unit", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
+
+
+def contexts_columns() -> list[str]:
+    return [c.split()[0] for c in CONTEXT.split(", ")]
+
+
+def _remove(columns: list[str], units: tuple[int, ...], texts: bool):
+    """Documents with ``spans`` -> the same columns with n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes and, if asked for, kept."""
+
+    def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(begin, end) of the maximal runs of what the spans cover of n bytes."""
+        order = np.argsort(begin, kind="stable")
+        begin, end = np.clip(begin[order], 0, n), np.maximum.accumulate(np.clip(end[order], 0, n))
+        new = np.concatenate([[True], begin[1:] > end[:-1]]) if len(begin) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        runs = np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+        return runs[runs[:, 1] > runs[:, 0]]
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            whole = b.column(columns.index("text")).to_pylist()
-            lists = b.column(columns.index("spans")).to_pylist()
-            size, gone, count, kept, digest = [], [], [], [], []
-            for text, spans in zip(whole, lists, strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                n, removed, number, at, parts = len(raw), 0, 0, 0, []
-                if spans:
-                    edge = np.zeros(n + 1, np.int32)
-                    begin = np.clip(np.array([s["begin"] for s in spans]), 0, n)
-                    end = np.clip(np.array([s["end"] for s in spans]), 0, n)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, end, -1)
-                    inside_ = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
-                    for x, y in zip(np.flatnonzero(inside_ == 1).tolist(), np.flatnonzero(inside_ == -1).tolist(), strict=True):
-                        parts.append(raw[at:x])
-                        removed, number, at = removed + y - x, number + 1, y
-                parts.append(raw[at:])
-                left = b"".join(parts)
-                size.append(n), gone.append(removed), count.append(number), digest.append(hashlib.sha256(left).hexdigest())
-                if texts:
-                    kept.append(left.decode("utf-8", "ignore"))
-            added = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())] + [pa.array(kept, pa.string())] * texts
+            data, offsets = views(b.column(columns.index("text")))
+            lists = b.column(columns.index("spans"))
+            fields, bounds = lists.flatten(), np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])]).astype(np.int64)
+            unit, begin, end = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows: list[tuple] = []
+            for i in range(b.num_rows):
+                raw, own = data[offsets[i] : offsets[i + 1]], slice(bounds[i], bounds[i + 1])
+                u, x, y = unit[own], begin[own].astype(np.int64), end[own].astype(np.int64)
+                words = u == WORDS
+                if words.any():
+                    first, last = word_places(raw, np.array([0, len(raw)]))
+                    x, y = np.where(words, first[np.where(words, x, 0)], x), np.where(words, last[np.where(words, y, 1) - 1], y)
+                passages = covered(len(raw), x[words], y[words])
+                some = np.isin(u, units)
+                gone = covered(len(raw), x[some], y[some])
+                edges = np.concatenate([[0], gone.ravel(), [len(raw)]]).reshape(-1, 2)
+                left = b"".join(raw[p:q].tobytes() for p, q in edges.tolist())
+                rows.append((len(raw), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(left).hexdigest(), len(passages), int((passages[:, 1] - passages[:, 0]).sum()), *([left.decode("utf-8", "ignore")] * texts)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * texts
+            added = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             others = [(c, b.column(i)) for i, c in enumerate(columns) if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([x for _, x in others] + added, names=[c for c, _ in others] + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts)
+            yield pa.RecordBatch.from_arrays([x for _, x in others] + added, names=[c for c, _ in others] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"] + ["kept"] * texts)
 
     return inside
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), length: int = LENGTH, hot: int = HOT, texts: bool = False, words: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), strings: Measure = STRINGS, passages: Measure | None = None, cut_passages: bool = False, hot: int = HOT, texts: bool = False) -> DataFrame:
     """id_col, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (text).
 
-    With ``words`` also the repeated passages of as many words go, however few bytes they have.
-    With ``texts`` also kept: the text that stays, without characters of which a part was removed.
+    With ``passages`` also n_passages and passage_bytes: the runs of words that ``passages`` says occur elsewhere, and
+    their bytes; with ``cut_passages`` those are removed as well.  With ``texts`` also kept: the text that stays,
+    without characters of which a part was removed.
     """
-    if length < 2 * ANCHOR or (length - ANCHOR) % (2 * PARTS):
-        raise ValueError("length must be at least 128, and 64 more than a multiple of 8")
+    measures = (strings,) if passages is None else (strings, passages)
     held = list(dict.fromkeys([id_col, *keep]))
-    keyed = docs.select(F.xxhash64(id_col, "text").alias("row_key"), *(F.col(c).alias(f"own_{c}") for c in held), "text")
-    found = marks(keyed, length=length, hot=hot)
-    if words is not None:
-        found = found.union(passages.marks(keyed, words=words))
-    spans = found.groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    row_key = F.struct(F.xxhash64(id_col, "text").alias("a"), F.xxhash64(F.lit(1), "text", id_col).alias("b")).alias("row_key")
+    keyed = docs.select(row_key, *(F.col(c).alias(f"own_{c}") for c in held), "text")
+    spans = marks(keyed, measures, hot=hot).groupBy("row_key").agg(F.collect_list(F.struct("unit", "begin", "end")).alias("spans"))
     columns = [*keyed.columns, "spans"]
     joined = keyed.join(spans.hint("shuffle_hash"), "row_key", "left").select(*columns)
     kinds = ", ".join(f"`own_{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
-    out = joined.mapInArrow(_remove(columns, texts), f"row_key bigint, {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * texts)
-    return out.select(*(F.col(f"own_{c}").alias(c) for c in held), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else []))
+    units = (strings.unit, passages.unit) if cut_passages and passages is not None else (strings.unit,)
+    more = ["n_passages", "passage_bytes"] if passages is not None else []
+    out = joined.mapInArrow(_remove(columns, units, texts), f"row_key {ROW_KEY}, {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint" + ", kept string" * texts)
+    return out.select(*(F.col(f"own_{c}").alias(c) for c in held), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more, *(["kept"] if texts else []))

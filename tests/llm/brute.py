@@ -71,6 +71,40 @@ def removed(texts, length=400):
     return out
 
 
+def passages(texts, width=51):
+    """[[(begin, end)]] of the bytes of passages of as many words that occur twice."""
+    raw = [(t or "").encode().decode("latin-1") for t in texts]
+    places = [[m.span() for m in WORD.finditer(t)] for t in raw]
+    windows = [[tuple(t[a:b] for a, b in p[i : i + width]) for i in range(len(p) - width + 1)] for t, p in zip(raw, places, strict=True)]
+    count = collections.Counter(w for ws in windows for w in ws)
+    out = []
+    for ws, p in zip(windows, places, strict=True):
+        spans = []
+        for i, w in enumerate(ws):
+            if count[w] > 1:
+                a, b = p[i][0], p[i + width - 1][1]
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], b)
+                else:
+                    spans.append((a, b))
+        out.append(spans)
+    return out
+
+
+def cleaned(texts, length=400, width=51):
+    """The texts without byte strings and passages of words that occur twice; None for a text that had a word and has none left."""
+    raw = [(t or "").encode() for t in texts]
+    count = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for t, b, spans in zip(texts, raw, passages(texts, width), strict=True):
+        gone = bytearray(len(b))
+        for x, y in [(i, i + length) for i in range(len(b) - length + 1) if count[b[i : i + length]] > 1] + spans:
+            gone[x:y] = b"\1" * (y - x)
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        out.append(left if t is not None and (words(left) or not words(t)) else None)
+    return out
+
+
 def near_vectors(rows, threshold=0.93):
     """[(links, component, kept)] of rows (id, vector, label)."""
     ok = []

@@ -10,6 +10,7 @@ import random
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -158,7 +159,27 @@ def test_mixing_odd_rows(odd, nothing):
 def test_repeated_strings(spark, data, documents):
     found = queries.suffix_array_dedup(spark, data)
     want = [(n, g, s, brute.sha(k)) for n, g, s, k in brute.removed(documents.text)]
-    assert bag(found) == collections.Counter((i, *x) for i, x in zip(documents.doc_id, want, strict=True))
+    passages = [(len(p), sum(e - b for b, e in p)) for p in brute.passages(documents.text)]
+    assert any(n and not w[1] for (n, _), w in zip(passages, want, strict=True))  # the words find more
+    assert bag(found) == collections.Counter((i, *x, *p) for i, x, p in zip(documents.doc_id, want, passages, strict=True))
+
+
+def test_without_the_index_nothing_is_removed(spark, data, monkeypatch):
+    """The run-length index decides: what its statistics don't say is kept, whatever anchors and contexts there are."""
+    monkeypatch.setattr(rindex.RunIndex, "statistics", lambda self: iter([(np.arange(len(self.group)), np.full(len(self.group), -1))]))
+    rows = pd.read_parquet(f"{data}/documents.parquet")
+    batch = pa.RecordBatch.from_arrays([pa.array([{"a": i, "b": i} for i in rows.doc_id]), pa.array(rows.text)], names=["row_key", "text"])
+    seen = pa.Table.from_batches(suffixdedup._anchors((suffixdedup.STRINGS,))(iter([batch]))).to_pandas()
+    seen["doc"] = [x["a"] for x in seen.row_key]
+    places = seen.groupby("doc").apply(lambda g: [{"pos": p, "unit": 0, "h": h, "ctx": c, "n": 1} for p, h, c in zip(g.pos, g.h, g.ctx, strict=True)], include_groups=False)
+    kind = pa.list_(pa.struct([("pos", pa.int64()), ("unit", pa.int8()), ("h", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())]))
+    text = rows.set_index("doc_id").text
+    asked = pa.RecordBatch.from_arrays([pa.array([text[i] for i in places.index]), pa.array(places.tolist(), kind)], names=["text", "places"])
+    contexts = pa.Table.from_batches(suffixdedup._contexts((suffixdedup.STRINGS,), False)(iter([asked]))).sort_by([("unit", "ascending"), ("g", "ascending")])
+    run = lambda: sum(b.num_rows for b in suffixdedup._index((suffixdedup.STRINGS,))(iter(contexts.combine_chunks().to_batches())))
+    assert run() == 0
+    monkeypatch.undo()
+    assert run() > 0
 
 
 @pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
@@ -189,20 +210,37 @@ def test_repeated_strings_at_random(spark, monkeypatch, hot, slice_):
         texts.append(t[: r.randrange(100, 1200)])
     texts += ["ab" * 300, "é" * 200, "a" * 136, "a" * 135]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    length = 136
+    measure = suffixdedup.Measure(suffixdedup.BYTES, 136, 64)
     # the slices are set in this process only, so the functions run here
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_key", "text"])
-    here = pa.Table.from_batches(suffixdedup._anchors(length)(iter([batch]))).to_pandas().drop_duplicates()
+    here = pa.Table.from_batches(suffixdedup._anchors((measure,))(iter([batch]))).to_pandas().drop_duplicates()
     monkeypatch.setattr(suffixdedup, "SLICE", 1 << 20)
-    whole = pa.Table.from_batches(suffixdedup._anchors(length)(iter([batch]))).to_pandas()
+    whole = pa.Table.from_batches(suffixdedup._anchors((measure,))(iter([batch]))).to_pandas()
     assert set(map(tuple, here.values)) == set(map(tuple, whole.values))
-    found = suffixdedup.deduplicate(df, length=length, hot=hot)
-    want = [(n, g, s, brute.sha(k)) for n, g, s, k in brute.removed(texts, length)]
+    found = suffixdedup.deduplicate(df, strings=measure, hot=hot)
+    want = [(n, g, s, brute.sha(k)) for n, g, s, k in brute.removed(texts, 136)]
     assert bag(found) == collections.Counter((i, *x) for i, x in enumerate(want))
 
 
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
+def test_passages_at_random(spark, hot):
+    r = random.Random(3)
+    base = [[r.choice("ab") for _ in range(90)] for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        t = list(r.choice(base))
+        a = r.randrange(len(t))
+        t = t[a:] + t[: r.randrange(len(t))]
+        for _ in range(r.randrange(4)):
+            t.insert(r.randrange(len(t) + 1), r.choice("abc"))
+        texts.append(r.choice(" \n\t").join(t[: r.randrange(20, 300)]) + r.choice(["", " \n", " é"]))
+    texts += [" ".join("ab" * 60), " ".join("a" * 51), " ".join("a" * 50), "a" * 500, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = bag(suffixdedup.deduplicate(df, passages=suffixdedup.PASSAGES, hot=hot).select("doc_id", "n_passages", "passage_bytes"))
+    want = [(len(p), sum(e - b for b, e in p)) for p in brute.passages(texts)]
+    assert got == collections.Counter((i, *x) for i, x in enumerate(want)) and any(n for n, _ in want)
+
+
 @pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
 def test_repeated_strings_of_texts_of_several_slices(spark, hot):
     """What lies about the slices' borders counts once; only true repeats go, also across a border and of repeated rows."""
@@ -217,14 +255,24 @@ def test_repeated_strings_of_texts_of_several_slices(spark, hot):
     assert bag(found) == collections.Counter(want)
 
 
-@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=30), min_size=1, max_size=8))
-@settings(max_examples=80, deadline=None)
-def test_run_index(rows):
-    """Match lengths from the sampled run ends are those of comparing all pairs."""
-    text = [s for i, row in enumerate(rows) for s in [*row, 10 + i]]
-    n = len(text)
-    longest = [max([next((k for k in range(n) if max(i, j) + k >= n or text[i + k] != text[j + k]), n) for j in range(n) if j != i], default=0) for i in range(n)]
-    assert rindex.RunIndex(np.array(text)).statistics().tolist() == longest
+@given(st.integers(1, 7), st.integers(1, 3), st.integers(1, 25), st.randoms(use_true_random=False))
+@settings(max_examples=150, deadline=None)
+def test_run_index(reach, anchor, m, r):
+    """Matches by streaming over the runs are those of counting all strings."""
+    length = reach + anchor
+    group = np.array(sorted(r.randrange(3) for _ in range(m)))
+    left, right = (np.array([[r.randrange(1, 3) for _ in range(n)] for _ in range(m)], np.uint16) for n in (length, reach))
+    for side in (left, right):
+        for row in side[:: r.randrange(2, 5)]:
+            row[r.randrange(len(row) + 1) :] = 0
+    weight = np.array([1 + (r.random() < 0.2) for _ in range(m)])
+    string = lambda i, t: (group[i], t, *left[i, : length - t], *right[i, :t])
+    count = collections.Counter()
+    for i in range(m):
+        for t in range(reach + 1):
+            count[string(i, t)] += weight[i]
+    want = [[0 not in string(i, t)[2:] and count[string(i, t)] > 1 for t in range(reach + 1)] for i in range(m)]
+    assert rindex.RunIndex(group, left, right, weight).matches(length).tolist() == want
 
 
 # 4: chat

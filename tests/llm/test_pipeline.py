@@ -30,7 +30,7 @@ def test_pipeline(spark, data, tmp_path):
             rows = list(zip(before.doc_id, before.text, strict=True))
             assert sorted(after.doc_id) == sorted({c for c, _ in brute.jaccard(rows)})
         elif name == "repeated_strings":
-            want = {i: k.decode("utf-8", "ignore") for i, (_, _, _, k) in zip(before.doc_id, brute.removed(before.text), strict=True)}
+            want = {i: k for i, k in zip(before.doc_id, brute.cleaned(before.text), strict=True) if k is not None}
             assert dict(zip(after.doc_id, after.text, strict=True)) == want
             assert (after.n_chars == after.text.str.len()).all()
         elif name == "mix_sources":
@@ -83,58 +83,34 @@ def test_short_passages_of_over_50_words_are_cut(spark, data):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema)
     found = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_strings(spark, docs.repartition(3), data).collect()}
-    want = [" ".join(words(300, "a")) + "  " + " ".join(words(300, "b")), "\n" + " ".join(words(30, "c") + short), " ".join(words(70, "d")) + " ", *texts[3:6], "", ""]
-    assert found == {i: (t, len(t)) for i, t in enumerate(want)}
-
-
-def test_passages_at_random(spark):
-    import random
-
-    from tessera.llm import passages
-
-    r = random.Random(3)
-    base = [[r.choice("ab") for _ in range(90)] for _ in range(3)]
-    texts = []
-    for _ in range(60):
-        t = list(r.choice(base))
-        a = r.randrange(len(t))
-        t = t[a:] + t[: r.randrange(len(t))]
-        for _ in range(r.randrange(4)):
-            t.insert(r.randrange(len(t) + 1), r.choice("abc"))
-        texts.append(" ".join(t[: r.randrange(20, 300)]))
-    texts += [" ".join("ab" * 60), " ".join("a" * 51), " ".join("a" * 50), "a" * 500]
-    width = 51
-    count = collections.Counter(tuple(w[i : i + width]) for w in map(brute.words, texts) for i in range(len(w) - width + 1))
-    want = set()
-    for key, t in enumerate(texts):
-        w = brute.words(t)
-        places = [m.span() for m in brute.WORD.finditer(t)]
-        for i in range(len(w) - width + 1):
-            if count[tuple(w[i : i + width])] > 1:
-                want.update((key, x) for x in range(places[i][0], places[i + width - 1][1]))
-    keyed = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").repartition(5)
-    got = {(k, x) for k, b, e in passages.marks(keyed, words=width).collect() for x in range(b, e)}
-    assert got == want and want
+    want = [" ".join(words(300, "a")) + "  " + " ".join(words(300, "b")), "\n" + " ".join(words(30, "c") + short), " ".join(words(70, "d")) + " ", *texts[3:8]]
+    assert found == {i: (t, None if t is None else len(t)) for i, t in enumerate(want)}
+    again = docs.where("doc_id = 1").union(docs.where("doc_id = 1").selectExpr("9L", "text", "lang", "source", "n_chars"))
+    assert corpus_pipeline.repeated_strings(spark, again, data).count() == 0  # no word is left
 
 
 def test_repeated_strings_are_those_of_400_bytes_or_51_words(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     table = docs.toPandas()
-    raw = [t.encode() for t in table.text]
-    spans = [[m.span() for m in brute.WORD.finditer(t.decode("latin-1"))] for t in raw]
-    windows = lambda t, p: [tuple(t[x:y] for x, y in p[i : i + 51]) for i in range(len(p) - 50)]
-    strings = collections.Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
-    passages = collections.Counter(w for t, p in zip(raw, spans, strict=True) for w in windows(t, p))
-    want, by_bytes = {}, {}
-    for key, t, p in zip(table.doc_id, raw, spans, strict=True):
-        gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if strings[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        by_bytes[key] = sum(gone)
-        for i, w in enumerate(windows(t, p)):
-            if passages[w] > 1:
-                gone[p[i][0] : p[i + 50][1]] = b"\1" * (p[i + 50][1] - p[i][0])
-        want[key] = bytes(x for x, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
-    assert any(len(t) - by_bytes[key] > len(want[key].encode()) for key, t in zip(table.doc_id, raw, strict=True))  # the words find more
+    want = {i: k for i, k in zip(table.doc_id, brute.cleaned(table.text), strict=True) if k is not None}
     assert {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, data).collect()} == want
+
+
+def test_stages_on_long_texts_and_clashing_columns(spark, data):
+    """Extra columns named like the stages' internals come through, and a very long text whole."""
+    long = " ".join(f"the word w{i}é is here" for i in range(60_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " more", "en", "s", 5), (3, "this is another text with some words of its own", "en", "s", 9)]
+    names = ["row_key", "kept", "spans", "node", "size", "h", "copies", "rank", "unit", "n_removed"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names))
+    wanted = {"language_id": None, "near_duplicates": {1, 3}, "mix_sources": None, "repeated_strings": {2, 3}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, data)
+        assert found.columns == docs.columns
+        found = found.collect()
+        assert all(tuple(r[5:]) == tuple(range(len(names))) for r in found)
+        assert wanted[name] is None or {r.doc_id for r in found} == wanted[name], name
+        if name == "repeated_strings":
+            assert {r.doc_id: r.text for r in found} == {2: " more", 3: rows[2][1]}
+        elif name == "near_duplicates":
+            assert {r.text for r in found} == {long, rows[2][1]}
+    assert {(r.doc_id, r.n_tokens > 0) for r in corpus_pipeline.encode(spark, docs, data).collect()} == {(1, True), (2, True), (3, True)}
