@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, mixing, ngram_join, suffixdedup
-from tessera.llm.common import cut
+from tessera.llm.common import WORD_PATTERN, cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words of a passage that is cut out where it repeats: over 50.
-PASSAGE_WORDS = 51
 #: The name of a row's hash while a stage runs; no column of documents.
 KEY = "_pipeline_row_key"
 
@@ -47,10 +45,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and passages of over 50 words that occur twice are cut out; a text may become empty, its row stays."""
+    """Strings of 400 bytes and passages of over 50 words that occur twice are cut out, every copy, as op3 does.
+
+    A text that was repeated as a whole ends without a word, and its row goes; a row whose text had no word before
+    stays, and a null text stays null. n_chars is that of the text that is left. Repeated rows match each other; texts
+    of any length are read whole; an empty table gives no rows.
+    """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = suffixdedup.deduplicate(docs, keep=others, texts=True, words=PASSAGE_WORDS)
-    found = found.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")})
+    gone = f"{KEY}_gone"
+    named = docs.withColumn(gone, F.regexp_like("text", F.lit(WORD_PATTERN)))
+    found = suffixdedup.deduplicate(named, keep=[*others, gone], texts=True, passages=suffixdedup.PASSAGES, cut_passages=True)
+    found = found.where(F.coalesce(~F.col(gone), F.lit(True)) | F.regexp_like("kept", F.lit(WORD_PATTERN)))
+    found = found.withColumn("text", F.when(F.col(gone).isNotNull(), F.col("kept")))
+    found = found.withColumn("n_chars", F.length("text").cast("bigint"))
     return found.select(*docs.columns)
 
 
