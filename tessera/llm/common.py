@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than these: space, and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows up to which a side is broadcast; beyond it a join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -35,11 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a Parquet table in the shared checkpoint folder: computed once, and safe when executors are lost.
 
     A table has a size of its own.  checkpoint() keeps the estimate of the plan that it cuts, and through
-    the joins of a loop that estimate grows to numbers of millions of digits.
+    the joins of a loop that estimate grows to numbers of millions of digits.  The shuffle files of the plan that is
+    cut go as soon as the table stands; nothing reads them again.
     """
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(place)
     out.tessera_place = place
     return out

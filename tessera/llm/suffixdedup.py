@@ -43,6 +43,8 @@ from .rindex import RunIndex
 #: Distinct contexts of an anchor beyond which they are dealt in parts, and those beyond which strings are counted one by one.
 HOT = 1024
 PARTS = 4
+#: Contexts of crowded anchors (of some 40 bytes each) up to which their places are broadcast, which saves a shuffle of the texts.
+FEW = 500_000
 #: Contexts of one index, at least; contexts that are cut out at a time; bytes of one pass over texts.
 CHUNK, CUT, SLICE = 8192, 1024, 1 << 20
 ROW_KEY = "struct<a:bigint,b:bigint>"
@@ -345,14 +347,15 @@ def marks(keyed: DataFrame, measures: tuple[Measure, ...] = (STRINGS,), *, hot:
 
     def cut_out(rows: DataFrame, parts: bool) -> DataFrame:
         places = rows.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "h", "ctx", "n"))).alias("places"))
-        return texts.join(places.hint("shuffle_hash"), "row_key").select("text", "places").mapInArrow(_contexts(measures, parts), CONTEXT)
+        few = parts and rows.limit(FEW + 1).count() <= FEW
+        return texts.join(F.broadcast(places) if few else places.hint("shuffle_hash"), "row_key").select("text", "places").mapInArrow(_contexts(measures, parts), CONTEXT)
 
     def indexed(rows: DataFrame) -> DataFrame:
         return rows.repartition("unit", "g").sortWithinPartitions("unit", "g").mapInArrow(_index(measures), "unit tinyint, h bigint, ctx bigint, begin int, end int")
 
     found = indexed(cut_out(contexts.where("NOT hot") if many else contexts, False))
     if many:
-        rows = cut(cut_out(contexts.where("hot"), True))
+        rows = cut(cut_out(cut(contexts.where("hot")), True))
         sizes = cut(rows.groupBy("unit", "g").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1"))  # else no string can occur twice
         rows = rows.join(sizes.withColumn("crowd", F.col("m") > hot).select("unit", "g", "crowd"), ["unit", "g"])
         found = found.union(indexed(rows.where("NOT crowd").drop("crowd").select(*contexts_columns())))
@@ -410,12 +413,12 @@ def _remove(columns: list[str], units: tuple[int, ...], texts: bool):
     return inside
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), strings: Measure = STRINGS, passages: Measure | None = None, cut_passages: bool = False, hot: int = HOT, texts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = (), strings: Measure = STRINGS, passages: Measure | None = None, cut_passages: bool = False, hot: int = HOT, texts: str | None = None) -> DataFrame:
     """id_col, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (text).
 
     With ``passages`` also n_passages and passage_bytes: the runs of words that ``passages`` says occur elsewhere, and
-    their bytes; with ``cut_passages`` those are removed as well.  With ``texts`` also kept: the text that stays,
-    without characters of which a part was removed.
+    their bytes; with ``cut_passages`` those are removed as well.  With ``texts``, the name of a column, the text that
+    stays instead of the figures, without characters of which a part was removed.
     """
     measures = (strings,) if passages is None else (strings, passages)
     held = list(dict.fromkeys([id_col, *keep]))
@@ -426,6 +429,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", keep: list[str] = ()
     joined = keyed.join(spans.hint("shuffle_hash"), "row_key", "left").select(*columns)
     kinds = ", ".join(f"`own_{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
     units = (strings.unit, passages.unit) if cut_passages and passages is not None else (strings.unit,)
-    more = ["n_passages", "passage_bytes"] if passages is not None else []
-    out = joined.mapInArrow(_remove(columns, units, texts), f"row_key {ROW_KEY}, {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint" + ", kept string" * texts)
-    return out.select(*(F.col(f"own_{c}").alias(c) for c in held), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more, *(["kept"] if texts else []))
+    figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "passage_bytes"] * (passages is not None)
+    out = joined.mapInArrow(_remove(columns, units, texts is not None), f"row_key {ROW_KEY}, {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint" + ", kept string" * (texts is not None))
+    return out.select(*(F.col(f"own_{c}").alias(c) for c in held), *(figures if texts is None else [F.col("kept").alias(texts)]))
