@@ -52,13 +52,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of any length are read whole; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    gone = f"{KEY}_gone"
-    named = docs.withColumn(gone, F.regexp_like("text", F.lit(WORD_PATTERN)))
-    found = suffixdedup.deduplicate(named, keep=[*others, gone], texts=True, passages=suffixdedup.PASSAGES, cut_passages=True)
-    found = found.where(F.coalesce(~F.col(gone), F.lit(True)) | F.regexp_like("kept", F.lit(WORD_PATTERN)))
-    found = found.withColumn("text", F.when(F.col(gone).isNotNull(), F.col("kept")))
-    found = found.withColumn("n_chars", F.length("text").cast("bigint"))
-    return found.select(*docs.columns)
+    kept, worded = f"{KEY}_kept", f"{KEY}_worded"
+    named = docs.withColumn(worded, F.regexp_like("text", F.lit(WORD_PATTERN)))
+    found = suffixdedup.deduplicate(named, keep=[*others, worded], texts=kept, passages=suffixdedup.PASSAGES, cut_passages=True)
+    found = found.where(F.coalesce(~F.col(worded), F.lit(True)) | F.regexp_like(kept, F.lit(WORD_PATTERN)))
+    text = F.when(F.col(worded).isNotNull(), F.col(kept)).alias("text")
+    own = {"text": text, "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return found.select(*(own.get(c, F.col(c)) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
