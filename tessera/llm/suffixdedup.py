@@ -13,10 +13,12 @@ or in another.  Matches never cross documents.  A ``Measure`` says what a symbol
    What is compared are the symbols themselves, those of the anchor too.
 4. Marks.  The removed parts of a context hold for all documents that have it.
 
-Every step is an aggregation with partial sums or a join of plain shuffles.  An anchor with more than ``hot`` distinct
-contexts is dealt in ``PARTS`` groups of strings that share all but the ends, by those symbols; where a group is still
-larger, very many documents share one string and differ after it, and its strings are counted one by one by their
-hashes, in an aggregation that spreads them.
+Every step is an aggregation with partial sums or a join of plain shuffles.  The strings of an anchor with more than
+``hot`` distinct contexts are dealt in ``PARTS`` ranges.  What a range's strings share around the anchor is part of its
+group, so contexts that differ there part, and a range's rows hold only the symbols beyond.  Groups that are still
+larger are dealt again, down to single strings, which an aggregation counts.  So no task holds more than ``hot``
+contexts of an anchor, and a string that very many documents share costs a few rows for each context, not one for
+each string.  (The symbols that a range shares are compared by 64-bit hashes, within an anchor.)
 
 Cases: a null text is an empty one; texts shorter than ``length`` keep all; texts of any length are read in
 overlapping slices of bytes; repeated rows match each other; an empty table gives no rows; extra columns stay, also
@@ -40,7 +42,7 @@ from .common import SEPARATORS, cut, discard, groups_of, views
 from .pretokens import mix, powers
 from .rindex import RunIndex
 
-#: Distinct contexts of an anchor beyond which they are dealt in parts, and those beyond which strings are counted one by one.
+#: Distinct contexts of a group beyond which its strings are dealt in ranges, and the ranges.
 HOT = 1024
 PARTS = 4
 #: Contexts of crowded anchors (of some 40 bytes each) up to which their places are broadcast, which saves a shuffle of the texts.
@@ -48,6 +50,7 @@ FEW = 500_000
 #: Contexts of one index, at least; contexts that are cut out at a time; bytes of one pass over texts.
 CHUNK, CUT, SLICE = 8192, 1024, 1 << 20
 ROW_KEY = "struct<a:bigint,b:bigint>"
+MARK = "unit tinyint, h bigint, ctx bigint, begin int, end int"
 BYTES, WORDS = 0, 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _SEPARATOR = np.zeros(256, bool)
@@ -177,22 +180,22 @@ def _anchors(measures: tuple[Measure, ...]):
     return inside
 
 
-CONTEXT = "unit tinyint, g bigint, h bigint, ctx bigint, n bigint, part int, n_left int, n_right int, left binary, right binary"
+#: A context, or what of it belongs to the strings ``first`` to ``first + span`` of it (counted by their right symbols).
+CONTEXT = "unit tinyint, g bigint, h bigint, ctx bigint, n bigint, first int, span int, n_left int, n_right int, left binary, right binary"
+COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
 
 
 def _fixed(raw: np.ndarray) -> pa.Array:
     size = raw.shape[1] * raw.itemsize
-    return pa.Array.from_buffers(pa.binary(size), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.binary(size), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]).cast(pa.binary()) if size else pa.array([b""] * len(raw), pa.binary())
 
 
-def _parts(measure: Measure) -> list[tuple[int, int]]:
-    """(first, last) string of each part of a context."""
-    step = -(-(measure.reach + 1) // PARTS)
-    return [(a, min(a + step - 1, measure.reach)) for a in range(0, measure.reach + 1, step)]
+def _matrix(t: pa.Table, column: str, measure: Measure) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), measure.kind).reshape(t.num_rows, -1)
 
 
-def _contexts(measures: tuple[Measure, ...], hot: bool):
-    """text, places (pos, unit, h, ctx, n) -> a row for each context, or for each part of it, with its symbols to the left of the anchor's end and to the right."""
+def _contexts(measures: tuple[Measure, ...]):
+    """text, places (pos, unit, h, ctx, n) -> a row for each context, with its symbols to the left of the anchor's end and to the right."""
 
     def one(measure: Measure, values: np.ndarray, low: np.ndarray, high: np.ndarray, p: np.ndarray, columns: list[np.ndarray]):
         for at in range(0, len(p), CUT):
@@ -204,20 +207,10 @@ def _contexts(measures: tuple[Measure, ...], hot: bool):
             right = values[np.minimum(middle[:, None] + np.arange(measure.reach), len(values) - 1)]
             left[np.arange(measure.length) >= n_left[:, None]] = 0
             right[np.arange(measure.reach) >= n_right[:, None]] = 0
-            raw, unit = (_fixed(left), _fixed(right)), np.full(len(place), measure.unit, np.int8)
-            for part, (first, last) in enumerate(_parts(measure) if hot else [(0, 0)]):
-                g, some = h, np.arange(len(place))
-                if hot:  # the strings first to last share these symbols
-                    a, z = middle - (measure.length - last), middle + first
-                    some = np.flatnonzero((a >= edge) & (z <= stop))
-                    sums, down = _sums(values[int(edge.min()) : int(stop.max())])
-                    a, z = a[some] - int(edge.min()), z[some] - int(edge.min())
-                    g = (mix((sums[z] - sums[a]) * down[a]) ^ mix(h[some].view(np.uint64) + np.uint64(part))).view(np.int64)
-                take = pa.array(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit[some]), pa.array(g), pa.array(h[some]), pa.array(ctx[some]), pa.array(n[some]), pa.array(np.full(len(some), part if hot else -1, np.int32)), pa.array(n_left[some].astype(np.int32)), pa.array(n_right[some].astype(np.int32)), raw[0].take(take), raw[1].take(take)],
-                    names=["unit", "g", "h", "ctx", "n", "part", "n_left", "n_right", "left", "right"],
-                )
+            same = lambda x, kind: pa.array(np.full(len(place), x, kind))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [same(measure.unit, np.int8), pa.array(h), pa.array(h), pa.array(ctx), pa.array(n), same(0, np.int32), same(measure.reach, np.int32), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), _fixed(left), _fixed(right)], names=COLUMNS
+            )
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
@@ -241,39 +234,82 @@ def _contexts(measures: tuple[Measure, ...], hot: bool):
     return inside
 
 
+def _by_kind(t: pa.Table) -> Iterator[tuple[int, int, pa.Table]]:
+    """(unit, span, rows): rows of one shape, in their order."""
+    unit, span = t.column("unit").to_numpy(), t.column("span").to_numpy()
+    for u, s in sorted(set(zip(unit.tolist(), span.tolist(), strict=True))):
+        yield u, s, t.filter(pa.array((unit == u) & (span == s))).combine_chunks()
+
+
+def _deal(measures: tuple[Measure, ...]):
+    """Rows of crowded groups -> their strings in ranges, each with the group of what its strings share."""
+    by_unit = {m.unit: m for m in measures}
+
+    def hashed(values: np.ndarray) -> np.ndarray:
+        values = _TABLE[values] if values.dtype == np.uint8 else values
+        return mix((values * powers(values.shape[1])[0]).sum(axis=1, dtype=np.uint64))
+
+    def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for at in range(0, b.num_rows, CUT):
+                for u, span, t in _by_kind(pa.Table.from_batches([b.slice(at, CUT)])):
+                    measure = by_unit[u]
+                    left, right = _matrix(t, "left", measure), _matrix(t, "right", measure)
+                    core = left.shape[1] - span  # the anchor, in rows that weren't dealt yet
+                    n_left, n_right = t.column("n_left").to_numpy() - core, t.column("n_right").to_numpy()
+                    left = left[:, core:]
+                    step = -(-(span + 1) // PARTS)
+                    for first in range(0, span + 1, step):
+                        last = min(first + step - 1, span)
+                        before, wide = span - last, last - first
+                        some = np.flatnonzero((n_left >= before) & (n_right >= first))
+                        x, y = left[some], right[some]
+                        g = hashed(x[:, :before]) ^ mix(hashed(y[:, :first]) + np.uint64(first + 1) + t.column("g").to_numpy()[some].view(np.uint64))
+                        taken = [t.column(c).combine_chunks().take(pa.array(some)) for c in ("unit", "h", "ctx", "n")]
+                        number = lambda x: pa.array(np.asarray(x).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [taken[0], pa.array(g.view(np.int64)), *taken[1:], number(t.column("first").to_numpy()[some] + first), number(np.full(len(some), wide)), number(np.minimum(n_left[some] - before, wide)), number(np.minimum(n_right[some] - first, wide)), _fixed(x[:, before : before + wide]), _fixed(y[:, first : first + wide])],
+                            names=COLUMNS,
+                        )
+
+    return inside
+
+
 def _table(t: pa.Table, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of contexts as small numbers from 1 on, 0 beyond the text."""
-    out = []
-    for column, count, width in (("left", "n_left", measure.length), ("right", "n_right", measure.reach)):
-        raw = np.frombuffer(b"".join(t.column(column).to_pylist()), measure.kind).reshape(t.num_rows, width)
-        out.append((raw, np.arange(width) < t.column(count).to_numpy()[:, None]))
+    raw = [_matrix(t, c, measure) for c in ("left", "right")]
+    ok = [np.arange(x.shape[1]) < t.column(c).to_numpy()[:, None] for x, c in zip(raw, ("n_left", "n_right"), strict=True)]
     if measure.unit == BYTES:
-        return tuple(np.where(ok, raw.astype(np.uint16) + np.uint16(1), np.uint16(0)) for raw, ok in out)
-    _, dense = np.unique(np.concatenate([raw.ravel() for raw, _ in out]), return_inverse=True)
-    dense = (dense.ravel() + 1).astype(np.uint32)
-    left, right = dense[: out[0][0].size].reshape(out[0][0].shape), dense[out[0][0].size :].reshape(out[1][0].shape)
-    return np.where(out[0][1], left, np.uint32(0)), np.where(out[1][1], right, np.uint32(0))
+        return tuple(np.where(k, x.astype(np.uint16) + np.uint16(1), np.uint16(0)) for x, k in zip(raw, ok, strict=True))
+    _, dense = np.unique(np.concatenate([x.ravel() for x in raw]), return_inverse=True)
+    dense = np.split(dense.ravel().astype(np.uint32) + np.uint32(1), [raw[0].size])
+    return tuple(np.where(k, d.reshape(x.shape), np.uint32(0)) for x, d, k in zip(raw, dense, ok, strict=True))
 
 
 def _index(measures: tuple[Measure, ...]):
-    """Contexts sorted by (unit, g) -> (unit, h, ctx, begin, end) of the symbols to remove, from the anchor's place."""
+    """Contexts sorted by (unit, h, g) -> (unit, h, ctx, begin, end) of the symbols to remove, from the anchor's place."""
     by_unit = {m.unit: m for m in measures}
 
+    def ends(t: pa.Table) -> np.ndarray:
+        keys = [t.column(c).to_numpy() for c in ("unit", "h", "g")]
+        return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+
     def ranges(t: pa.Table, unit: int) -> pa.RecordBatch:
         measure = by_unit[unit]
-        g = t.column("g").to_numpy()
-        group = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]).astype(np.int64)
-        found = RunIndex(group, *_table(t, measure), t.column("n").to_numpy()).matches(measure.length)
-        part = t.column("part").to_numpy()
-        for k, (first, last) in enumerate(_parts(measure)):
-            found[part == k, :first] = False
-            found[part == k, last + 1 :] = False
+        group = np.zeros(t.num_rows, np.int64)
+        group[ends(t)] = 1
+        left, right = _table(t, measure)
+        found = RunIndex(np.cumsum(group), left, right, t.column("n").to_numpy()).matches(left.shape[1])
         edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, s = np.nonzero(edge == 1)
         _, e = np.nonzero(edge == -1)
-        begin = s.astype(np.int32) - measure.reach
-        end = e.astype(np.int32) - 1 - measure.reach + measure.length
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), unit, np.int8)), pa.array(t.column("h").to_numpy()[row]), pa.array(t.column("ctx").to_numpy()[row]), pa.array(begin), pa.array(end)], names=["unit", "h", "ctx", "begin", "end"])
+        first = t.column("first").to_numpy()[row] - measure.reach
+        take = lambda c: t.column(c).combine_chunks().take(pa.array(row))
+        return pa.RecordBatch.from_arrays([take("unit"), take("h"), take("ctx"), pa.array((first + s).astype(np.int32)), pa.array((first + e - 1 + measure.length).astype(np.int32))], names=["unit", "h", "ctx", "begin", "end"])
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for unit, _, part in _by_kind(t):
+            yield ranges(part, unit)
 
     def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,48 +319,13 @@ def _index(measures: tuple[Measure, ...]):
             held.append(b)
             if sum(x.num_rows for x in held) >= CHUNK:
                 t = pa.Table.from_batches(held).combine_chunks()
-                unit, g = t.column("unit").to_numpy(), t.column("g").to_numpy()
-                last = int(np.flatnonzero((unit != unit[-1]) | (g != g[-1])).max(initial=-1)) + 1  # the last group may go on
+                last = int(ends(t).max(initial=0))  # the last group may go on
                 if last:
                     yield from whole(t.slice(0, last))
                 held = t.slice(last).to_batches()
         if held:
             yield from whole(pa.Table.from_batches(held).combine_chunks())
 
-    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit = t.column("unit").to_numpy()
-        for u in np.unique(unit).tolist():
-            at = np.flatnonzero(unit == u)
-            yield ranges(t.slice(int(at[0]), len(at)), u)
-
-    return inside
-
-
-def _strings(measures: tuple[Measure, ...]):
-    """Parts of contexts -> (h1, h2, n, unit, h, ctx, begin) of their strings, one by one."""
-    by_unit = {m.unit: m for m in measures}
-
-    def inside(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in stream:
-            for at in range(0, b.num_rows, CUT):
-                piece = pa.Table.from_batches([b.slice(at, CUT)])
-                for u in set(piece.column("unit").to_pylist()):
-                    measure = by_unit[u]
-                    t = piece.filter(pa.array([x == u for x in piece.column("unit").to_pylist()])).combine_chunks()
-                    raw = [np.frombuffer(b"".join(t.column(c).to_pylist()), measure.kind).reshape(t.num_rows, -1) for c in ("left", "right")]
-                    line = np.concatenate([raw[0][:, ::-1], raw[1]], axis=1)
-                    n_left, n_right, part = (t.column(c).to_numpy() for c in ("n_left", "n_right", "part"))
-                    hashes = [(s.reshape(-1), down) for s, down in (_sums(line.ravel(), salt) for salt in (0, 77))]
-                    row = np.arange(t.num_rows) * line.shape[1]
-                    for k, (first, last) in enumerate(_parts(measure)):
-                        for s in range(first, last + 1):
-                            some = np.flatnonzero((part == k) & (n_left >= measure.length - s) & (n_right >= s))
-                            if len(some):
-                                a = row[some] + s
-                                h1, h2 = (pa.array(mix((sums[a + measure.length] - sums[a]) * down[a]).view(np.int64)) for sums, down in hashes)
-                                take = lambda c: t.column(c).combine_chunks().take(pa.array(some))  # noqa: E731, B023
-                                yield pa.RecordBatch.from_arrays([h1, h2, take("n"), take("unit"), take("h"), take("ctx"), pa.array(np.full(len(some), s - measure.reach, np.int32))], names=["h1", "h2", "n", "unit", "h", "ctx", "begin"])
-
     return inside
 
 
@@ -345,34 +346,34 @@ def marks(keyed: DataFrame, measures: tuple[Measure, ...] = (STRINGS,), *, hot:
         contexts = contexts.join(crowded, ["unit", "h"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     contexts = contexts.withColumns({"row_key": F.col("first.row_key"), "pos": F.col("first.pos")})
 
-    def cut_out(rows: DataFrame, parts: bool) -> DataFrame:
+    def cut_out(rows: DataFrame, few: bool) -> DataFrame:
         places = rows.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "h", "ctx", "n"))).alias("places"))
-        few = parts and rows.limit(FEW + 1).count() <= FEW
-        return texts.join(F.broadcast(places) if few else places.hint("shuffle_hash"), "row_key").select("text", "places").mapInArrow(_contexts(measures, parts), CONTEXT)
+        return texts.join(F.broadcast(places) if few else places.hint("shuffle_hash"), "row_key").select("text", "places").mapInArrow(_contexts(measures), CONTEXT)
 
     def indexed(rows: DataFrame) -> DataFrame:
-        return rows.repartition("unit", "g").sortWithinPartitions("unit", "g").mapInArrow(_index(measures), "unit tinyint, h bigint, ctx bigint, begin int, end int")
+        return rows.repartition("unit", "h", "g").sortWithinPartitions("unit", "h", "g").mapInArrow(_index(measures), MARK)
 
     found = indexed(cut_out(contexts.where("NOT hot") if many else contexts, False))
     if many:
-        rows = cut(cut_out(cut(contexts.where("hot")), True))
-        sizes = cut(rows.groupBy("unit", "g").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1"))  # else no string can occur twice
-        rows = rows.join(sizes.withColumn("crowd", F.col("m") > hot).select("unit", "g", "crowd"), ["unit", "g"])
-        found = found.union(indexed(rows.where("NOT crowd").drop("crowd").select(*contexts_columns())))
-        strings = cut(rows.where("crowd").select(*contexts_columns()).mapInArrow(_strings(measures), "h1 bigint, h2 bigint, n bigint, unit tinyint, h bigint, ctx bigint, begin int"))
-        repeated = cut(strings.groupBy("unit", "h", "h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("unit", "h", "h1", "h2"))
+        hot_contexts = cut(contexts.where("hot"))
+        rows = cut(cut_out(hot_contexts, hot_contexts.limit(FEW + 1).count() <= FEW))
         length = F.element_at(F.create_map(*(F.lit(x) for m in measures for x in (m.unit, m.length))), F.col("unit").cast("int"))
-        # the strings of an anchor all hold it, so what they cover has no gap
-        apart = strings.join(repeated, ["unit", "h", "h1", "h2"]).groupBy("unit", "h", "ctx").agg(F.min("begin").alias("begin"), F.max("begin").alias("last"))
-        found = found.union(apart.select("unit", "h", "ctx", "begin", (F.col("last") + length).cast("int").alias("end")))
+        reach = F.element_at(F.create_map(*(F.lit(x) for m in measures for x in (m.unit, m.reach))), F.col("unit").cast("int"))
+        while True:
+            rows = cut(rows.mapInArrow(_deal(measures), CONTEXT))
+            # a string of a group with one row in all occurs nowhere else
+            sizes = cut(rows.groupBy("unit", "h", "g").agg((F.count("*") > hot).alias("crowd"), F.sum("n").alias("total"), F.max("span").alias("wide")).where("total > 1"))
+            rows = cut(rows.join(sizes.select("unit", "h", "g", "crowd"), ["unit", "h", "g"]))
+            begin = F.col("first") - reach
+            found = found.union(indexed(rows.where("NOT crowd AND span > 0").select(*COLUMNS)))
+            found = found.union(rows.where("span = 0").select("unit", "h", "ctx", begin.alias("begin"), (begin + length).alias("end")))
+            if sizes.where("crowd AND wide > 0").isEmpty():
+                break
+            rows = rows.where("crowd AND span > 0").select(*COLUMNS)
     found = cut(found)
     return seen.join(found, ["unit", "h", "ctx"]).select("row_key", "unit", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
 
 
-def contexts_columns() -> list[str]:
-    return [c.split()[0] for c in CONTEXT.split(", ")]
-
-
 def _remove(columns: list[str], units: tuple[int, ...], texts: bool):
     """Documents with ``spans`` -> the same columns with n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes and, if asked for, kept."""
 

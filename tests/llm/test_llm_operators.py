@@ -175,7 +175,7 @@ def test_without_the_index_nothing_is_removed(spark, data, monkeypatch):
     kind = pa.list_(pa.struct([("pos", pa.int64()), ("unit", pa.int8()), ("h", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())]))
     text = rows.set_index("doc_id").text
     asked = pa.RecordBatch.from_arrays([pa.array([text[i] for i in places.index]), pa.array(places.tolist(), kind)], names=["text", "places"])
-    contexts = pa.Table.from_batches(suffixdedup._contexts((suffixdedup.STRINGS,), False)(iter([asked]))).sort_by([("unit", "ascending"), ("g", "ascending")])
+    contexts = pa.Table.from_batches(suffixdedup._contexts((suffixdedup.STRINGS,))(iter([asked]))).sort_by([("unit", "ascending"), ("h", "ascending"), ("g", "ascending")])
     run = lambda: sum(b.num_rows for b in suffixdedup._index((suffixdedup.STRINGS,))(iter(contexts.combine_chunks().to_batches())))
     assert run() == 0
     monkeypatch.undo()
