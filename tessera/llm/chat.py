@@ -1,9 +1,10 @@
 """Chat formatting as a grammar round trip, in DataFrame functions only.
 
 A conversation becomes one string whose turns are marked by control strings.  The string is parsed
-again by a deterministic parser; where the recovered turns differ from the source, the conversation is
-rendered with its texts escaped, and parsed again, until they are identical.  A first mark tells the
-parser which rendering it reads.
+again by a deterministic parser; where the recovered turns differ from the source, or a text or role has
+a control string that a trainer would take for a mark, the conversation is rendered with its texts
+escaped, and parsed again; the job fails if that isn't identical either.  A first mark tells the parser
+which rendering it reads.
 
     <s>                     texts as they are          <s esc>  texts escaped
     [INST] text [/INST]     a user's turn
@@ -41,6 +42,12 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(ESCAPE + "0"), F.lit(ESCAPE))
 
 
+def conflicts(turns: Column) -> Column:
+    """Whether a text or a role holds a control string or the escape sign."""
+    signs = "|".join(rf"\Q{c}\E" for c in (*CONTROLS, ESCAPE))
+    return F.exists(turns, lambda t: F.rlike(t["text"], F.lit(signs)) | F.rlike(t["role"], F.lit(signs)))
+
+
 def render(turns: Column, escaped: bool) -> Column:
     """The conversation's string from an array of (role, text)."""
     safe = escape if escaped else (lambda x: x)
@@ -87,10 +94,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list("t")).alias("t"))
         .select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     )
-    same = parse(F.col("plain")) == F.col("turns")
-    shown = turns.withColumn("plain", render(F.col("turns"), False)).withColumn(
-        "formatted", F.when(same, F.col("plain")).otherwise(render(F.col("turns"), True))
-    )
+    same = lambda c: parse(F.col(c)) == F.col("turns")
+    shown = turns.withColumns({"plain": render(F.col("turns"), False), "safe": render(F.col("turns"), True)})
+    lost = F.raise_error(F.lit("the escaped rendering doesn't read back as its source"))
+    shown = shown.withColumn("formatted", F.when(~conflicts(F.col("turns")) & same("plain"), F.col("plain")).when(same("safe"), F.col("safe")).otherwise(lost))
     return shown.select(
         "conv_id", "turns", "formatted", parse(F.col("formatted")).alias("parsed"), F.startswith("formatted", F.lit(ESCAPED)).alias("escaped")
     )
