@@ -19,9 +19,11 @@ succeeded, so a task that runs again leaves at most a file that nothing refers t
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,20 +45,33 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def record(page: str, url: str, payload: bytes | None, digest: str, size: int, refers: str | None) -> bytes:
+NULL = "<urn:null>"
+#: Signs that may stand in an address; a url with white space or control characters is quoted whole, and marked so.
+ADDRESS = ":/?#[]@!$&'()*+,;=-._~"
+
+
+def name_of(page: str | None) -> str:
+    return NULL if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return None if name in (None, NULL) else unquote(name[len("<urn:page:") : -1])
+
+
+def record(page: str | None, url: str, payload: bytes | None, digest: str, size: int, refers: str | None) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit without."""
     kind = "response" if refers is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Record-ID: {name_of(page)}",
+        *([f"WARC-Target-URI: {quote(url, safe=ADDRESS)}", "X-Target-URI-Quoted: yes"] if re.search(r"[\s\x00-\x1f\x7f]", url) else [f"WARC-Target-URI: {url}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {size}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if refers is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name_of(refers)}"]
     body = payload if refers is None else b""
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + END + body + END
@@ -111,7 +126,7 @@ def normalise(source, target, index) -> int:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, *, least: int = LEAST) -> DataFrame:
-    """Write all pages; returns the sidecar: archive, position (of the row in it), offset, length, and page_id."""
+    """Write all pages; returns the sidecar: archive, offset, length, and page_id in the type that it has in ``pages``."""
     kind = pages.schema["page_id"].dataType.simpleString()
     base = folder or f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -134,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, least: int =
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{own}.tmp")
             for page, url, payload, digest, size, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.write(pack.compress(record("" if page is None else page, " ".join(url.split()), payload, digest, size, refers)))
+                out.write(pack.compress(record(page, url, payload, digest, size, refers)))
                 n += 1
         if out is None:
             return
@@ -148,17 +163,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, least: int =
             lines = [json.loads(x) for x in f.read().splitlines()]
         store.move(f"{own}.gz.tmp", f"{path}/{name}.warc.gz")
         store.move(f"{own}.cdx.tmp", f"{path}/{name}.cdxj")
-        yield pa.RecordBatch.from_arrays([pa.array([f"{base}/{name}.warc.gz"] * n, pa.string()), pa.array([x["offset"] for x in lines], pa.int64()), pa.array([x["length"] for x in lines], pa.int64())], names=["archive", "offset", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{base}/{name}.warc.gz"] * n, pa.string()), pa.array([x["offset"] for x in lines], pa.int64()), pa.array([x["length"] for x in lines], pa.int64()), pa.array([page_of(x["id"]) for x in lines], pa.string())], names=["archive", "offset", "length", "page_id"])
 
-    sidecar = cut(rows.mapInArrow(write, "archive string, offset bigint, length bigint"))
-    return sidecar.withColumn("id_type", F.lit(kind))
+    sidecar = cut(rows.mapInArrow(write, "archive string, offset bigint, length bigint, page_id string"))
+    return sidecar.withColumn("page_id", F.col("page_id").cast(kind))
 
 
-def read_archives(sidecar: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of each indexed record.
+def read_archives(sidecar: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload (if asked for), payload_bytes, payload_digest, record_type, refers_to of each indexed record.
 
-    A response's digest and length are those of the payload that is read; a revisit has no payload, and its
-    header's are those of the record that it refers to.
+    Digest and length are those of payloads that are read: a response's own, and for a revisit, which has none, those of
+    the response that it refers to; the job fails where there is no such response with the digest that the revisit names.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +191,25 @@ def read_archives(sidecar: DataFrame, id_type: str = "bigint") -> DataFrame:
                 rec = zlib.decompress(opened.read_at(length, offset), 31)
                 stop = rec.index(END)
                 head, body = fields(rec[:stop]), rec[stop + 4 : -4]
-                bare = lambda k: head[k][len("<urn:page:") : -1] if k in head else None
+                url = head["warc-target-uri"]
                 if head["warc-type"] == "response":
                     size, digest = len(body), hashlib.sha256(body).hexdigest()
                 else:
-                    size, digest, body = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:"), None
-                out.append((bare("warc-record-id") or None, head["warc-target-uri"], body, size, digest, head["warc-type"], bare("warc-refers-to")))
+                    size, digest, body = None, head["warc-payload-digest"].removeprefix("sha256:"), None
+                out.append((page_of(head["warc-record-id"]), unquote(url) if "x-target-uri-quoted" in head else url, body if payloads else None, size, digest, head["warc-type"], page_of(head.get("warc-refers-to"))))
             if out:
                 kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if opened:
             opened.close()
 
+    kind = sidecar.schema["page_id"].dataType.simpleString()
     rows = sidecar.select("archive", "offset", "length").mapInArrow(
         read, "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     )
-    return rows.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
+    rows = rows if payloads else cut(rows.drop("payload"))
+    targets = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("referred")).distinct()
+    rows = rows.join(targets, ["refers_to", "payload_digest"], "left")
+    size = F.coalesce("payload_bytes", "referred", F.raise_error(F.lit("a revisit refers to no response with its digest")).cast("bigint"))
+    columns = ["page_id", "url", *(["payload"] if payloads else []), "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return rows.withColumns({"payload_bytes": size, "page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).select(*columns)
