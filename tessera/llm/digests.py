@@ -6,24 +6,26 @@ themselves are compared, and where they differ the fingerprint gets a second, in
 
 The edited text of a document needs the document that follows in descending id order.  Documents are
 range partitioned by id, once; each partition reads its successors as it streams, and only the
-first and the last row of each partition meet in a second, small step.
+first row of each partition and the last of the one before meet in a second, small step.
 
 Cases: a null text is an empty one, and empty texts are equal; a null id sorts after all others; equal
 ids are ordered by text; the last row is followed by the first, so a single row follows itself; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; ids of any type that sorts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from .common import cut, small
 
@@ -49,15 +51,18 @@ def wide(form: str) -> tuple[str, str]:
     return xxhash.xxh3_128_hexdigest(raw), xxhash.xxh3_128_hexdigest(raw, seed=0x5EED)
 
 
-def measures(text: str, form: str, following: str, next_form: str) -> tuple:
+def measures(text: str, form: str, following: str, next_form: str, wide: Callable[[str], tuple[str, str]] = wide) -> tuple:
     changed = edited(text, following)
     changed_form = canonical(changed)
     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
     return (len(text), sha, *wide(form), *wide(changed_form), float(form == changed_form), float(form == next_form))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int | None = None) -> DataFrame:
-    """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int | None = None, wide: Callable[[str], tuple[str, str]] = wide) -> DataFrame:
+    """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+
+    ``wide`` gives a text's two hashes: that of its bucket, and the one added where the texts of a bucket differ.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -65,10 +70,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("key", F.xxhash64("text"))
     order = [F.col("id").desc_nulls_last(), F.col("key"), F.col("text")]
     ranged = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())]
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("id", to_arrow_type(docs.schema[id_col].dataType)), ("key", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())]
                        + [(c, pa.string()) for c in ("edited_sha256", "hash", "hash2", "edited_hash", "edited_hash2")] + [("near_edited", pa.float64()), ("near_next", pa.float64())])
-    if kind != "bigint":
-        schema = schema.set(2, pa.field("id", pa.string() if kind == "string" else pa.int32()))
     nothing = (None,) * 8
     step = 512
 
@@ -87,7 +90,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if held is None:
                 out.append((FIRST, part, key, mark, text, *nothing))
             else:
-                out.append((ROW, part, held[0], held[3], None, *measures(held[1], held[2], text, form)))
+                out.append((ROW, part, held[0], held[3], None, *measures(held[1], held[2], text, form, wide)))
             held = (key, text, form, mark)
             if len(out) >= step:
                 yield batch(out)
@@ -98,22 +101,23 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield batch(out)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = None, None
+        """Sorted by slot and kind: the first row of a partition, then the last of the one before."""
+        first = None
         for mark, part, key, own, text, *_ in stream(batches):
-            if mark == LAST:
-                held = (part, key, own, text)
-                continue
-            if held:
-                yield batch([(ROW, *held[:3], None, *measures(held[3], canonical(held[3]), text, canonical(text)))])
-            first = text if first is None else first
-        if held:
-            yield batch([(ROW, *held[:3], None, *measures(held[3], canonical(held[3]), first, canonical(first)))])
+            if mark == FIRST:
+                first = text
+            else:
+                yield batch([(ROW, part, key, own, None, *measures(text, canonical(text), first, canonical(first), wide))])
 
     ddl = f"kind int, part int, id {kind}, key bigint, text string, {COLUMNS}"
     seen = cut(ranged.mapInArrow(inside, ddl))
-    edges = seen.where(f"kind <> {ROW}").repartition(1).sortWithinPartitions("part", "kind")
-    found = seen.where(f"kind = {ROW}").union(edges.mapInArrow(across, ddl))
-    clash = _clashes(rows, cut(found.select("hash", "key")), broadcast_rows)
+    edges = seen.where(f"kind <> {ROW}")
+    order = Window.orderBy("part")  # numbers of partitions, one row each
+    before = edges.where(f"kind = {FIRST}").select("part").withColumn("slot", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    met = edges.join(F.broadcast(before), "part").withColumn("slot", F.when(F.col("kind") == FIRST, F.col("slot")).otherwise(F.col("part")))
+    met = met.repartition("slot").sortWithinPartitions("slot", "kind").select(*[f.name for f in schema])
+    found = seen.where(f"kind = {ROW}").union(met.mapInArrow(across, ddl))
+    clash = _clashes(rows, cut(found.select("hash", "key")), broadcast_rows, wide)
     mark = lambda a, b: F.when(F.col("clash"), F.concat(a, F.lit("-"), b)).otherwise(F.col(a))
     if clash is None:
         found = found.withColumns({"fingerprint": F.col("hash"), "edited_fingerprint": F.col("edited_hash")})
@@ -123,7 +127,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def _clashes(rows: DataFrame, hashes: DataFrame, broadcast_rows: int | None) -> DataFrame | None:
+def _clashes(rows: DataFrame, hashes: DataFrame, broadcast_rows: int | None, wide: Callable[[str], tuple[str, str]] = wide) -> DataFrame | None:
     """(hash, clash = true) of buckets whose canonical bytes aren't all equal, None if there are none.
 
     Only texts in buckets of two or more are compared, by partial minima and maxima of the bytes, so a
