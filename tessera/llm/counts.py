@@ -5,8 +5,11 @@ once: the best score of any segmentation of the prefix that it stands for, and t
 it (of equal scores the fewest).  Pre-tokens share the work of their common prefixes; a terminal node
 stores its pre-token's count, and a document's count is the sum over its pre-tokens.
 
-The model: a token of rank r in the vocabulary has probability proportional to 1 / (r + 1) ** exponent.
-Every byte is a token, so every text has a segmentation.
+The model is fitted on the corpus.  All pre-tokens of all texts are counted in a grouped aggregation; each distinct
+one is segmented once under a first model, in which a token of rank r has a probability proportional to
+1 / (r + 1) ** exponent; and the tokens of these segmentations, weighted by the pre-tokens' counts, give the
+probabilities (n + ``SMOOTHING``) / (all + ``SMOOTHING`` * vocabulary).  What comes to the driver has the size of the
+vocabulary.  Every byte is a token, so every text has a segmentation.
 
 Cases: a null text is an empty one and has no tokens; very long pre-tokens take time in proportion to
 their length; repeated rows are counted row by row; an empty table gives no rows; extra columns are
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 
-#: Parameter of the model, and the words that a worker remembers (a bound of memory only).
-EXPONENT = 1.0
+#: Parameters of the model, and the words that a worker remembers (a bound of memory only).
+EXPONENT, SMOOTHING = 1.0, 1.0
 KNOWN_WORDS = 500_000
 
 
@@ -37,6 +40,16 @@ def scores(ranks: dict[bytes, int], exponent: float = EXPONENT) -> dict[bytes, f
     return {t: -exponent * math.log(r + 1) - total for t, r in ranks.items()}
 
 
+def smoothed(ranks: dict[bytes, int], found: dict[int, int], smoothing: float = SMOOTHING) -> dict[bytes, float]:
+    """Log probabilities by the counts of ranks."""
+    total = math.log(sum(found.values()) + smoothing * len(ranks))
+    return {t: math.log(found.get(r, 0) + smoothing) - total for t, r in ranks.items()}
+
+
+def read_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+
+
 class Counter:
     def __init__(self, log_probabilities: dict[bytes, float]) -> None:
         self.score = log_probabilities
@@ -72,6 +85,23 @@ class Counter:
             path = raw
             self.known[word] = (count[len(raw)], best[len(raw)])
 
+    def pieces(self, word: str) -> list[bytes]:
+        """The tokens of a word's best segmentation: of equal scores the fewest, then the longest last token."""
+        raw, best = word.encode("utf-8", "surrogatepass"), [(0.0, 0, 0)]
+        for end in range(1, len(raw) + 1):
+            top = (-math.inf, 0, 0)
+            for begin in range(max(0, end - self.longest), end):
+                if (s := self.score.get(raw[begin:end])) is not None:
+                    s, n = s + best[begin][0], best[begin][1] + 1
+                    if s > top[0] or (s == top[0] and n < top[1]):
+                        top = (s, n, begin)
+            best.append(top)
+        out, end = [], len(raw)
+        while end:
+            out.append(raw[best[end][2] : end])
+            end = best[end][2]
+        return out
+
     def documents(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
         """(pre-tokens, tokens, log probability) of each text."""
         for at, end, bounds, codes, words in pretokens.pieces(texts):
@@ -88,21 +118,51 @@ class Counter:
                 yield int(b - a), int(n[a:b].sum()), math.fsum(s[a:b].tolist())
 
 
-_counters: dict[tuple[int, float], Counter] = {}
+_counters: dict[tuple, Counter] = {}
+
+
+def _counter(raw: bytes, key: tuple, model) -> Counter:
+    """The worker's counter of a model, made once."""
+    if (hash(raw), *key) not in _counters:
+        _counters.clear()
+        _counters[hash(raw), *key] = Counter(model(read_ranks(raw)))
+    return _counters[hash(raw), *key]
+
+
+def fit(docs: DataFrame, path: str, *, text_col: str = "text", exponent: float = EXPONENT) -> dict[int, int]:
+    """How often each rank occurs in the first model's segmentation of all texts."""
+    with open(path, "rb") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, _, codes, found in pretokens.pieces(b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.bincount(codes, minlength=len(found)), pa.int64())], names=["word", "n"])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _counter(content.value, (exponent,), lambda ranks: scores(ranks, exponent))
+        ranks, sums = read_ranks(content.value), {}
+        for b in batches:
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for piece in own.pieces(word):
+                    sums[ranks[piece]] = sums.get(ranks[piece], 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["rank", "n"])
+
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counted = texts.mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.mapInArrow(cut_up, "rank int, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found["rank"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", exponent: float = EXPONENT) -> DataFrame:
-    """id_col, n_pretokens, n_tokens, log_prob of every text, by the ranks in ``path``. One pass without a shuffle."""
+    """id_col, n_pretokens, n_tokens, log_prob of every text, by the tokens in ``path`` under the model that is fitted on all texts."""
+    found = fit(docs, path, text_col=text_col, exponent=exponent)
     with open(path, "rb") as f:  # the vocabulary has a fixed size, whatever the corpus has
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = docs.sparkSession.sparkContext.broadcast((f.read(), found))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = content.value
-        key = (hash(raw), exponent)
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = Counter(scores({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, exponent))
-        own = _counters[key]
+        raw, known = content.value
+        own = _counter(raw, (tuple(sorted(known.items())),), lambda ranks: smoothed(ranks, known))
         for batch in batches:
             rows = list(own.documents(batch.column(1).to_pylist()))
             a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
