@@ -10,8 +10,9 @@ For each document, over the languages of the model and ``und`` (none of them):
 * Declared language and suffix: counts of (language by text alone, value) over all documents, smoothed.
 * Host: soft counts by host, smoothed towards those of its suffix, those towards all documents.
 
-The model is fitted on a bounded sample of labelled rows, about ``SAMPLE`` per language, chosen by a
-hash of the text; every other count covers all documents.  A document is rejected if its language is
+The model is fitted on a bounded sample of labelled rows, about ``SAMPLE`` distinct texts per language, chosen by
+a hash of the text; every label with at least ``LEAST_ROWS`` rows is a language, however many there are, and a
+label with fewer is evidence only.  Every other count covers all documents.  A document is rejected if its language is
 ``und`` or its posterior is below ``LEAST``.
 
 Cases: null and empty texts, and texts without a letter, have no language (``und``, posterior 1.0) and
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import cut, groups_of, small, views
 
 UNKNOWN = "und"
-#: Parameters: labelled rows per language that the model is fitted on, labels it takes at most and rows a label needs.
-SAMPLE, MOST_LANGUAGES, LEAST_ROWS = 500, 64, 3
+#: Parameters: labelled rows per language that the model is fitted on, and rows a label needs; a column with more labels
+#: than ``LABELS`` doesn't hold languages, and the fit fails. Numbers that a broadcast table of hosts may hold.
+SAMPLE, LEAST_ROWS, LABELS, NUMBERS = 500, 3, 4096, 4_000_000
 BUCKETS = 1 << 16
 #: Trigrams that a text's evidence counts as, at most; prior of ``und``; smoothing of hosts and suffixes; least posterior.
 EVIDENCE, UNKNOWN_PRIOR, HOST_WEIGHT, VALUE_WEIGHT, LEAST = 64.0, 0.01, 20.0, 10.0, 0.5
@@ -72,7 +74,9 @@ class Model:
 def fit(docs: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
     """The trigram model of the labels in ``label_col``; its counts have a fixed size, languages by buckets."""
     labels = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).groupBy(label_col).agg(F.count("*").alias("n"))
-    known = {r[0]: r["n"] for r in labels.where(f"n >= {LEAST_ROWS}").orderBy(F.col("n").desc(), label_col).limit(MOST_LANGUAGES).collect()}
+    known = {r[0]: r["n"] for r in labels.where(f"n >= {LEAST_ROWS}").limit(LABELS + 1).collect()}
+    if len(known) > LABELS:
+        raise ValueError(f"{label_col} has more than {LABELS} labels")
     if not known:
         return Model([], np.full((BUCKETS, 1), -math.log(BUCKETS), np.float32))
     chance = F.create_map(*(F.lit(x) for k, n in known.items() for x in (k, sample / n)))
@@ -91,7 +95,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) ->
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["label", "bucket", "n"])
 
-    rows = docs.where(F.col(label_col).isin(*known) & drawn).select(F.col(label_col).cast("string"), text_col).mapInArrow(count, "label string, bucket int, n bigint")
+    rows = docs.where(F.col(label_col).isin(*known) & drawn).select(F.col(label_col).cast("string"), text_col).distinct().mapInArrow(count, "label string, bucket int, n bigint")
     found = rows.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted({str(k) for k in known})
     counts = np.full((BUCKETS, len(languages)), 0.01)
@@ -102,7 +106,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) ->
 
 
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
-    """key, language, posterior, declared, accepted of every row.
+    """key, language, posterior, declared, accepted and by_text (the language by text alone) of every row.
 
     The text is read once (twice with the fitting) and never shuffled; what is aggregated is the likelihoods.
     """
@@ -147,7 +151,7 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declar
     parents = by_suffix.select(F.col("suffix").alias("same"), "suffix_p")
     by_host = by_host.join(parents, "same", "left").withColumn("host_p", smoothed(F.col("c"), F.coalesce("suffix_p", everyone), HOST_WEIGHT))
     by_host = cut(by_host.select("same", "host", "host_p"))
-    out = read.withColumn("same", F.coalesce("suffix", F.lit(""))).join(small(by_host), ["same", "host"], "left")
+    out = read.withColumn("same", F.coalesce("suffix", F.lit(""))).join(small(by_host, NUMBERS // k), ["same", "host"], "left")
     prior = F.transform(F.coalesce("host_p", everyone), lambda x: F.log(x))
 
     def given(value: str) -> DataFrame:
@@ -159,14 +163,15 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declar
 
     nothing = F.array(*[F.lit(0.0)] * k)
     for value in ("declared", "suffix"):
-        out = out.join(small(cut(given(value))), value, "left")
+        out = out.join(small(cut(given(value)), NUMBERS // k), value, "left")
     fused = _softmax(plus(plus(plus(F.col("text_score"), prior), F.coalesce("declared_score", nothing)), F.coalesce("suffix_score", nothing)))
     best = F.array_max("fused")
     out = out.withColumn("fused", fused)
     named = F.element_at(F.array(*map(F.lit, names)), F.array_position("fused", best).cast("int"))
     out = out.withColumns({"language": F.when(F.col("letters"), named).otherwise(UNKNOWN), "posterior": F.when(F.col("letters"), best).otherwise(1.0)})
     accepted = (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST)
-    return out.select(F.col("key").alias(key), "language", F.round("posterior", 6).alias("posterior"), "declared", accepted.alias("accepted"))
+    alone = F.when(F.col("letters"), F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.array_max("p")).cast("int"))).otherwise(UNKNOWN)
+    return out.select(F.col("key").alias(key), "language", F.round("posterior", 6).alias("posterior"), "declared", accepted.alias("accepted"), alone.alias("by_text"))
 
 
 def _softmax(scores: Column) -> Column:
