@@ -26,6 +26,11 @@ def mixing_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can say: sizes and targets, out of the whole mix."""
+    return mixing_entropy_balance(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"), passages=suffixdedup.PASSAGES)
 
@@ -57,17 +62,29 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(warc.write_archives(pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op8 on web pages, with their own evidence: markup language, address suffix, host; the model is that of documents."""
+    model = langid.fit(_table(spark, sf_dir, "documents"), "text", "lang")
+    pages = langid.page_columns(_table(spark, sf_dir, "pages"))
+    return langid.identify(pages, key="page_id", declared="declared", host="host", suffix="suffix", model=model)
+
+
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can say: lengths and edited texts, out of the whole result."""
+    return document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -76,16 +93,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard_join,
         "op2_mixing_entropy_balance": mixing_entropy_balance,
+        "mixing_targets": mixing_targets,
         "op3_suffix_array_dedup": suffix_array_dedup,
         "op4_chat_round_trip": chat_round_trip,
         "op5_byte_bpe": byte_bpe,
         "op6_token_counts": token_counts,
         "op7_warc_normaliser": warc_normaliser,
         "op8_language_id": language_id,
+        "language_of_pages": language_of_pages,
         "op9_document_fingerprints": document_fingerprints,
+        "fingerprint_texts": fingerprint_texts,
         "op10_embedding_near_dedup": embedding_near_dedup,
     }
 
 
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, least(doc_id, (SELECT min(b) FROM r WHERE r.a = doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.a = doc_id) AS n_links FROM documents"""
+TARGETS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+f(level, fixed, step) AS (SELECT (SELECT sum(source_size) FROM s) / (SELECT sum(weight) FROM s), -1, 0
+UNION ALL SELECT ((SELECT sum(source_size) FROM s) - coalesce(3 * sum(source_size) FILTER (weight * level > 3.0 * source_size), 0)) / sum(weight) FILTER (weight * level <= 3.0 * source_size), count(*) FILTER (weight * level > 3.0 * source_size)::INTEGER, step + 1 FROM f, s WHERE step < 50 GROUP BY level, fixed, step HAVING count(*) FILTER (weight * level > 3.0 * source_size) <> fixed)
+SELECT doc_id, size::BIGINT AS size, source_size, round(least(weight * (SELECT max_by(level, step) FROM f), 3.0 * source_size), 6) AS target, true AS within FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+ARCHIVED = """SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, '')) AS again FROM pages)"""
+EDITED = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS following FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(following, 1, length(t) // 3)) AS edited_sha256 FROM d"""
+LINKED = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, least(vec_id, (SELECT min(b) FROM r WHERE r.a = vec_id)) AS component_id FROM e)
+SELECT *, vec_id = component_id AS kept FROM c"""
+
+
+def _formatted() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    signs = {chat.ESCAPE: "0", **chat.CONTROLS}
+
+    def escaped(c: str) -> str:
+        for sign, letter in signs.items():
+            c = f"replace({c}, {quoted(sign)}, {quoted(chat.ESCAPE + letter)})"
+        return c
+
+    def length(safe: bool) -> str:
+        t, r = (escaped("t"), escaped("r")) if safe else ("t", "r")
+        return f"sum(CASE r WHEN 'user' THEN 15 + length({t}) WHEN 'assistant' THEN 10 + length({t}) ELSE 18 + length({r}) + length({t}) END)"
+
+    odd = " OR ".join(f"contains({c}, {quoted(s)})" for c in "tr" for s in signs)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+UNION ALL SELECT -1, i, (['user', 'assistant'])[i + 1], '</s>[INST] ok [/INST]' FROM range(2) x(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+CASE WHEN bool_or({odd}) THEN {len(chat.ESCAPED)} + {length(True)} ELSE {len(chat.PLAIN)} + {length(False)} END::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ngram_jaccard_join": JACCARD,
+        "mixing_targets": TARGETS,
+        "op4_chat_round_trip": _formatted(),
+        "op7_warc_normaliser": ARCHIVED,
+        "fingerprint_texts": EDITED,
+        "op10_embedding_near_dedup": LINKED,
+    }

@@ -311,6 +311,10 @@ def test_chat_round_trips_any_text(spark):
         want = [(r, t) for _, r, t in sorted(turns)]
         assert [tuple(x) for x in seen[c].parsed] == want
         assert seen[c].loss == "".join(t for r, t in want if r == "assistant")
+        odd = any(x in t or x in r for x in (*chat.CONTROLS, chat.ESCAPE) for r, t in want)
+        assert seen[c].escaped == odd  # no control string of a text is left as it is
+        body = seen[c].formatted.removeprefix(chat.ESCAPED if odd else chat.PLAIN)
+        assert sum(body.count(x) for x in ("[INST]", "[OUT]", "<<SYS")) == len(want)
     assert any(r.escaped for r in seen.values()) and not all(r.escaped for r in seen.values())
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
@@ -361,32 +365,53 @@ def test_long_words_by_queue_and_by_query_agree(encoding):
         assert a[1] == ",".join(map(str, encoding.encode_ordinary(t)))
 
 
-def test_token_counts(spark, odd, nothing, documents, data):
-    scores = counts.scores(bpe.read_ranks(PATH))
-    memory = {}
-
-    def best(word):
-        if word not in memory:
-            raw, table = word.encode(), [(0.0, 0)]
-            for end in range(1, len(raw) + 1):
-                options = [(table[b][0] + scores[raw[b:end]], -(table[b][1] + 1)) for b in range(max(0, end - 130), end) if raw[b:end] in scores]
-                s, n = max(options)
-                table.append((s, -n))
-            memory[word] = table[-1]
-        return memory[word]
-
-    def count(key, text):
-        found = [best(w) for w in regex.findall(public_tokenizers.PATTERN, text or "")]
-        return key, len(found), sum(n for _, n in found)
+def by_unigram(ranks, texts):
+    """[(pre-tokens, tokens, log probability)] under the model that is fitted on ``texts``, and how often each token occurs."""
+    longest = max(map(len, ranks))
+
+    def segment(word, scores):
+        raw, table = word.encode(), [(0.0, 0, 0)]
+        for end in range(1, len(raw) + 1):
+            options = [(table[b][0] + scores[raw[b:end]], -(table[b][1] + 1), -b) for b in range(max(0, end - longest), end) if raw[b:end] in scores]
+            x, n, b = max(options)
+            table.append((x, -n, -b))
+        return raw, table
+
+    words = [regex.findall(public_tokenizers.PATTERN, t or "") for t in texts]
+    first, found = counts.scores(ranks), collections.Counter()
+    for word, n in collections.Counter(w for ws in words for w in ws).items():
+        raw, table = segment(word, first)
+        end = len(raw)
+        while end:
+            found[raw[table[end][2] : end]] += n
+            end = table[end][2]
+    total = math.log(sum(found.values()) + len(ranks))
+    fitted, memory = {t: math.log(found[t] + 1) - total for t in ranks}, {}
+    best = lambda w: memory.setdefault(w, segment(w, fitted)[1][-1]) if w not in memory else memory[w]
+    return [(len(ws), sum(best(w)[1] for w in ws), sum(best(w)[0] for w in ws)) for ws in words], found
 
-    rows = odd_rows()
-    found = counts.token_counts(odd, PATH)
-    assert bag(found.drop("log_prob")) == collections.Counter(count(r[0], r[1]) for r in rows)
-    found = queries.token_counts(spark, data).drop("log_prob")
-    assert bag(found) == collections.Counter(count(k, t) for k, t in zip(documents.doc_id, documents.text, strict=True))
+
+def test_token_counts(spark, odd, nothing, documents, data):
+    ranks = bpe.read_ranks(PATH)
+    for rows, found in (([(r[0], r[1]) for r in odd_rows()], counts.token_counts(odd, PATH)), (list(zip(documents.doc_id, documents.text, strict=True)), queries.token_counts(spark, data))):
+        want, _ = by_unigram(ranks, [t for _, t in rows])
+        key = lambda x: (x[0] is None, x[0] or 0, *x[1:3], round(x[3], 3))
+        got = sorted(map(tuple, found.collect()), key=key)
+        want = sorted(((k, *x) for (k, _), x in zip(rows, want, strict=True)), key=key)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert all(math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-3) for x, y in zip(got, want, strict=True))
     assert counts.token_counts(nothing, PATH).count() == 0
 
 
+def test_the_fitted_model_is_better_than_ranks(spark, data, documents):
+    """Texts that the model wasn't fitted on are more probable under it than under the law that it begins with."""
+    ranks = bpe.read_ranks(PATH)
+    half = spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 2 = 0")
+    fitted, law = (counts.Counter(m) for m in (counts.smoothed(ranks, counts.fit(half, PATH)), counts.scores(ranks)))
+    held_out = documents.text[documents.doc_id % 2 == 1].tolist()
+    assert sum(x[2] for x in fitted.documents(held_out)) > 0.9 * sum(x[2] for x in law.documents(held_out))
+
+
 # 7: WARC
 
 
@@ -416,6 +441,19 @@ def test_warc_revisits_and_files(spark, tmp_path):
         members = [gzip.decompress(raw[o : o + n]) for o, n in zip(group.offset, group.length, strict=True)]
         assert gzip.decompress(raw) == b"".join(members)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    urls = {(r.page_id, r.url, None if r.payload is None else bytes(r.payload).decode()) for r in warc.read_archives(sidecar).collect()}
+    assert urls == {(i, u or "", None if (i in (5, 9, 11)) else h or "") for i, u, h, _ in rows}
+
+
+def test_warc_ids_of_any_type_and_broken_references(spark, tmp_path):
+    same = "y" * 120
+    rows = [("b <x>\n", "u", same), ("a/é", "u v", same), ("", "u", "s"), (None, "u", same), ("a/é", "u", same)]
+    sidecar = warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(sidecar).collect()}
+    assert found == {("b <x>\n", "revisit", "a/é"), ("a/é", "response", None), ("", "response", None), (None, "response", None)}
+    lost = sidecar.where("page_id <> 'a/é'")  # the response that the revisit needs
+    with pytest.raises(Exception, match="revisit refers to no response"):
+        warc.read_archives(lost, payloads=False).collect()
 
 
 # 8: language
@@ -457,6 +495,57 @@ def test_language_of_pages(spark, data):
     assert found.join(truth, "page_id").agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0] > 0.9
 
 
+def test_posterior_is_that_of_bayes_rule(spark, data):
+    """Against a plain version over all rows, on pages with evidence of all kinds."""
+    docs, pages = spark.read.parquet(f"{data}/documents.parquet"), langid.page_columns(spark.read.parquet(f"{data}/pages.parquet"))
+    model = langid.fit(docs, "text", "lang")
+    found = {r.page_id: r for r in langid.identify(pages, key="page_id", declared="declared", host="host", suffix="suffix", model=model).collect()}
+    rows = pages.select("page_id", "text", "declared", "host", "suffix").collect()
+    sums, n = model.likelihoods(pa.array([r.text for r in rows]))
+    scores = sums * np.minimum(1.0, langid.EVIDENCE / np.maximum(n, 1))[:, None]
+    k = scores.shape[1]
+    soft = lambda x: np.exp(x - x.max(axis=-1, keepdims=True)) / np.exp(x - x.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True)
+    alone = soft(scores + np.log([(1 - langid.UNKNOWN_PRIOR) / (k - 1)] * (k - 1) + [langid.UNKNOWN_PRIOR]))
+    lettered = np.array([bool(regex.search(r"\p{L}", r.text)) for r in rows])
+    total = alone[lettered].sum(axis=0) + 1 / k
+    group = lambda key: {v: alone[[i for i, r in enumerate(rows) if lettered[i] and key(r) == v]].sum(axis=0) for v in {key(r) for r in rows}}
+    smooth = lambda c, p: (c + langid.HOST_WEIGHT * p) / (c.sum() + langid.HOST_WEIGHT)
+    overall, suffixes, hosts, declared = total / total.sum(), group(lambda r: r.suffix), group(lambda r: (r.suffix, r.host)), group(lambda r: r.declared)
+    given = lambda by, v: np.log((by[v] + langid.VALUE_WEIGHT / max(len([x for x in by if x is not None]), 1)) / (total + langid.VALUE_WEIGHT)) if v is not None else 0.0
+    names = [*model.languages, langid.UNKNOWN]
+    for i, r in enumerate(rows):
+        prior = smooth(hosts[r.suffix, r.host], smooth(suffixes[r.suffix], overall) if r.suffix is not None else overall) if r.host is not None else overall
+        p = soft(scores[i] + np.log(prior) + given(declared, r.declared) + given(suffixes, r.suffix)) if lettered[i] else None
+        assert found[r.page_id].posterior == pytest.approx(1.0 if p is None else p.max(), abs=2e-6)
+        assert found[r.page_id].language == (langid.UNKNOWN if p is None else names[int(p.argmax())])
+
+
+def test_evidence_decides_and_rejects(spark, data):
+    """A text that says little follows its declared language and host; without any evidence it is rejected."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs, "text", "lang")
+    rows = [(r.doc_id, r.text, r.lang, f"{r.lang}.org") for r in docs.where("length(text) > 200").limit(150).collect()]
+    text = pa.array([t[:n] for _, t, _, _ in rows for n in range(3, 12)])
+    sums, n = model.likelihoods(text)
+    unsure = np.argsort(np.abs(np.diff(np.sort(sums[:, :-1], axis=1)[:, -2:], axis=1)).ravel())[:40]  # nearly as likely in two languages
+    short = [text[int(i)].as_py() for i in unsure]
+    odd = [(10_000 + i, t, lang, f"{lang}.org") for i, (t, lang) in enumerate(zip(short, ["de", "en", "es", "fr"] * 10, strict=True))]
+    noise = [(20_000, "\u4e2d\u6587" * 100, None, None)]
+    table = spark.createDataFrame(rows + odd + noise, "doc_id bigint, text string, lang string, host string")
+    found = {r.doc_id: r for r in langid.identify(table, host="host", model=model).collect()}
+    flipped = [r for r in found.values() if 10_000 <= r.doc_id < 20_000 and r.language != r.by_text]
+    assert len(flipped) >= 5 and sum(r.language == r.declared for r in flipped) > len(flipped) / 2
+    assert not found[20_000].accepted and found[20_000].language == langid.UNKNOWN
+
+
+def test_every_label_with_enough_rows_is_a_language(spark):
+    r = random.Random(1)
+    rows = [(f"l{i:03d}", " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(20))) for i in range(70) for _ in range(3)]
+    rows += [("rare", "some words")] * 2
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert langid.fit(docs, "text", "lang").languages == [f"l{i:03d}" for i in range(70)]
+
+
 # 9: fingerprints
 
 
@@ -486,13 +575,22 @@ def test_fingerprints_odd_rows(spark, odd, nothing):
     assert one.edited_sha256 == brute.sha("abcdab") and one.near_next == 1.0
 
 
-def test_fingerprints_tell_clashing_texts_apart(spark, monkeypatch):
-    """Where hashes are equal the bytes are compared."""
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c")], "doc_id bigint, text string")
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("key"))
-    hashes = rows.select("key", F.when(F.col("text").isin("a", "A "), digests.wide("a")[0]).otherwise("other").alias("hash"))
-    assert digests._clashes(rows, hashes.where("hash <> 'other'"), None) is None
-    assert digests.canonical("A  ﬁ\n") == "a fi"
+def test_fingerprints_tell_clashing_texts_apart(spark):
+    """Where hashes are equal the bytes are compared: a first hash that is the length only, in ids of another type."""
+    rows = [(1.5, "abc"), (2.5, "abd"), (3.5, "ABC "), (4.5, "x"), (None, "abc")]
+    docs = spark.createDataFrame(rows, "doc_id double, text string")
+    found = {r.doc_id: r for r in digests.fingerprints(docs, wide=lambda form: (str(len(form)), form[::-1])).collect()}
+    assert {k: r.fingerprint for k, r in found.items()} == {1.5: "3-cba", 2.5: "3-dba", 3.5: "3-cba", 4.5: "1", None: "3-cba"}
+    assert found[1.5].near_next == 1.0 and found[3.5].near_next == 0.0
+    assert digests.canonical("A  ﬁ\n") == "a fi" and digests.canonical("ＳTRAẞE\u00a0½") == "strasse 1⁄2"
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "smallint"])
+def test_fingerprints_of_ids_of_any_type(spark, kind):
+    docs = spark.range(30).selectExpr(f"cast({'date_add(current_date(), cast(id as int))' if kind == 'date' else 'id'} as {kind}) AS doc_id", "concat('text ', id * 7919) AS text").repartition(7)
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    want = {k: brute.sha(digests.edited(t, rows[(i + 1) % 30][1])) for i, (k, t) in enumerate(rows)}
+    assert {r.doc_id: r.edited_sha256 for r in digests.fingerprints(docs).collect()} == want
 
 
 # 10: vectors
@@ -520,6 +618,44 @@ def test_near_vectors_odd_rows_and_a_dense_group(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_near_vectors_among_the_tables_own(spark, data):
+    """The table has no links, so some of its vectors get copies at all distances about the threshold."""
+    r = np.random.default_rng(8)
+    rows = [(x.vec_id, np.array(x.embedding, float), x.label) for x in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    for i, (_, v, label) in enumerate(rows[:40]):
+        off = r.standard_normal(len(v))
+        off -= (off @ v) / (v @ v) * v
+        c = 0.9 + 0.0025 * i + 0.0003
+        rows.append((10_000 + i, c * v / np.linalg.norm(v) + math.sqrt(1 - c * c) * off / np.linalg.norm(off), label))
+    rows = [(k, v.tolist(), label) for k, v, label in rows]
+    want = brute.near_vectors(rows)
+    assert sum(n > 0 for n, *_ in want) >= 50
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label bigint").repartition(3), bucket=8)
+    assert bag(found) == collections.Counter((x[0], *y) for x, y in zip(rows, want, strict=True))
+
+
+def test_the_descent_finds_what_the_trees_miss(spark):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, off = unit(r.standard_normal((1000, 64))), r.standard_normal((1000, 64))
+    c = r.uniform(0.931, 0.95, 1000)[:, None]
+    b = c * a + np.sqrt(1 - c**2) * unit(off - (off * a).sum(1, keepdims=True) * a)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))], "vec_id bigint, embedding array<double>, label int").repartition(4)
+    links = lambda rounds: neardup.near_duplicates(df, bucket=4, trees=4, rounds=rounds, target=0.0).where("n_links > 0").count()
+    alone, descended = links(0), links(neardup.ROUNDS)
+    assert alone < 0.9 * 2000 and descended >= 0.98 * 2000
+
+
+def test_a_chain_is_not_compared_as_a_whole(spark, monkeypatch):
+    """Lists that aren't saturated hold all links, so a component of short links needs no brute force."""
+    step = math.acos(0.94)
+    rows = [(i, [math.cos(step * i / 1.0), math.sin(step * i)] + [0.0] * 2, 1) for i in range(17)]
+    monkeypatch.setattr(neardup, "in_blocks", lambda rows, *a: common.in_blocks(rows, *a) if rows.isEmpty() else pytest.fail("compared in blocks"))
+    found = {x.vec_id: (x.n_links, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    want = brute.near_vectors(rows)
+    assert found == {i: x[:2] for i, x in enumerate(want)} and {n for n, _ in found.values()} <= {1, 2}
+
+
 def test_isolated_pairs_are_found_beside_a_dense_group(spark):
     """Pairs at the threshold without other neighbours, in deep trees; a dense group has nearly all links."""
     r = np.random.default_rng(5)
@@ -535,12 +671,6 @@ def test_isolated_pairs_are_found_beside_a_dense_group(spark):
     assert all(found[i] == 59 for i in range(800, 860))
 
 
-def test_trees_meet_a_pair_at_the_threshold():
-    for depth in range(61):
-        met = (1 - math.acos(0.93) / math.pi) ** depth
-        assert (1 - met) ** neardup.trees_for(depth, 0.93) <= neardup.MISS
-
-
 def test_audit_counts_vectors_alike(spark):
     """A group that has nearly all links doesn't hide pairs that were missed."""
     r = np.random.default_rng(6)
@@ -548,8 +678,10 @@ def test_audit_counts_vectors_alike(spark):
     pairs = np.repeat(r.standard_normal((30, 16)), 2, axis=0) + 0.001 * r.standard_normal((60, 16))
     rows = [(1, i, v.tobytes()) for i, v in enumerate(np.concatenate([group, pairs]))]
     vectors = spark.createDataFrame(rows, "space bigint, node bigint, v binary")
-    groups = spark.createDataFrame([(i, 0) for i in range(30)], "node bigint, component bigint")
-    assert neardup.audit(vectors, groups, 0.97) == pytest.approx(30 / 90)
+    whole = spark.createDataFrame([(i, 0) for i in range(30)], "node bigint, component bigint")
+    links = spark.createDataFrame([(30, 31), (32, 33)], "a bigint, b bigint")
+    assert neardup.audit(vectors, links.limit(0), whole, 0.97) == pytest.approx(30 / 90)
+    assert neardup.audit(vectors, links, whole, 0.97) == pytest.approx(34 / 90)
 
 
 def test_a_missed_recall_fails(spark, monkeypatch):
@@ -559,6 +691,23 @@ def test_a_missed_recall_fails(spark, monkeypatch):
         neardup.near_duplicates(df, target=1.1)
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_against_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
+    want = con.sql(queries.oracle_sql()[name]).to_arrow_table()
+    found = queries.queries()[name](spark, data).toArrow()
+    assert sorted(found.column_names) == sorted(want.column_names)
+    rows = lambda t: collections.Counter(tuple(round(r[c], 5) if isinstance(r[c], float) else r[c] for c in sorted(r)) for r in t.to_pylist())
+    assert rows(found) == rows(want)
+
+
 # shared helpers
 
 
