@@ -32,7 +32,7 @@ class RunIndex:
         self.order = np.argsort(raw.view(np.dtype((np.void, raw.shape[1]))).ravel(), kind="stable")
         ranked, self.group = right[self.order], group[self.order]
         apart = ranked[1:] != ranked[:-1]
-        shared = np.where(apart.any(axis=1), apart.argmax(axis=1), self.reach)
+        shared = np.where(apart.any(axis=1), apart.argmax(axis=1), self.reach) if self.reach else np.zeros(max(m - 1, 0), np.int64)
         shared[self.group[1:] != self.group[:-1]] = -1
         #: What the right sides of ranks k - 1 and k share; -1 where a group begins.
         self.shared = np.concatenate([[-1], shared]).astype(np.int32)

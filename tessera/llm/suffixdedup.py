@@ -15,10 +15,10 @@ or in another.  Matches never cross documents.  A ``Measure`` says what a symbol
 
 Every step is an aggregation with partial sums or a join of plain shuffles.  The strings of an anchor with more than
 ``hot`` distinct contexts are dealt in ``PARTS`` ranges.  What a range's strings share around the anchor is part of its
-group, so contexts that differ there part, and a range's rows hold only the symbols beyond.  Groups that are still
-larger are dealt again, down to single strings, which an aggregation counts.  So no task holds more than ``hot``
-contexts of an anchor, and a string that very many documents share costs a few rows for each context, not one for
-each string.  (The symbols that a range shares are compared by 64-bit hashes, within an anchor.)
+group, so contexts that differ there part, and a range's rows hold only the symbols beyond; equal ones become one row
+with a count again.  Groups that are still larger are dealt again, down to single strings.  So no task holds more than
+``hot`` different contexts of an anchor, and a passage that very many documents share costs a few rows for each
+context, not one for each string.  (What a range's strings share, and equal rows, go by 64-bit hashes, within an anchor.)
 
 Cases: a null text is an empty one; texts shorter than ``length`` keep all; texts of any length are read in
 overlapping slices of bytes; repeated rows match each other; an empty table gives no rows; extra columns stay, also
@@ -191,7 +191,8 @@ def _fixed(raw: np.ndarray) -> pa.Array:
 
 
 def _matrix(t: pa.Table, column: str, measure: Measure) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(column).to_pylist()), measure.kind).reshape(t.num_rows, -1)
+    raw = t.column(column).to_pylist()
+    return np.frombuffer(b"".join(raw), measure.kind).reshape(len(raw), len(raw[0]) // np.dtype(measure.kind).itemsize if raw else 0)
 
 
 def _contexts(measures: tuple[Measure, ...]):
@@ -242,7 +243,7 @@ def _by_kind(t: pa.Table) -> Iterator[tuple[int, int, pa.Table]]:
 
 
 def _deal(measures: tuple[Measure, ...]):
-    """Rows of crowded groups -> their strings in ranges, each with the group of what its strings share."""
+    """Rows of crowded groups -> their strings in ranges, each with the group of what its strings share, and a hash of what lies beyond."""
     by_unit = {m.unit: m for m in measures}
 
     def hashed(values: np.ndarray) -> np.ndarray:
@@ -267,9 +268,12 @@ def _deal(measures: tuple[Measure, ...]):
                         g = hashed(x[:, :before]) ^ mix(hashed(y[:, :first]) + np.uint64(first + 1) + t.column("g").to_numpy()[some].view(np.uint64))
                         taken = [t.column(c).combine_chunks().take(pa.array(some)) for c in ("unit", "h", "ctx", "n")]
                         number = lambda x: pa.array(np.asarray(x).astype(np.int32))
+                        x, y = x[:, before : before + wide], y[:, first : first + wide]
+                        room = np.minimum(n_left[some] - before, wide), np.minimum(n_right[some] - first, wide)
+                        same = hashed(x) ^ mix(hashed(y) + (room[0] * (wide + 1) + room[1]).astype(np.uint64))
                         yield pa.RecordBatch.from_arrays(
-                            [taken[0], pa.array(g.view(np.int64)), *taken[1:], number(t.column("first").to_numpy()[some] + first), number(np.full(len(some), wide)), number(np.minimum(n_left[some] - before, wide)), number(np.minimum(n_right[some] - first, wide)), _fixed(x[:, before : before + wide]), _fixed(y[:, first : first + wide])],
-                            names=COLUMNS,
+                            [taken[0], pa.array(g.view(np.int64)), *taken[1:], number(t.column("first").to_numpy()[some] + first), number(np.full(len(some), wide)), number(room[0]), number(room[1]), _fixed(x), _fixed(y), pa.array(same.view(np.int64))],
+                            names=[*COLUMNS, "same"],
                         )
 
     return inside
@@ -300,9 +304,9 @@ def _index(measures: tuple[Measure, ...]):
         group[ends(t)] = 1
         left, right = _table(t, measure)
         found = RunIndex(np.cumsum(group), left, right, t.column("n").to_numpy()).matches(left.shape[1])
-        edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, s = np.nonzero(edge == 1)
-        _, e = np.nonzero(edge == -1)
+        row = np.flatnonzero(found.any(axis=1))
+        found = found[row]  # all strings of a context hold its anchor, so what they cover has no gap
+        s, e = found.argmax(axis=1), found.shape[1] - found[:, ::-1].argmax(axis=1)
         first = t.column("first").to_numpy()[row] - measure.reach
         take = lambda c: t.column(c).combine_chunks().take(pa.array(row))
         return pa.RecordBatch.from_arrays([take("unit"), take("h"), take("ctx"), pa.array((first + s).astype(np.int32)), pa.array((first + e - 1 + measure.length).astype(np.int32))], names=["unit", "h", "ctx", "begin", "end"])
@@ -357,20 +361,24 @@ def marks(keyed: DataFrame, measures: tuple[Measure, ...] = (STRINGS,), *, hot:
     if many:
         hot_contexts = cut(contexts.where("hot"))
         rows = cut(cut_out(hot_contexts, hot_contexts.limit(FEW + 1).count() <= FEW))
-        length = F.element_at(F.create_map(*(F.lit(x) for m in measures for x in (m.unit, m.length))), F.col("unit").cast("int"))
-        reach = F.element_at(F.create_map(*(F.lit(x) for m in measures for x in (m.unit, m.reach))), F.col("unit").cast("int"))
+        levels: list[tuple[DataFrame, DataFrame]] = []  # (which rows became which, marks of the latter)
+        others = [F.first(c).alias(c) for c in ("first", "span", "n_left", "n_right", "left", "right")]
         while True:
-            rows = cut(rows.mapInArrow(_deal(measures), CONTEXT))
+            dealt = cut(rows.mapInArrow(_deal(measures), f"{CONTEXT}, same bigint").withColumn("own", F.xxhash64("g", "same")))
+            once = cut(dealt.groupBy("unit", "h", "g", F.col("own").alias("ctx")).agg(F.sum("n").alias("n"), *others))
             # a string of a group with one row in all occurs nowhere else
-            sizes = cut(rows.groupBy("unit", "h", "g").agg((F.count("*") > hot).alias("crowd"), F.sum("n").alias("total"), F.max("span").alias("wide")).where("total > 1"))
-            rows = cut(rows.join(sizes.select("unit", "h", "g", "crowd"), ["unit", "h", "g"]))
-            begin = F.col("first") - reach
-            found = found.union(indexed(rows.where("NOT crowd AND span > 0").select(*COLUMNS)))
-            found = found.union(rows.where("span = 0").select("unit", "h", "ctx", begin.alias("begin"), (begin + length).alias("end")))
-            if sizes.where("crowd AND wide > 0").isEmpty():
+            sizes = cut(once.groupBy("unit", "h", "g").agg((F.count("*") > hot).alias("crowd"), F.sum("n").alias("total")).where("total > 1"))
+            rows = cut(once.join(sizes.select("unit", "h", "g", "crowd"), ["unit", "h", "g"]))
+            levels.append((dealt.select("unit", "h", "ctx", "own"), cut(indexed(rows.where("NOT crowd").select(*COLUMNS)))))
+            if sizes.where("crowd").isEmpty():
                 break
-            rows = rows.where("crowd AND span > 0").select(*COLUMNS)
-    found = cut(found)
+            rows = rows.where("crowd").select(*COLUMNS)
+        below = None
+        for became, marked in reversed(levels):
+            marked = marked if below is None else marked.union(below)
+            below = marked.withColumnRenamed("ctx", "own").join(became, ["unit", "h", "own"]).select("unit", "h", "ctx", "begin", "end")
+        found = found.union(below)
+    found = cut(found.groupBy("unit", "h", "ctx").agg(F.min("begin").alias("begin"), F.max("end").alias("end")) if many else found)
     return seen.join(found, ["unit", "h", "ctx"]).select("row_key", "unit", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
 
 
