@@ -42,8 +42,8 @@ from .common import SEPARATORS, cut, discard, groups_of, views
 from .pretokens import mix, powers
 from .rindex import RunIndex
 
-#: Distinct contexts of a group beyond which its strings are dealt in ranges, and the ranges.
-HOT = 1024
+#: Distinct contexts of a group (about 12 MB) beyond which its strings are dealt in ranges, and the ranges.
+HOT = 16_384
 PARTS = 4
 #: Contexts of crowded anchors (of some 40 bytes each) up to which their places are broadcast, which saves a shuffle of the texts.
 FEW = 500_000
