@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,9 +16,18 @@ SECRETS = (r"(?i)(api[_-]?key|token|password|secret)\s*[:=]\s*\S+", r"(?i)bearer
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 #: Line ends as Python's splitlines() sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-#: Letters with marks and their plain forms, for keyword search.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Small letters with marks and their plain forms, by the rule of decomposition; then the marks themselves, which go."""
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)) if unicodedata.decomposition(chr(c)) and chr(c).lower() == chr(c)]
+    plain = {x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)) for x in letters}
+    plain = {x: p for x, p in plain.items() if len(p) == 1 and p.isalpha() and p != x}
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
+
+
+#: The folding of keyword search, for documents and queries alike.
+MARKED, PLAIN = _folding()
 
 
 def as_column(x: Column | str) -> Column:
@@ -104,6 +114,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+def fold_query(text: str) -> str:
+    """``fold`` when planning."""
+    return text.lower().translate({ord(m): PLAIN[i] if i < len(PLAIN) else None for i, m in enumerate(MARKED)})
+
+
 def words(text: Column) -> Column:
     """Terms of keyword search in order: runs of letters and numbers of the folded text."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +22,24 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is null or zero, holds nulls, or the lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+
+
+#: Elements up to which a cosine is written out as arithmetic; longer expressions cost more to plan and compile than they save.
+WRITTEN_OUT = 64
 
 
 def cosine_to(query: list[float], v: Column) -> Column:
-    """Cosine to a vector that is known when planning: plain arithmetic on elements, which code generation fuses with the scan."""
+    """Cosine to a vector that is known when planning; null for vectors that are null or zero, hold nulls or have another length.
+
+    Short vectors: plain arithmetic on elements, which code generation fuses with the scan.  Long ones: a matrix product
+    for each Arrow batch.
+    """
     q = [float(x) for x in query]
     size = math.sqrt(math.fsum(x * x for x in q)) or 1.0
+    if len(q) > WRITTEN_OUT:
+        return _by_batch(np.array(q) / size)(v)
     at = [F.get(v, F.lit(i)).cast("double") for i in range(len(q))]
 
     def balanced(terms: list[Column]) -> Column:  # a flat sum would nest as deep as the vector is long
@@ -34,7 +48,24 @@ def cosine_to(query: list[float], v: Column) -> Column:
         half = len(terms) // 2
         return balanced(terms[:half]) + balanced(terms[half:])
 
-    return balanced([x * F.lit(y / size) for x, y in zip(at, q, strict=True)]) / F.sqrt(balanced([x * x for x in at]))
+    along = balanced([x * F.lit(y / size) for x, y in zip(at, q, strict=True)])
+    return F.when(F.size(v) == len(q), F.try_divide(along, F.sqrt(balanced([x * x for x in at]))))
+
+
+def _by_batch(unit: np.ndarray):
+    n = len(unit)
+
+    @F.arrow_udf("double")
+    def along(v: pa.Array) -> pa.Array:
+        out = np.full(len(v), np.nan)
+        some = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(v), n), False).to_numpy(zero_copy_only=False))
+        if len(some):
+            rows = v.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[some] = rows @ unit / np.sqrt((rows * rows).sum(axis=1))
+        return pa.array(out, mask=~np.isfinite(out))
+
+    return along
 
 
 def hash_embedding(text: Column, prefix: str) -> Column:

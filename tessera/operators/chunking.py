@@ -1,147 +1,168 @@
-"""Chunking: windows, paragraph packing, headings, line ranges as columns; Python syntax by an Arrow function.
+"""Chunking: windows, paragraph packing, headings, line ranges, Python syntax.
 
-The order-dependent folds are ``aggregate`` over arrays of one document, so they stay in the JVM and
-need no shuffle; sizes count code points.
+What a chunk is depends on all that came before it in its document, and higher-order functions fold that one
+interpreted expression after another.  So these columns are Arrow functions, one pass over each batch without a
+shuffle; sizes count code points.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_OVERLAP, CHUNK_SIZE
-from ..functions.text import LINE_END, let, strip
 
-HEADING = r"^(#{1,3})\s+(.+)$"
+HEADING = r"(#{1,3})\s+(.+)$"
 TEXTS = "array<string>"
 
 
-def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Pieces of at most ``size``, each ``size - overlap`` after the one before, stripped; empty ones are dropped."""
-    step = max(1, size - max(0, overlap))
+def _each(kind: str, arrow: pa.DataType, one: Callable) -> Callable[..., Column]:
+    """A column function that reads its columns by Arrow batches: one call of ``one`` for each row, one pass, no shuffle."""
 
-    def cut(body: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.length(body) - size) / step)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substr(body, i * step + 1, F.lit(size))))
+    @F.arrow_udf(kind)
+    def single(x: pa.Array) -> pa.Array:
+        return pa.array([one(a) for a in x.to_pylist()], arrow)
 
-    return F.filter(let(strip(F.coalesce(text, F.lit(""))), cut), lambda p: p != "")
+    @F.arrow_udf(kind)
+    def double(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([one(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], arrow)
 
+    return lambda *columns: (single if len(columns) == 1 else double)(*columns)
 
-def pack(paragraphs: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *, markdown: bool = True) -> Column:
-    """Paragraphs packed greedily into chunks of at most ``size``; a new chunk begins with the tail of the last."""
-
-    def state(current: Column, out: Column) -> Column:
-        return F.struct(current.alias("current"), out.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        now, out = acc["current"], acc["out"]
-
-        def close() -> Column:
-            return let(strip(now), lambda c: F.when(c != "", F.concat(out, F.array(c))).otherwise(out))
+def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Pieces of at most ``size``, each ``size - overlap`` after the one before, stripped; empty ones are dropped."""
+    return _each(TEXTS, pa.list_(pa.string()), lambda t: _cut(t or "", size, overlap))(text)
+
+
+def _pack(paragraphs: list[str], size: int, overlap: int, markdown: bool) -> list[str]:
+    out: list[str] = []
+    now = ""
+
+    def close() -> None:
+        if whole := now.strip():
+            out.extend(_cut(whole, size, overlap) if len(whole) > size else [whole])
+
+    for p in paragraphs:
+        if len(p) > size:
+            close()
+            now = ""
+            out.extend(_cut(p, size, overlap))
+            continue
+        joined = f"{now}\n\n{p}".strip() if now else p
+        if not now or len(joined) <= size:
+            now = joined
+            continue
+        close()
+        keeps = overlap > 0 and not (markdown and len(now) <= overlap)
+        tail = now[-overlap:] if keeps else ""
+        now = f"{tail}\n\n{p}".strip() if tail else p
+        if len(now) > size:
+            out.extend(_cut(now, size, overlap))
+            now = ""
+    close()
+    return out
 
-        def begin() -> Column:
-            tail = F.lit("")
-            if overlap > 0:
-                tail = F.substr(now, F.greatest(F.length(now) - overlap + 1, F.lit(1)), F.lit(overlap))
-                if markdown:
-                    tail = F.when(F.length(now) > overlap, tail).otherwise("")
-            following = let(tail, lambda t: F.when(t == "", p).otherwise(strip(F.concat(t, F.lit("\n\n"), p))))
-            split = lambda f: F.when(F.length(f) > size, state(F.lit(""), F.concat(close(), windows(f, size, overlap)))).otherwise(state(f, close()))
-            return let(following, split)
 
-        joined = F.when(now == "", p).otherwise(strip(F.concat(now, F.lit("\n\n"), p)))
-        grow = lambda j: F.when((F.length(j) > size) & (now != ""), begin()).otherwise(state(j, out))
-        return F.when(F.length(p) > size, state(F.lit(""), F.concat(close(), windows(p, size, overlap)))).otherwise(let(joined, grow))
+def pack(paragraphs: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *, markdown: bool = True) -> Column:
+    """Paragraphs packed greedily into chunks of at most ``size``; a new chunk begins with the tail of the last."""
+    return _each(TEXTS, pa.list_(pa.string()), lambda p: None if p is None else _pack(p, size, overlap, markdown))(paragraphs)
 
-    def finish(acc: Column) -> Column:
-        out = F.when(strip(acc["current"]) != "", F.concat(acc["out"], F.array(strip(acc["current"])))).otherwise(acc["out"])
-        return F.flatten(F.transform(out, lambda c: F.when(F.length(c) > size, windows(c, size, overlap)).otherwise(F.array(c))))
 
-    return F.aggregate(paragraphs, state(F.lit(""), F.array().cast(TEXTS)), step, finish)
+def _markdown_paragraphs(text: str) -> list[str]:
+    return [p for x in re.split(r"\n\s*\n", text) if (p := x.strip())]
 
 
 def markdown_paragraphs(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"\n\s*\n"), strip)
-    return F.filter(parts, lambda p: p != "")
+    return _each(TEXTS, pa.list_(pa.string()), lambda t: None if t is None else _markdown_paragraphs(t))(text)
 
 
-def code_paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n\n"), lambda p: strip(p) != "")
+def _code(text: str, size: int, overlap: int) -> list[str]:
+    body = text.strip()
+    if len(body) <= size:
+        return [body] if body else []
+    return _pack([p for p in body.split("\n\n") if p.strip()], size, overlap, False)
 
 
 def code_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Chunks of code without a parser: the whole text if it fits, else packed paragraphs."""
-    def cut(body: Column) -> Column:
-        packed = pack(code_paragraphs(body), size, overlap, markdown=False)
-        return F.when(body == "", F.array().cast(TEXTS)).when(F.length(body) <= size, F.array(body)).otherwise(packed)
+    return _each(TEXTS, pa.list_(pa.string()), lambda t: _code(t or "", size, overlap))(text)
 
-    return let(strip(F.coalesce(text, F.lit(""))), cut)
+
+def _sections(text: str) -> list[tuple[str | None, str]]:
+    out: list[tuple[str | None, list[str]]] = [(None, [])]
+    for line in text.splitlines():
+        if head := re.match(HEADING, line):
+            out.append((head[2].strip(), [line]))
+        else:
+            out[-1][1].append(line)
+    return [(name, body) for name, lines in out if (body := "\n".join(lines).strip())]
 
 
 def sections(text: Column) -> Column:
     """array(struct(section, body)): each heading of one to three signs begins a section that holds its line."""
-    kind = "array<struct<section:string,body:string>>"
+    kind = pa.list_(pa.struct([("section", pa.string()), ("body", pa.string())]))
+    return _each("array<struct<section:string,body:string>>", kind, lambda t: [{"section": s, "body": b} for s, b in _sections(t or "")])(text)
 
-    def step(acc: Column, line: Column) -> Column:
-        heads = F.rlike(line, F.lit(HEADING))
-        body = F.when(acc["body"].isNull(), line).otherwise(F.concat(acc["body"], F.lit("\n"), line))
-        done = F.when(acc["body"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["section"].alias("section"), strip(acc["body"]).alias("body")))))
-        title = strip(F.regexp_extract(line, HEADING, 2))
-        opened = F.struct(title.alias("section"), line.alias("body"), done.alias("out"))
-        return F.when(heads, opened).otherwise(F.struct(acc["section"].alias("section"), body.alias("body"), acc["out"].alias("out")))
 
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("section"), none.alias("body"), F.array().cast(kind).alias("out"))
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{LINE_END})\\z", ""), LINE_END)
-    close = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["section"].alias("section"), strip(F.coalesce(acc["body"], F.lit(""))).alias("body"))))
-    return F.filter(F.aggregate(lines, start, step, close), lambda s: s["body"] != "")
+def _markdown(text: str, size: int, overlap: int) -> list[dict]:
+    return [{"section": s, "content": c} for s, body in _sections(text) for c in ([body] if len(body) <= size else _pack(_markdown_paragraphs(body), size, overlap, True))]
 
 
 def markdown_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """array(struct(section, content)) by headings, then paragraphs."""
+    kind = pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())]))
+    return _each("array<struct<section:string,content:string>>", kind, lambda t: _markdown(t or "", size, overlap))(text)
 
-    def split(s: Column) -> Column:
-        parts = F.when(F.length(s["body"]) <= size, F.array(s["body"])).otherwise(pack(markdown_paragraphs(s["body"]), size, overlap))
-        return F.transform(parts, lambda c: F.struct(s["section"].alias("section"), c.alias("content")))
 
-    return F.flatten(F.transform(sections(text), split))
+def _lines(text: str | None, contents: list[str | None] | None) -> list[dict | None] | None:
+    if contents is None:
+        return None
+    out: list[dict | None] = []
+    cursor = 0
+    for c in contents:
+        at = -1
+        if text is not None and c:
+            at = text.find(c, cursor)
+            at = text.find(c) if at < 0 else at
+        if at < 0:
+            out.append(None)
+            continue
+        first = text.count("\n", 0, at) + 1
+        out.append({"start_line": first, "end_line": first + c.count("\n")})
+        cursor = at + max(1, len(c) // 4)
+    return out
 
 
 def line_ranges(text: Column, contents: Column) -> Column:
     """array(struct(start_line, end_line)) of contents that occur verbatim, searched from a cursor on, else from the beginning."""
-    pair = "struct<start_line:int,end_line:int>"
-
-    def step(acc: Column, c: Column) -> Column:
-        breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-        ahead = F.call_function("locate", c, text, acc["cursor"] + 1)
-        place = let(ahead, lambda a: F.when(c == "", F.lit(0)).when(a > 0, a).otherwise(F.call_function("locate", c, text, F.lit(1))))
-
-        def add(at: Column) -> Column:
-            first = (breaks(F.substr(text, F.lit(1), at - 1)) + 1).cast("int")
-            found = let(first, lambda f: F.struct(f.alias("start_line"), (f + breaks(c)).cast("int").alias("end_line")))
-            out = F.concat(acc["out"], F.array(F.when(at > 0, found).otherwise(F.lit(None).cast(pair))))
-            cursor = F.when(at > 0, at - 1 + F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))).otherwise(acc["cursor"])
-            return F.struct(cursor.cast("int").alias("cursor"), out.alias("out"))
-
-        return let(place, add)
-
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{pair}>").alias("out"))
-    return F.aggregate(contents, start, step, lambda acc: acc["out"])
+    kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32())]))
+    return _each("array<struct<start_line:int,end_line:int>>", kind, _lines)(text, contents)
 
 
 def explode_chunks(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """A row per chunk of ``docs`` (type, file, language, content, ...), with section, chunk_index and lines.
 
-    Documentation, governance documents and .md files go by headings, code by paragraphs; Python files go
-    through ``python_chunks``.
+    Documentation, governance documents and .md files go by headings, Python files by their syntax, other code by
+    paragraphs, as do Python files that don't parse.
     """
-    as_markdown = F.col("type").isin("documentation", "lis") | F.endswith(F.lower("file"), F.lit(".md"))
-    plain = F.transform(code_chunks(F.col("content"), size, overlap), lambda c: F.struct(F.lit(None).cast("string").alias("section"), c.alias("content")))
-    found = docs.withColumn("chunks", F.when(as_markdown, markdown_chunks(F.col("content"), size, overlap)).otherwise(plain))
+    file = F.lower("file")
+    as_markdown = F.col("type").isin("documentation", "lis") | F.endswith(file, F.lit(".md"))
+    way = F.when(as_markdown, "markdown").when(F.endswith(file, F.lit(".py")), "python").otherwise("code")
+
+    def split(text: str | None, way: str) -> list[dict]:
+        if way == "markdown":
+            return _markdown(text or "", size, overlap)
+        units = python_units(text or "", size, overlap) if way == "python" else None
+        return [{"section": u["section"], "content": u["content"]} for u in units] if units else [{"section": None, "content": c} for c in _code(text or "", size, overlap)]
+
+    kind = pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())]))
+    found = docs.withColumn("chunks", _each("array<struct<section:string,content:string>>", kind, split)(F.col("content"), way))
     found = found.withColumn("lines", line_ranges(F.col("content"), F.transform("chunks", lambda c: c["content"])))
     found = found.select(*[c for c in docs.columns if c != "content"], F.posexplode(F.arrays_zip("chunks", "lines")).alias("chunk_index", "c"))
     return found.select(*[c for c in docs.columns if c != "content"], "chunk_index", F.col("c.chunks.section").alias("section"), F.col("c.chunks.content").alias("content"), F.col("c.lines.start_line").alias("start_line"), F.col("c.lines.end_line").alias("end_line"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +37,8 @@ def term_statistics(rows: DataFrame) -> DataFrame:
 def parse_query(query: str, *, stemmed: bool = True) -> list[list[str]]:
     """Phrases that must all occur: each query token becomes the terms that its punctuation separates."""
     phrases = []
-    for token in (t for t in re.findall(T.TOKEN, query or "", re.ASCII) if len(t) > 1):
-        plain = "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
-        terms = re.findall(r"[^\W_]+", plain)
+    for token in (t for t in re.findall(T.TOKEN, T.fold_query(query or ""), re.ASCII) if len(t) > 1):
+        terms = re.findall(r"[^\W_]+", token)
         if terms:
             phrases.append([porter(t) if stemmed else t for t in terms])
     return phrases
@@ -60,12 +58,13 @@ def keyword_search(docs: DataFrame, query: str, limit: int, *, workspace_id: str
     words = T.words(F.col("content"))
     rows = docs.select("point_id", "workspace_id", "source_id", words.alias("words")).withColumn("doc_len", F.size("words"))
     totals = rows.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    found = rows.select("point_id", "workspace_id", "source_id", "doc_len", F.posexplode("words").alias("pos", "term"))
-    if stemmed:
-        wanted = found.select("term").distinct().withColumn("stem", stem("term")).where(F.col("stem").isin(terms))
-        found = found.join(wanted, "term").withColumn("term", F.col("stem")).drop("stem")
-    else:
-        found = found.where(F.col("term").isin(terms))
+    if stemmed:  # the forms of the query's stems, out of the distinct words
+        forms = rows.select(F.explode("words").alias("term")).distinct().withColumn("stem", stem("term")).where(F.col("stem").isin(terms))
+        places = F.posexplode("words").alias("pos", "term")
+        found = rows.select("point_id", "workspace_id", "source_id", "doc_len", places).join(forms, "term").withColumn("term", F.col("stem")).drop("stem")
+    else:  # other words go inside the array, before a row is made of each
+        asked = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(terms))
+        found = rows.select("point_id", "workspace_id", "source_id", "doc_len", F.inline(asked))
     by_doc = found.groupBy("point_id", "workspace_id", "source_id", "doc_len").agg(
         F.collect_set("term").alias("terms"), *(F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"at_{i}") for i, t in enumerate(terms))
     )

@@ -120,10 +120,12 @@ class Generations:
         stream = self.system.create(temporary, True)
         stream.write(bytearray(json.dumps(content, indent=2, sort_keys=True).encode()))
         stream.close()
-        target = self.java.Path(f"{self.folder}/{name}")
-        self.system.delete(target, False)
-        if not self.system.rename(temporary, target):
-            raise OSError(f"the pointer {name} could not be replaced")
+        # one step: a reader finds the old file or the new one
+        gateway = self.spark.sparkContext._gateway
+        options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = self.java.FileContext.getFileContext(self.system.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(temporary, self.java.Path(f"{self.folder}/{name}"), options)
 
     def pointer(self) -> dict:
         return self._read("pointer.json") or {"generation": None, "previous": None}

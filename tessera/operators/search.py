@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import DISABLED_SCOPES, OVERFETCH, SCOPES, Config, check_limit, check_lis
+from ..config import DISABLED_SCOPES, OVERFETCH, SCOPES, TOP_K, Config, check_app, check_limit, check_lis
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.vectors import cosine, cosine_to
@@ -16,6 +16,10 @@ from ..functions.vectors import cosine, cosine_to
 #: The columns of a hit.
 HIT = ("workspace_id", "source_id", "document_id", "file", "type", "app", "language", "section", "start_line", "end_line", "content", "requirement_ids", "schema_version", "revision")
 DIGITS = 6
+#: Queries of a batch that are broadcast; types that a search asks for where none are named; modes.
+QUERIES = 10_000
+DEFAULT_TYPES = ("documentation", "code", "test")
+MODES = ("semantic", "keyword", "hybrid")
 
 
 @dataclass(frozen=True)
@@ -69,10 +73,12 @@ def under_prefix(prefix: str) -> Column:
 
 
 def top_k(index: DataFrame, query: list[float], k: int, *, threshold: float | None = None, key: str = "point_id") -> DataFrame:
-    """The k nearest rows of ``index`` (already filtered), with ``raw``, the cosine; ties by key. One pass, a heap per task."""
+    """The k nearest rows of ``index`` (already filtered), with ``raw``, the cosine; ties by key. One pass, a heap per task.
+
+    Rows whose vector has no cosine (null, zero, of another length) are no hits.
+    """
     scored = index.withColumn("raw", F.round(cosine_to(query, F.col("embedding")), DIGITS))
-    if threshold is not None:
-        scored = scored.where(F.col("raw") >= threshold)
+    scored = scored.where("raw IS NOT NULL" if threshold is None else F.col("raw") >= threshold)
     return scored.orderBy(F.col("raw").desc(), key).limit(k)
 
 
@@ -116,18 +122,33 @@ def search_lis(index: DataFrame, query: str, vector: list[float], filters: Filte
 def nearest_per_group(queries: DataFrame, index: DataFrame, k: int, *, group: str | None = None, threshold: float | None = None) -> DataFrame:
     """The k nearest rows of ``index`` (key, embedding) for every query (query_id, query_vector), as rank, raw.
 
-    Queries are a small side: a set that was named when planning. They are broadcast; with ``group``, rows
-    are compared only inside equal values of it.
+    With ``group``, rows are compared only inside equal values of it. Up to ``QUERIES`` queries are broadcast; more meet
+    the rows of their group in a shuffle, and without a group they are refused.
     """
     on = F.col("i.group") == F.col("q.group") if group else F.lit(True)
-    q, i = queries.alias("q"), index.alias("i")
-    met = i.join(F.broadcast(q), on).withColumn("raw", F.round(cosine(F.col("i.embedding"), F.col("q.query_vector")), DIGITS))
-    if threshold is not None:
-        met = met.where(F.col("raw") >= threshold)
+    few = queries.limit(QUERIES + 1).count() <= QUERIES
+    if not few and not group:
+        raise ValueError(f"more than {QUERIES} queries need a group")
+    q, i = (F.broadcast(queries) if few else queries).alias("q"), index.alias("i")
+    met = i.join(q, on).withColumn("raw", F.round(cosine(F.col("i.embedding"), F.col("q.query_vector")), DIGITS))
+    met = met.where("raw IS NOT NULL" if threshold is None else F.col("raw") >= threshold)
     rank = F.row_number().over(Window.partitionBy("q.query_id").orderBy(F.col("raw").desc(), F.col("i.key")))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("q.query_id", "rank", "i.key", "raw")
 
 
+def ranked_by(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in descending order of the integer ``key``, without gathering them in one task.
+
+    Ranks are taken inside equal ranges of the key; what comes before a range is a sum over one row for each.
+    """
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    dealt = rows.join(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("high") - F.col(key)) * buckets / (F.col("high") - F.col("low") + 1))).drop("low", "high")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("bucket").count().select("bucket", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col(key).desc()))
+    return dealt.withColumn("rank", inside).join(F.broadcast(offsets), "bucket").withColumn("rank", F.col("rank") + F.col("before")).drop("bucket", "before")
+
+
 def fuse(lists: DataFrame, k: int = 60, *, key: str = "point_id") -> DataFrame:
     """Reciprocal rank fusion of ranked lists (list_no, rank, key): rrf, ordered, ties by first appearance."""
     first = F.min(F.struct("list_no", "rank")).alias("first")
@@ -135,7 +156,7 @@ def fuse(lists: DataFrame, k: int = 60, *, key: str = "point_id") -> DataFrame:
     return out.select(key, F.round("rrf", 12).alias("rrf"), F.col("first.list_no").alias("first_list"), F.col("first.rank").alias("first_rank")).orderBy(F.col("rrf").desc(), "first_list", "first_rank")
 
 
-def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters, config: Config | None = None, *, limit: int = 8, stemmed: bool = True, strict_filters: bool = False, key: str = "point_id") -> DataFrame:
+def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters, config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, strict_filters: bool = False, key: str = "point_id") -> DataFrame:
     """Semantic and keyword arms of three times the limit each, fused on the key.
 
     The keyword arm heeds workspace and source only, unless ``strict_filters``.
@@ -145,7 +166,7 @@ def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters,
     config = config or Config()
     check_limit(limit)
     arm = limit * OVERFETCH
-    near = semantic(index, query, vector, filters, config, limit=arm, key=key)
+    near = semantic(index, query, vector, filters, config, limit=arm, path_prefix=path_prefix, key=key)
     near = near.select(key, F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("raw").desc(), key)).alias("rank"), F.lit(0).alias("list_no"))
     docs = index.where(filters.condition()) if strict_filters else index
     terms = keyword_search(docs.withColumn("point_id", F.col(key)), query, arm, workspace_id=filters.workspace_id, source_id=filters.source_id, stemmed=stemmed)
@@ -154,11 +175,40 @@ def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters,
     return fuse(near.unionByName(terms), config.search.rrf_k, key=key).limit(limit)
 
 
-def hits(rows: DataFrame, mode: str) -> DataFrame:
-    """The fixed columns of a hit list; what the index lacks is null."""
+def search(index: DataFrame, query: str, vector: list[float], filters: Filters, mode: str = "semantic", config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, key: str = "point_id") -> DataFrame:
+    """The hits of one of ``MODES`` with key, score and the columns of a hit, best first.
+
+    Without types the search is for documentation, code and tests, so governance documents are left out; the limit, the
+    mode and the app are checked. The keyword mode heeds workspace and source only.
+    """
+    from .lexical import keyword_search
+
+    config = config or Config()
+    if not (query or "").strip():
+        raise ValueError("the query is empty")
+    mode = (mode or "semantic").strip().lower()
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {MODES}")
+    check_limit(limit)
+    filters = replace(filters, types=filters.types or DEFAULT_TYPES, app=check_app(filters.app, config))
+    filters.check()
+    if mode == "semantic":
+        found = semantic(index, query, vector, filters, config, limit=limit, path_prefix=path_prefix, key=key)
+        return hits(found, mode, key).orderBy(F.col("score").desc(), key)
+    if mode == "keyword":
+        best = keyword_search(index.withColumn("point_id", F.col(key)), query, limit, workspace_id=filters.workspace_id, source_id=filters.source_id, stemmed=stemmed)
+        best = best.select(F.col("point_id").alias(key), "score")
+    else:
+        best = hybrid(index, query, vector, filters, config, limit=limit, path_prefix=path_prefix, stemmed=stemmed, key=key).select(key, F.col("rrf").alias("score"))
+    found = index.join(F.broadcast(best), key)  # at most ``limit`` rows
+    return hits(found, mode, key).orderBy(F.col("score").desc(), key)
+
+
+def hits(rows: DataFrame, mode: str, *own: str) -> DataFrame:
+    """The fixed columns of a hit list, after the columns ``own``; what the index lacks is null."""
     kinds = {"requirement_ids": "array<string>", "start_line": "int", "end_line": "int", "schema_version": "int", "revision": "int"}
     have = [F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in HIT]
-    return rows.select("score", *have, F.lit(mode).alias("search_mode"))
+    return rows.select(*own, "score", *have, F.lit(mode).alias("search_mode"))
 
 
 def render(rows: DataFrame, *, key: str = "point_id") -> DataFrame:

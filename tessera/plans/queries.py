@@ -109,14 +109,19 @@ def scope_related(spark, sf):
 
 @query("""SELECT q.vec_id AS query_id, e.vec_id AS key, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS raw,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
-FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id < 20 QUALIFY rank <= 5""")
+FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0 QUALIFY rank <= 5""")
 def batch_knn_per_label(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("group"))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("group"))
     rows = vectors.select(F.col("vec_id").alias("key"), "embedding", F.col("label").alias("group"))
     return search.nearest_per_group(asked, rows, 5, group="label").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(RERANK.replace("SELECT doc_id, file, score", "SELECT doc_id, file, 'semantic' AS search_mode, score"))
+def search_semantic_mode(spark, sf):
+    return search.search(index(spark, sf), QUESTION, query_vector(spark, sf), search.Filters("ws0"), key="doc_id").select("doc_id", "file", "search_mode", "score")
+
+
 # Text, identity, paths.
 
 REQUIREMENTS = "list_sort(list_distinct(list_transform(regexp_extract_all(content, '(?i)REQ-\\d+') || regexp_extract_all(content, '(?i)KR-\\d+') || regexp_extract_all(content, '(?i)US-\\d+'), lambda x: upper(x))))"
@@ -335,6 +340,12 @@ def keyword_bm25(spark, sf):
     return _keyword(spark, sf, "the anly", 20)
 
 
+@query(_bm25([["the"], ["anly"]], 20).replace("SELECT point_id, bm25, round", "SELECT point_id::BIGINT AS doc_id, 'keyword' AS search_mode, round"))
+def search_keyword_mode(spark, sf):
+    found = search.search(_points(spark, sf), "the anly", [], search.Filters("ws1"), "keyword", limit=20, stemmed=False)
+    return found.select(F.col("point_id").cast("bigint").alias("doc_id"), "search_mode", F.round("score", 4).alias("score"))
+
+
 @query()
 def keyword_stemmed(spark, sf):
     return _keyword(spark, sf, "things REQ-3", 20, stemmed=True)
@@ -346,8 +357,7 @@ SELECT point_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM r GROUP BY
 def rrf_fuse(spark, sf):
     vectors = table(spark, sf, "embeddings")
     by_label = vectors.where("label < 3").select(F.col("label").alias("list_no"), F.col("vec_id").alias("point_id"), F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("rank"))
-    n, top = vectors.agg(F.count("*"), F.max("vec_id")).first()
-    back = vectors.select(F.lit(9).alias("list_no"), F.col("vec_id").alias("point_id"), (F.lit(top) - F.col("vec_id") + 1).cast("int").alias("rank")) if n == top + 1 else vectors.select(F.lit(9).alias("list_no"), F.col("vec_id").alias("point_id"), F.row_number().over(Window.orderBy(F.col("vec_id").desc())).alias("rank"))
+    back = search.ranked_by(vectors.select(F.lit(9).alias("list_no"), F.col("vec_id").alias("point_id")), "point_id").withColumn("rank", F.col("rank").cast("int"))
     return search.fuse(by_label.unionByName(back)).select("point_id", F.round("rrf", 9).alias("rrf"))
 
 

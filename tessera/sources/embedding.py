@@ -37,9 +37,11 @@ class Breaker:
 
 def endpoint(base: str, style: str = "openai") -> str:
     """The address of the embedding call below a base address, whatever part of it the base already has."""
-    base = base.strip().rstrip("/")
+    base, style = base.strip().rstrip("/"), (style or "openai").strip().lower()
     if style == "ollama":
-        return base if base.endswith("/api/embed") else f"{base.removesuffix('/api')}/api/embed"
+        return base if base.endswith(("/api/embeddings", "/api/embed")) else f"{base.removesuffix('/v1')}/api/embeddings"
+    if style != "openai":
+        raise ValueError(f"unknown provider {style!r}; known: openai, ollama")
     if base.endswith("/embeddings"):
         return base
     return f"{base}/embeddings" if base.endswith("/v1") else f"{base}/v1/embeddings"

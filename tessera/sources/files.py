@@ -19,7 +19,7 @@ from ..functions.text import strip
 
 #: Adapters in registry order, media types and languages by suffix.
 MARKDOWN_SUFFIXES = (".md", ".markdown")
-FILE_LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".ejs": "ejs", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".rst": "rst", ".csv": "csv", ".txt": "text"}
+FILE_LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|\z)"
 LIS_FIELDS = ("doc_type", "process_area", "domain", "status", "title")

@@ -32,13 +32,17 @@ def rows(table):
     return names, sorted((tuple(plain(v) for v in r) for r in zip(*(table[c].to_pylist() for c in names), strict=True)), key=repr)
 
 
+#: Queries without SQL that find nothing in the small tables, by their question.
+EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, data, duck, name):
     found = queries.QUERIES[name](spark, data).toArrow()
     if name in queries.ORACLE:
         assert rows(found) == rows(duck.sql(queries.ORACLE[name]).to_arrow_table())
     else:
-        assert found.num_columns > 0
+        assert found.num_rows > 0 or name in EMPTY
 
 
 def test_entry_works_without_the_training_data_operators(spark):

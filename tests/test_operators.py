@@ -213,7 +213,52 @@ def test_embedding(spark):
         breaker.check()
     now[0] = 31
     breaker.check()
-    assert embedding.endpoint("http://h/v1/") == "http://h/v1/embeddings" and embedding.endpoint("http://h", "ollama") == "http://h/api/embed"
+    assert [embedding.endpoint(x) for x in ("http://h/v1/", "http://h", "http://h/embeddings")] == ["http://h/v1/embeddings"] * 2 + ["http://h/embeddings"]
+    assert [embedding.endpoint(x, "Ollama") for x in ("http://h", "http://h/v1", "http://h/api/embed", "http://h/api/embeddings/")] == ["http://h/api/embeddings"] * 2 + ["http://h/api/embed", "http://h/api/embeddings"]
+    with pytest.raises(ValueError):
+        embedding.endpoint("http://h", "other")
+
+
+@pytest.mark.parametrize("size", [4, 1536])
+def test_top_k_skips_vectors_without_a_cosine(spark, size):
+    r = random.Random(size)
+    vectors = [[r.gauss(0, 1) for _ in range(size)] for _ in range(50)]
+    rows = list(enumerate(vectors)) + [(90, [0.0] * size), (91, None), (92, [1.0]), (93, [None] * size), (94, [1.0] * (size + 1))]
+    df = spark.createDataFrame(rows, "point_id int, embedding array<double>")
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    query = vectors[7]
+    want = sorted(((-round(sum(x * y for x, y in zip(v, query, strict=True)) / length(v) / length(query), 6), i) for i, v in enumerate(vectors)))
+    assert [(-x.raw, x.point_id) for x in search.top_k(df, query, 100).collect()] == want
+
+
+def test_marked_letters_are_found(spark):
+    docs = spark.createDataFrame([("a", "w", "s", "Čas běží"), ("b", "w", "s", "skola"), ("c", "w", "s", "naïve Škola")], "point_id string, workspace_id string, source_id string, content string")
+    find = lambda q: {r.point_id for r in lexical.keyword_search(docs, q, 9, workspace_id="w").collect()}
+    assert find("cas") == find("čas") == {"a"} and find("škola") == find("skola") == {"b", "c"} and find("NAÏVE") == {"c"}
+
+
+def test_search_verb(spark):
+    rows = [("a", "w", "s", "documentation", "global", "docs/a.md", "booking a table", [1.0, 0.0]), ("b", "w", "s", "code", "web", "apps/web/b.ts", "table of bookings", [0.9, 0.1]), ("c", "w", "s", "lis", "global", "lis/c.md", "booking rules", [1.0, 0.0]), ("d", "v", "s", "code", "web", "d.ts", "booking", [1.0, 0.0])]
+    index = spark.createDataFrame(rows, "point_id string, workspace_id string, source_id string, type string, app string, file string, content string, embedding array<double>")
+    ask = lambda mode, f=search.Filters("w"), **o: [r.point_id for r in search.search(index, "booking", [1.0, 0.0], f, mode, **o).collect()]
+    assert ask("semantic") == ["a", "b"] and ask("semantic", limit=1) == ["a"] and ask("semantic", search.Filters("w", app="WEB")) == ["b"]
+    assert set(ask("keyword")) == {"a", "b", "c"} and set(ask("Hybrid")) == {"a", "b", "c"}
+    found = search.search(index, "booking", [1.0, 0.0], search.Filters("w"), "keyword")
+    assert tuple(found.columns) == ("point_id", "score", *search.HIT, "search_mode")
+    for bad in ({"mode": "fuzzy"}, {"mode": "semantic", "limit": 0}, {"mode": "semantic", "f": search.Filters("w", app="nope")}, {"mode": "semantic", "f": search.Filters()}):
+        with pytest.raises(ValueError):
+            ask(**bad)
+
+
+def test_python_files_are_cut_by_syntax(spark):
+    docs = spark.createDataFrame([("code", "a.py", "import x\n\ndef f():\n    return 1\n\nclass G:\n    y = 2\n"), ("code", "b.py", "def (:\n"), ("code", "c.md", "# H\ntext"), ("code", "d.ts", None)], "type string, file string, content string")
+    found = {(r.file, r.chunk_index, r.section, r.start_line) for r in chunking.explode_chunks(docs).collect()}
+    assert found == {("a.py", 0, "f", 3), ("a.py", 1, "G", 6), ("b.py", 0, None, 1), ("c.md", 0, "H", 1)}
+
+
+def test_ranks_without_one_task(spark):
+    df = spark.createDataFrame([(x * x,) for x in range(100)], "k bigint").repartition(5)
+    assert {(r.k, r["rank"]) for r in search.ranked_by(df, "k", 7).collect()} == {(x * x, 100 - x) for x in range(100)}
 
 
 def test_streams(spark, tmp_path):
