@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 #: The query tokenizer, requirement ids, credentials that are redacted.
 TOKEN = r"(?i)[a-z0-9_./-]+"
@@ -114,14 +116,23 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+_FOLD = {ord(m): PLAIN[i] if i < len(PLAIN) else None for i, m in enumerate(MARKED)}
+_WORD = re.compile(r"[^\W_]+")
+
+
 def fold_query(text: str) -> str:
-    """``fold`` when planning."""
-    return text.lower().translate({ord(m): PLAIN[i] if i < len(PLAIN) else None for i, m in enumerate(MARKED)})
+    """``fold`` of one text."""
+    return text.lower() if text.isascii() else text.lower().translate(_FOLD)
+
+
+@F.arrow_udf(S.ArrayType(S.StringType()))
+def _words(texts: pa.Array) -> pa.Array:
+    return pa.array([_WORD.findall(fold_query(t or "")) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def words(text: Column) -> Column:
-    """Terms of keyword search in order: runs of letters and numbers of the folded text."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Terms of keyword search in order: runs of letters and numbers of the folded text, by Arrow batches."""
+    return _words(text)
 
 
 def metric_key(name: Column, labels: Column) -> Column:

@@ -9,21 +9,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from .text import let
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _rows(v: pa.Array, some: np.ndarray, n: int) -> np.ndarray:
+    return v.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+@F.arrow_udf(S.DoubleType())
+def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = np.full(len(a), np.nan)
+    sizes = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b)]
+    for n in np.unique(sizes[0]).tolist():
+        some = np.flatnonzero((sizes[0] == n) & (sizes[1] == n))
+        if n > 0 and len(some):
+            x, y = _rows(a, some, n), _rows(b, some, n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[some] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
+    return pa.array(out, mask=~np.isfinite(out))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Null where a vector is null or zero, holds nulls, or the lengths differ."""
-    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+    """By Arrow batches; null where a vector is null or zero, holds nulls, or the lengths differ."""
+    return _cosines(a, b)
 
 
 #: Elements up to which a cosine is written out as arithmetic; longer expressions cost more to plan and compile than they save.
@@ -60,7 +69,7 @@ def _by_batch(unit: np.ndarray):
         out = np.full(len(v), np.nan)
         some = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(v), n), False).to_numpy(zero_copy_only=False))
         if len(some):
-            rows = v.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
+            rows = _rows(v, some, n)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[some] = rows @ unit / np.sqrt((rows * rows).sum(axis=1))
         return pa.array(out, mask=~np.isfinite(out))
@@ -69,11 +78,13 @@ def _by_batch(unit: np.ndarray):
 
 
 def hash_embedding(text: Column, prefix: str) -> Column:
-    """32 numbers from the SHA-256 of the prefixed text, of unit length."""
-    numbers = lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    raw = let(F.sha2(F.concat(F.lit(prefix), text), 256), numbers)
-    return let(raw, lambda v: let(length(v), lambda n: F.transform(v, lambda x: x / n)))
+    """32 numbers from the SHA-256 of the prefixed text, of unit length, by Arrow batches."""
+
+    @F.arrow_udf(S.ArrayType(S.DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else hash_vector(t, prefix) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return embed(text)
 
 
 def hash_vector(text: str, prefix: str) -> list[float]:

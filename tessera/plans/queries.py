@@ -117,7 +117,7 @@ def batch_knn_per_label(spark, sf):
     return search.nearest_per_group(asked, rows, 5, group="label").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(RERANK.replace("SELECT doc_id, file, score", "SELECT doc_id, file, 'semantic' AS search_mode, score"))
+@query(RERANK.replace("SELECT doc_id, file, round", "SELECT doc_id, file, 'semantic' AS search_mode, round"))
 def search_semantic_mode(spark, sf):
     return search.search(index(spark, sf), QUESTION, query_vector(spark, sf), search.Filters("ws0"), key="doc_id").select("doc_id", "file", "search_mode", "score")
 

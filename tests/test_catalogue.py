@@ -33,7 +33,7 @@ def rows(table):
 
 
 #: Queries without SQL that find nothing in the small tables, by their question.
-EMPTY: set[str] = set()
+EMPTY = {"keyword_stemmed"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
