@@ -40,6 +40,37 @@ def submit(jobs: DataFrame, requests: DataFrame, now: float, lease: float = LEAS
     )
 
 
+def claim(jobs: DataFrame, asked: DataFrame, now: float, lease: float = LEASE_SECONDS) -> DataFrame:
+    """The table after runners ask for jobs (job_id): column ``claimed`` says which of them now run.
+
+    One job runs for a workspace and source.  Where none does, the oldest queued one that is asked for starts; the
+    choice is an aggregate with partial results, so a scope with very many jobs isn't sorted in one task.
+    """
+    scope = ["workspace_id", "source_id"]
+    rows = expire(jobs, now).join(asked.select("job_id").distinct().withColumn("asked", F.lit(True)), "job_id", "left")
+    first = F.min(F.when(F.col("asked") & (F.col("status") == "queued"), F.struct("created_at", "job_id")))
+    free = rows.groupBy(scope).agg(first.alias("first"), F.bool_or(F.col("status") == "running").alias("busy")).where("first IS NOT NULL AND NOT busy")
+    rows = rows.join(free.select(F.col("first.job_id").alias("job_id"), F.lit(True).alias("won")), "job_id", "left")
+    won = F.coalesce("won", F.lit(False))
+    changed = {"status": F.lit("running"), "updated_at": F.lit(now), "lease_expires_at": F.lit(now + lease)}
+    return rows.select(*(F.when(won, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns), won.alias("claimed"))
+
+
+def renew(jobs: DataFrame, asked: DataFrame, now: float, lease: float = LEASE_SECONDS) -> DataFrame:
+    """The table after heartbeats (job_id): the leases of running jobs are extended, lost ones stay lost."""
+    rows = expire(jobs, now).join(asked.select("job_id").distinct().withColumn("asked", F.lit(True)), "job_id", "left")
+    alive = F.coalesce("asked", F.lit(False)) & (F.col("status") == "running")
+    return rows.withColumn("lease_expires_at", F.when(alive, F.lit(now + lease)).otherwise(F.col("lease_expires_at"))).select(*jobs.columns)
+
+
+def finish(jobs: DataFrame, ended: DataFrame, now: float) -> DataFrame:
+    """The table after jobs ended (job_id, error): without an error they succeeded; the lease is given back."""
+    last = ended.groupBy("job_id").agg(F.max(F.coalesce("error", F.lit(""))).alias("ended"))
+    rows, over = jobs.join(last, "job_id", "left"), F.col("ended").isNotNull()
+    changed = {"status": F.when(F.col("ended") == "", "succeeded").otherwise("failed"), "error": F.col("ended"), "updated_at": F.lit(now), "lease_expires_at": F.lit(None)}
+    return rows.select(*(F.when(over, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns))
+
+
 def active(jobs: DataFrame, now: float) -> DataFrame:
     """The oldest live job of each workspace and source."""
     live = jobs.where(F.col("status").isin(*LIVE) & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") > now)))

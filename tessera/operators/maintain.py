@@ -6,8 +6,9 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import PAYLOAD_SCHEMA_VERSION
 
@@ -35,11 +36,17 @@ def inventory(observed: DataFrame, registry: DataFrame, requested: DataFrame | N
     return out
 
 
+def next_revision() -> Column:
+    """The revision that a row of ``inventory`` gets if its document is written: 1 for new ones, the same again for one left in ``writing``."""
+    again = F.col("old_status") == "writing"
+    return F.when(F.col("kind") == "new", 1).when(F.col("kind") == "changed", F.coalesce("old_revision", F.lit(0)) + F.when(again, 0).otherwise(1))
+
+
 def merge_registry(registry: DataFrame, diff: DataFrame, observed_at: float) -> DataFrame:
     """The next registry (KEY, content_hash, revision, status, observed_at): one full outer join, written as a new snapshot."""
     change = diff.select(*KEY, F.col("content_hash").alias("new_hash"), "kind", "old_revision", "old_status")
     both = registry.join(change, KEY, "full_outer")
-    revision = F.when(F.col("kind") == "new", 1).when((F.col("kind") == "changed") & (F.col("old_status") != "writing"), F.coalesce("old_revision", F.lit(0)) + 1).otherwise(F.coalesce("revision", "old_revision"))
+    revision = F.coalesce(next_revision(), "revision", "old_revision")
     return both.select(
         *KEY,
         F.coalesce("new_hash", "content_hash").alias("content_hash"),
@@ -134,11 +141,16 @@ class Generations:
         """Write a generation that isn't live; an empty one is refused."""
         name = f"generation-{uuid.uuid4().hex}"
         index.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}")
-        if self.spark.read.schema(index.schema).parquet(f"{self.folder}/{name}").isEmpty():
+        self._write(f"{name}.schema.json", json.loads(index.schema.json()))
+        if self.generation(name).isEmpty():
             raise ValueError("a generation without rows is not made live")
         self._write(f"{name}.manifest.json", asdict(manifest))
         return name
 
+    def generation(self, name: str) -> DataFrame:
+        """A generation with the types that it was written with, those of its partitions too."""
+        return self.spark.read.schema(StructType.fromJson(self._read(f"{name}.schema.json"))).parquet(f"{self.folder}/{name}")
+
     def activate(self, name: str) -> None:
         now = self.pointer()
         self._write("pointer.json", {"generation": name, "previous": now["generation"]})
@@ -159,4 +171,10 @@ class Generations:
         name = self.pointer()["generation"]
         if not name:
             raise ValueError("no generation is live")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.generation(name)
+
+    def write_status(self, status: dict) -> None:
+        self._write("status.json", status)
+
+    def status(self) -> dict | None:
+        return self._read("status.json")

@@ -8,7 +8,7 @@ from ..config import Config, SearchConfig
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.vectors import hash_embedding, hash_vector
-from ..operators import composite, graph, jobs, maintain, metrics, search
+from ..operators import composite, graph, indexing, jobs, maintain, metrics, search
 from ..operators.search import Filters
 from ..streaming import incremental
 from .corpus import CHUNKS, INDEX, chunks, hash_sql, hashed, index, query_vector, table
@@ -163,6 +163,18 @@ def registry_merge(spark, sf):
     return maintain.merge_registry(registry, maintain.inventory(_observed(spark, sf), registry), 7.0)
 
 
+@query(f"""WITH {DIFF} SELECT c.doc_id * 10 + k AS point_id, (CASE WHEN kind = 'new' THEN 1 WHEN kind = 'changed' AND old_status <> 'writing' THEN old_revision + 1 ELSE old_revision END)::INTEGER AS revision
+FROM diff d JOIN chunks c ON c.workspace_id = d.workspace_id AND c.source_id = d.source_id AND c.file = d.document_id, (VALUES (0), (1), (2)) v(k) WHERE CASE WHEN kind IN ('new', 'changed') THEN k <> 1 ELSE k <> 2 END""")
+def replace_documents(spark, sf):
+    registry, observed = _registry(spark, sf), _observed(spark, sf)
+    some = lambda *k: F.explode(F.array(*map(F.lit, k))).alias("chunk_index")
+    rebuilt = observed.select(*maintain.KEY, "doc_id", some(0, 2)).withColumn("point_id", F.col("doc_id") * 10 + F.col("chunk_index"))
+    before = registry.select(*maintain.KEY, "revision").join(observed, maintain.KEY).select(*maintain.KEY, "doc_id", "revision", some(0, 1))
+    points = before.withColumn("point_id", F.col("doc_id") * 10 + F.col("chunk_index"))
+    fresh = indexing.revised(rebuilt, maintain.inventory(observed, registry))
+    return indexing.replace_documents(points, fresh).select("point_id", "revision")
+
+
 @query("SELECT doc_id AS point_id, lang, CASE WHEN doc_id % 4 = 0 THEN n_chars + 2 WHEN doc_id % 2 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
 def upsert_last_wins(spark, sf):
     points = table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "lang", "n_chars")
@@ -308,6 +320,15 @@ def job_dedupe(spark, sf):
     return found.where("outcome IS NOT NULL").select(*jobs.SCOPE, "job_id", "outcome")
 
 
+@query(f"""WITH {JOBS}, x AS (SELECT *, CASE WHEN status IN ('queued', 'running') AND lease_expires_at <= {NOW} THEN 'failed' ELSE status END AS st FROM j),
+f AS (SELECT workspace_id, source_id, min({{'c': created_at, 'i': job_id}}) FILTER (WHERE st = 'queued' AND job_id % 2 = 0) AS first, bool_or(st = 'running') AS busy FROM x GROUP BY ALL)
+SELECT job_id, CASE WHEN first.i = job_id AND NOT busy THEN 'running' ELSE st END AS status, CASE WHEN first.i = job_id AND NOT busy THEN {NOW} + 300 ELSE lease_expires_at END::DOUBLE AS lease_expires_at, coalesce(first.i = job_id AND NOT busy, false) AS claimed
+FROM x JOIN f USING (workspace_id, source_id)""")
+def job_claim(spark, sf):
+    rows = _jobs(spark, sf)
+    return jobs.claim(rows, rows.where("job_id % 2 = 0"), NOW).select("job_id", "status", "lease_expires_at", "claimed")
+
+
 @query(f"WITH {JOBS} SELECT job_id, workspace_id, status, updated_at, CASE WHEN starts_with(idempotency_key, 'gui-') AND status IN ('succeeded', 'failed', 'cancelled') THEN updated_at - created_at END AS duration_seconds, nullif(error, '') AS error FROM j ORDER BY updated_at DESC, job_id LIMIT 100")
 def job_history(spark, sf):
     return jobs.history(_jobs(spark, sf))

@@ -15,7 +15,7 @@ from tessera.functions import paths as P
 from tessera.functions import text as T
 from tessera.functions.stem import porter
 from tessera.functions.vectors import hash_embedding, hash_vector
-from tessera.operators import chunking, composite, graph, jobs, lexical, maintain, metrics, search
+from tessera.operators import chunking, composite, graph, indexing, jobs, lexical, maintain, metrics, search
 from tessera.sources import embedding
 from tessera.sources import files as sources
 
@@ -187,6 +187,70 @@ def test_generations(spark, tmp_path):
     assert maintain.incompatible(manifest, maintain.Manifest("other", 4, "c")) == ["embedding_model"]
 
 
+def _corpus(spark, texts):
+    """(observed, rebuilt): each document's words are its chunks; the vector holds a word's length."""
+    rows = [("007", "s", d, t) for d, t in texts.items()]
+    docs = spark.createDataFrame(rows, "workspace_id string, source_id string, document_id string, content string")
+    words = docs.select(*maintain.KEY, F.posexplode(F.split("content", " ")).alias("chunk_index", "content")).where("content <> ''")
+    words = words.withColumn("point_id", F.concat_ws("/", "document_id", F.col("chunk_index").cast("string"), "content"))
+    return docs.select(*maintain.KEY, F.sha2("content", 256).alias("content_hash")), words
+
+
+def test_index_runs(spark, tmp_path):
+    lengths = lambda texts: [[float(len(t)), 1.0] for t in texts]  # noqa: E731  workers can't import this module
+    store = maintain.Generations(spark, str(tmp_path / "index"))
+    observed, words = _corpus(spark, {"a": "one two", "b": "three", "c": "four"})
+    first = words.withColumn("revision", F.lit(1))
+    with pytest.raises(ValueError, match="no chunks"):
+        indexing.run(store, first.limit(0), lengths, "m", 1.0)
+    status = indexing.run(store, first, lengths, "m", 1.0)
+    assert status == store.status() and (status["chunk_count"], status["vector_size"], status["workspace_ids"]) == (4, 2, ["007"])
+    registry = observed.withColumns({"revision": F.lit(1), "status": F.lit("active"), "observed_at": F.lit(1.0)})
+
+    observed, words = _corpus(spark, {"a": "one six", "b": "three", "d": "five"})
+    rebuilt = embedding.embed(words, lengths)
+    manifest = store.manifest()
+    with pytest.raises(ValueError, match="embedding_model"):
+        indexing.update(store, registry, observed, rebuilt, maintain.Manifest("other", 2, manifest.collection), 2.0)
+    twice = rebuilt.union(rebuilt.where("document_id = 'd'"))  # two chunks with one id are one point
+    with pytest.raises(ValueError, match="d has 1 of 2 points at revision 1"):
+        indexing.update(store, registry, observed, twice, manifest, 2.0)
+    assert store.pointer()["generation"] == status["active_collection"] and store.live().count() == 4
+
+    after = indexing.update(store, registry, observed, rebuilt, manifest, 2.0)
+    assert {(r.document_id, r.revision, r.status) for r in after.collect()} == {("a", 2, "active"), ("b", 1, "active"), ("c", 1, "deleted"), ("d", 1, "active")}
+    live = store.live()
+    assert {(r.workspace_id, r.point_id, r.revision) for r in live.collect()} == {("007", "a/0/one", 2), ("007", "a/1/six", 2), ("007", "b/0/three", 1), ("007", "d/0/five", 1)}
+    assert not live.where("embedding[0] <> length(content) + 2").count()
+
+    other = first.withColumn("workspace_id", F.lit("8")).where("document_id = 'b'")
+    assert indexing.run(store, other, lengths, "m", 3.0, workspace_id="8")["chunk_count"] == 5
+    assert indexing.run(store, other.withColumn("content", F.lit("xx")), lengths, "m", 4.0, workspace_id="8")["chunk_count"] == 5
+    assert {r.content for r in store.live().where("workspace_id = '8'").collect()} == {"xx"}
+
+
+def test_job_scope():
+    assert indexing.scope(None, ["w"]) == ("w", "full") and indexing.scope(None, ["v", "w"]) == ("*", "full")
+    assert indexing.scope("w", ["v", "w"], ["a.py"]) == ("w", "partial")
+    for given in ((None, ["v", "w"], ["a.py"]), ("x", ["w"], [])):
+        with pytest.raises(ValueError):
+            indexing.scope(*given)
+
+
+def test_job_runs(spark):
+    kind = "job_id bigint, workspace_id string, source_id string, status string, created_at double, updated_at double, lease_expires_at double, error string"
+    rows = [(1, "w", "s", "queued", 2.0, 2.0, 99.0, ""), (2, "w", "s", "queued", 1.0, 1.0, 99.0, ""), (3, "v", "s", "queued", 1.0, 1.0, 99.0, ""), (4, "v", "s", "running", 1.0, 1.0, 99.0, ""), (5, "u", "s", "running", 1.0, 1.0, 5.0, ""), (6, "u", "s", "queued", 1.0, 1.0, None, "")]
+    table = spark.createDataFrame(rows, kind)
+    asked = table.select("job_id").union(table.select("job_id"))
+    claimed = jobs.claim(table, asked, 10.0, 30.0)
+    assert {r.job_id: r.status for r in claimed.collect()} == {1: "queued", 2: "running", 3: "queued", 4: "running", 5: "failed", 6: "running"}
+    assert {r.job_id for r in claimed.where("claimed").collect()} == {2, 6}
+    renewed = jobs.renew(claimed.drop("claimed"), asked, 20.0, 50.0)
+    assert {r.job_id for r in renewed.where("lease_expires_at = 70").collect()} == {2, 4, 6}
+    ended = jobs.finish(renewed, spark.createDataFrame([(2, None), (4, "bad")], "job_id bigint, error string"), 30.0)
+    assert {(r.job_id, r.status, r.error, r.lease_expires_at) for r in ended.where("updated_at = 30").collect()} == {(2, "succeeded", "", None), (4, "failed", "bad", None)}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs/sub").mkdir(parents=True)
     (tmp_path / "docs/a.md").write_bytes(b"---\nid: LIS-1\ntitle: 'T'\nstatus:\n---\nbody \xff\n")
