@@ -1,10 +1,11 @@
-"""Keyword search: postings, corpus statistics, all-terms and phrase matching, BM25."""
+"""Keyword search: postings, corpus statistics, all-terms and phrase matching, BM25; a written index of them."""
 
 from __future__ import annotations
 
 import re
+import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,6 +13,9 @@ from ..functions.stem import porter, stem
 
 #: Parameters of BM25, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Folders of a written index; a query reads those of its stems.
+BUCKETS = 256
+NO_HITS = "point_id string, bm25 double, score double"
 
 
 def postings(docs: DataFrame, *, stemmed: bool = True) -> DataFrame:
@@ -51,13 +55,10 @@ def keyword_search(docs: DataFrame, query: str, limit: int, *, workspace_id: str
     are kept after the words are split, so what is shuffled is bounded by those, not by the corpus.
     """
     phrases = parse_query(query, stemmed=stemmed)
-    spark = docs.sparkSession
     if not phrases:
-        return spark.createDataFrame([], "point_id string, bm25 double, score double")
+        return docs.sparkSession.createDataFrame([], NO_HITS)
     terms = sorted({t for p in phrases for t in p})
-    words = T.words(F.col("content"))
-    rows = docs.select("point_id", "workspace_id", "source_id", words.alias("words")).withColumn("doc_len", F.size("words"))
-    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    rows = _worded(docs)
     if stemmed:  # the forms of the query's stems, out of the distinct words
         forms = rows.select(F.explode("words").alias("term")).distinct().withColumn("stem", stem("term")).where(F.col("stem").isin(terms))
         places = F.posexplode("words").alias("pos", "term")
@@ -65,6 +66,52 @@ def keyword_search(docs: DataFrame, query: str, limit: int, *, workspace_id: str
     else:  # other words go inside the array, before a row is made of each
         asked = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(terms))
         found = rows.select("point_id", "workspace_id", "source_id", "doc_len", F.inline(asked))
+    return _ranked(found, _totals(rows), phrases, limit, workspace_id, source_id)
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings and totals of ``docs`` as tables below ``path``, which must not exist.
+
+    One row per point and word form, with its positions and the form's stem.  Rows are dealt by ranges of
+    (bucket, stem, point), so a word that every point holds fills many files, none of them at the expense of a task.
+    """
+    rows = _worded(docs)
+    words = rows.select("point_id", "workspace_id", "source_id", "doc_len", F.posexplode("words").alias("pos", "term"))
+    held = words.groupBy("point_id", "workspace_id", "source_id", "doc_len", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    held = held.join(words.select("term").distinct().withColumn("stem", stem("term")), "term")
+    held = held.withColumn("bucket", F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    order = ("bucket", "stem", "point_id")
+    held.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+    _totals(rows).write.parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int, *, workspace_id: str, source_id: str | None = None, stemmed: bool = True) -> DataFrame:
+    """What ``keyword_search`` finds in the points of a written index, from the postings of the query's terms alone."""
+    phrases = parse_query(query, stemmed=stemmed)
+    totals = spark.read.parquet(f"{path}/totals")
+    if not phrases or not totals.first().avg_len:  # without a word in any point there are no postings to read
+        return spark.createDataFrame([], NO_HITS)
+    terms = sorted({t for p in phrases for t in p})
+    stems = terms if stemmed else sorted({porter(t) for t in terms})
+    buckets = sorted({zlib.crc32(s.encode()) % BUCKETS for s in stems})
+    held = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("stem").isin(stems))
+    if not stemmed:
+        held = held.where(F.col("term").isin(terms))
+    found = held.select("point_id", "workspace_id", "source_id", "doc_len", F.col("stem" if stemmed else "term").alias("term"), F.explode("at").alias("pos"))
+    return _ranked(found, totals, phrases, limit, workspace_id, source_id)
+
+
+def _worded(docs: DataFrame) -> DataFrame:
+    return docs.select("point_id", "workspace_id", "source_id", T.words(F.col("content")).alias("words")).withColumn("doc_len", F.size("words"))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+
+
+def _ranked(found: DataFrame, totals: DataFrame, phrases: list[list[str]], limit: int, workspace_id: str, source_id: str | None) -> DataFrame:
+    """The best points, from the occurrences (point_id, workspace_id, source_id, doc_len, pos, term) of the phrases' terms."""
+    terms = sorted({t for p in phrases for t in p})
     by_doc = found.groupBy("point_id", "workspace_id", "source_id", "doc_len").agg(
         F.collect_set("term").alias("terms"), *(F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"at_{i}") for i, t in enumerate(terms))
     )

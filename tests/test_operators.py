@@ -295,6 +295,26 @@ def test_top_k_skips_vectors_without_a_cosine(spark, size):
     assert [(-x.raw, x.point_id) for x in search.top_k(df, query, 100).collect()] == want
 
 
+def test_written_keyword_index_finds_what_a_scan_finds(spark, tmp_path):
+    r = random.Random(5)
+    words = ["Booking", "bookings", "booked", "service", "the", "the", "the", "Škola", "REQ-3", "happily"]
+    docs = [(str(i), f"w{i % 2}", f"s{i % 3}", " ".join(r.choice(words) for _ in range(r.randrange(0, 20)))) for i in range(60)] + [("null", "w0", "s0", None), ("long", "w0", "s0", "the booking " * 20000)]
+    kind = "point_id string, workspace_id string, source_id string, content string"
+    df = spark.createDataFrame(docs, kind)
+    place = str(tmp_path / "index")
+    lexical.write_index(df, place)
+    cases = [("the service", True, None), ("booking", False, "s0"), ("req-3 skola", True, "s0"), ("absent", True, None), ("- .", False, None)]
+    for query, stemmed, source in cases:
+        want = lexical.keyword_search(df, query, 20, workspace_id="w0", source_id=source, stemmed=stemmed).collect()
+        assert lexical.search_index(spark, place, query, 20, workspace_id="w0", source_id=source, stemmed=stemmed).collect() == want, query
+    lexical.write_index(spark.createDataFrame([], kind), str(tmp_path / "none"))
+    lexical.write_index(spark.createDataFrame([("a", "w0", "s0", "- .")], kind), str(tmp_path / "wordless"))
+    for empty in ("none", "wordless"):
+        assert lexical.search_index(spark, str(tmp_path / empty), "booking", 5, workspace_id="w0").count() == 0
+    plan = lexical.search_index(spark, place, "booking", 5, workspace_id="w0")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and re.search(r"PushedFilters: \[[^]]*stem", plan)
+
+
 def test_marked_letters_are_found(spark):
     docs = spark.createDataFrame([("a", "w", "s", "Čas běží"), ("b", "w", "s", "skola"), ("c", "w", "s", "naïve Škola")], "point_id string, workspace_id string, source_id string, content string")
     find = lambda q: {r.point_id for r in lexical.keyword_search(docs, q, 9, workspace_id="w").collect()}
