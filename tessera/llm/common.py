@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of bytes other than these: space, and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -171,3 +172,20 @@ def runs(batches, keys: list[int]):
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... within each group ``by``, in ascending ``order``, nulls first; equal rows in any order.
+
+    Rows are dealt in ranges of (group, order), so a group of any size lies in as many ranges as it needs.  What lies in
+    the ranges before is a mark, a row of its own, that stands before the others of its range in one running sum; no
+    rows are joined, and no task holds more than a range.
+    """
+    part, before, mark = f"{name}_range", f"{name}_before", f"{name}_mark"
+    dealt = cut(rows.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, part).agg(F.count("*").alias(mark)).withColumn(before, F.sum(mark).over(earlier))
+    marks = counts.where(f"{before} > 0").select(*by, part, F.col(before).alias(mark))
+    both = dealt.withColumn(mark, F.lit(None).cast("bigint")).unionByName(marks, allowMissingColumns=True)
+    running = Window.partitionBy(*by, part).orderBy(F.col(mark).asc_nulls_last(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.sum(F.coalesce(mark, F.lit(1))).over(running)).where(F.col(mark).isNull()).drop(mark, part)

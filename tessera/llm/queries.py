@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, digests, langid, mixing, neardup, ngram_join, suffixdedup, warc
+from . import bpe, chat, counts, digests, langid, manifest, mixing, neardup, ngram_join, snapdiff, suffixdedup, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -89,6 +89,32 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """A snapshot after ``docs``: by crc32 of the decimal doc_id modulo 10, rows go, change, take another key or are copied."""
+    kind = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(-1))
+    copied = F.when(F.col("kind") == 5, F.array(F.lit(False), F.lit(True))).when(F.col("kind") != 0, F.array(F.lit(False)))
+    rows = docs.withColumn("kind", kind).withColumn("copied", F.explode(copied))
+    return rows.select(
+        F.when(F.col("copied") | F.col("kind").isin(3, 4), -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("kind") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("kind") == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("kind") == 2, F.col("lang")).when(F.col("kind") != 4, F.col("source")).alias("source"),
+    )
+
+
+def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return snapdiff.difference(docs, later_snapshot(docs), key="doc_id", columns=("text", "lang", "source"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(struck, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = manifest.manifest(docs, key="doc_id", group="source", fields=("doc_id", "source", "lang", "n_chars", "text"), tampered={"text": text})
+    return found.drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard_join,
@@ -104,6 +130,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_document_fingerprints": document_fingerprints,
         "fingerprint_texts": fingerprint_texts,
         "op10_embedding_near_dedup": embedding_near_dedup,
+        "op11_snapshot_difference": snapshot_difference,
+        "op13_merkle_manifest": merkle_manifest,
     }
 
 
@@ -130,6 +158,42 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 c AS (SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, least(vec_id, (SELECT min(b) FROM r WHERE r.a = vec_id)) AS component_id FROM e)
 SELECT *, vec_id = component_id AS kept FROM c"""
 
+#: crc32 of a decimal number, bit by bit: the list holds a character, then a sign for each of its bits.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: [ord(substr({0}::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+DIFFERENCE = f"""WITH d AS (SELECT doc_id AS k, text AS t, lang AS l, source AS s, coalesce({CRC32.format("doc_id")} % 10, -1) AS m FROM documents),
+n AS (SELECT CASE WHEN m IN (3, 4) THEN -1 - k ELSE k END AS k, CASE WHEN m = 1 THEN coalesce(t, '') || '+' ELSE t END AS t, CASE m WHEN 2 THEN s ELSE l END AS l, CASE m WHEN 2 THEN l WHEN 4 THEN NULL ELSE s END AS s FROM d WHERE m <> 0
+UNION ALL SELECT -1 - k, t, l, s FROM d WHERE m = 5),
+p AS (SELECT o.k AS ok, n.k AS nk, o.t AS ot, o.l AS ol, o.s AS os, n.t AS nt, n.l AS nl, n.s AS ns FROM d o FULL JOIN n ON o.k IS NOT DISTINCT FROM n.k),
+g AS (SELECT ok AS k, ot AS t, ol AS l, os AS s, row_number() OVER (PARTITION BY ot, ol, os ORDER BY ok) AS r FROM p WHERE nk IS NULL),
+h AS (SELECT nk AS k, nt AS t, nl AS l, ns AS s, row_number() OVER (PARTITION BY nt, nl, ns ORDER BY nk) AS r FROM p WHERE ok IS NULL),
+m AS (SELECT g.k AS ok, h.k AS nk, g.t AS ot, g.l AS ol, g.s AS os, h.t AS nt, h.l AS nl, h.s AS ns FROM g FULL JOIN h ON g.r = h.r AND g.t IS NOT DISTINCT FROM h.t AND g.l IS NOT DISTINCT FROM h.l AND g.s IS NOT DISTINCT FROM h.s),
+a AS (SELECT *, false AS moved FROM p WHERE ok IS NOT NULL AND nk IS NOT NULL UNION ALL SELECT *, true FROM m),
+c AS (SELECT *, CASE WHEN ok IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ot IS DISTINCT FROM nt THEN 'text' END, CASE WHEN ol IS DISTINCT FROM nl THEN 'lang' END, CASE WHEN os IS DISTINCT FROM ns THEN 'source' END) END AS changed FROM a)
+SELECT coalesce(nk, ok) AS key, ok AS old_key, CASE WHEN nk IS NULL THEN 'delete' WHEN ok IS NULL THEN 'insert' WHEN moved THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
+CASE WHEN nk IS NOT NULL THEN sha256(coalesce(nt, '~') || chr(10) || coalesce(nl, '~') || chr(10) || coalesce(ns, '~')) END AS row_sha256 FROM c"""
+
+
+def _merkle() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    up = lambda at, keys: f"UNION ALL SELECT {keys} lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {at} WHERE n > 1 GROUP BY {keys} lvl, pos // 3, n"
+    swapped = "sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos))"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN {CRC32.format("doc_id")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS held FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t(g, lvl, pos, n, h) AS (SELECT g, 0, pos, n, leaf FROM l {up("t", "g,")}),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s {up("u", "")}),
+f(doc_id, g, lvl, pos, n, h) AS (SELECT doc_id, g, 0, pos, n, held FROM l
+UNION ALL SELECT f.doc_id, f.g, f.lvl + 1, f.pos // 3, (f.n + 2) // 3, {swapped} FROM f JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.g, f.lvl, f.pos, f.n),
+v(doc_id, g, lvl, pos, n, h) AS (SELECT f.doc_id, f.g, 0, s.pos, s.n, f.h FROM f JOIN s ON f.g = s.g WHERE f.n = 1
+UNION ALL SELECT f.doc_id, f.g, f.lvl + 1, f.pos // 3, (f.n + 2) // 3, {swapped} FROM v f JOIN u t ON t.lvl = f.lvl AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.g, f.lvl, f.pos, f.n),
+p AS (SELECT f.doc_id, 0 AS tree, t.lvl, t.pos, t.h FROM f JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.pos // 3 = f.pos // 3 AND t.pos <> f.pos
+UNION ALL SELECT v.doc_id, 1, u.lvl, u.pos, u.h FROM v JOIN u ON u.lvl = v.lvl AND u.pos // 3 = v.pos // 3 AND u.pos <> v.pos),
+q AS (SELECT doc_id, string_agg(h, '' ORDER BY tree, lvl, pos) AS others FROM p GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(coalesce(q.others, '')) AS proof_sha256, v.h AS folded_root, v.h = r.h AS verified
+FROM l JOIN s ON l.g = s.g JOIN (SELECT h FROM u WHERE n = 1) r ON true JOIN v ON v.doc_id = l.doc_id AND v.n = 1 LEFT JOIN q ON q.doc_id = l.doc_id"""
+
 
 def _formatted() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -160,4 +224,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc_normaliser": ARCHIVED,
         "fingerprint_texts": EDITED,
         "op10_embedding_near_dedup": LINKED,
+        "op11_snapshot_difference": DIFFERENCE,
+        "op13_merkle_manifest": _merkle(),
     }
