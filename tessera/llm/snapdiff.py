@@ -44,16 +44,15 @@ def difference(earlier: DataFrame, later: DataFrame, *, key: str, columns: Seque
     columns joined by line feeds with ``~`` for null.
     """
     parts = [f"p{i}" for i in range(len(columns))]
-    held = F.struct("key", *parts, "row")
     both = _tagged(earlier, key, columns, EARLIER).union(_tagged(later, key, columns, LATER))
     kept = F.struct("key", *parts, "row", F.lit(0).cast("bigint").alias("copy"))
     counts = [F.count_if(F.col("side") == s).alias(n) for s, n in ((EARLIER, "n_old"), (LATER, "n_new"))]
     keyed = cut(both.groupBy("key").agg(_of(EARLIER, kept).alias("old"), _of(LATER, kept).alias("new"), *counts))
     most = keyed.agg(F.max(F.greatest("n_old", "n_new"))).first()[0] or 0
     if most > 1:
-        keyed = _repeated(both, parts, held)
+        keyed = _repeated(both, parts)
     paired = keyed.where("old IS NOT NULL AND new IS NOT NULL").select("old", "new", F.lit(False).alias("moved"))
-    moved = _paired(_single(keyed, parts), [F.sha2(F.concat_ws(",", *(F.coalesce(F.hex(p), F.lit("-")) for p in parts)), 256)], ["key", "copy"], parts)
+    moved = _paired(_single(keyed, parts), [F.unhex(F.sha2(F.concat_ws(",", *(F.coalesce(F.hex(p), F.lit("-")) for p in parts)), 256))], ["key", "copy"], parts)
     found = paired.union(moved.select("old", "new", F.lit(True)))
     differs = [~F.col(f"old.{p}").eqNullSafe(F.col(f"new.{p}")) for p in parts]
     changed = F.concat_ws(",", *(F.when(d, F.lit(c)) for d, c in zip(differs, columns, strict=True)))
@@ -88,7 +87,7 @@ def _paired(rows: DataFrame, group: list[Column], order: list[str], parts: list[
     return dealt.groupBy(*names, "rank").agg(_of(EARLIER, held).alias("old"), _of(LATER, held).alias("new")).select("old", "new")
 
 
-def _repeated(both: DataFrame, parts: list[str], held: Column) -> DataFrame:
+def _repeated(both: DataFrame, parts: list[str]) -> DataFrame:
     """old, new of rows paired by key where keys repeat: equal rows as often as both sides have them, then by order of content."""
     same = cut(both.groupBy("key", *parts, "row").agg(*(F.count_if(F.col("side") == s).alias(n) for s, n in ((EARLIER, "n_old"), (LATER, "n_new")))))
 
