@@ -142,7 +142,7 @@ def manifest(rows: DataFrame, *, key: str, group: str, fields: Sequence[str], ta
     checked = leaf([(tampered or {}).get(f, F.col(f)) for f in fields])
     name = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     leaves = rows.select(F.col(key).alias("id"), name.alias("grp"), own.alias("digest"), checked.alias("checked"))
-    leaves = leaves.withColumn("checked", F.when(F.col("checked") != F.col("digest"), F.col("checked")))
+    leaves = cut(leaves.withColumn("checked", F.when(F.col("checked") != F.col("digest"), F.col("checked"))))  # texts are read and hashed once
     placed = ranked(leaves, ["grp"], ["id", "digest"], "pos").withColumn("pos", F.col("pos") - 1)
     below = _climb(placed, fanout, height)
     tops = below[-1].select("grp", F.col("root").alias("subroot"))
