@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, digests, langid, manifest, mixing, neardup, ngram_join, snapdiff, suffixdedup, warc
+from . import bpe, chat, counts, digests, langid, manifest, mixing, neardup, ngram_join, snapdiff, suffixdedup, tokenfiles, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +108,12 @@ def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapdiff.difference(docs, later_snapshot(docs), key="doc_id", columns=("text", "lang", "source"))
 
 
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(WORD_VOCABULARY), encoding="utf-8") as f:
+        model = f.read()
+    return tokenfiles.read_ids(tokenfiles.write_ids(_table(spark, sf_dir, "documents"), model, end=2))
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -131,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fingerprint_texts": fingerprint_texts,
         "op10_embedding_near_dedup": embedding_near_dedup,
         "op11_snapshot_difference": snapshot_difference,
+        "op12_token_id_files": token_id_files,
         "op13_merkle_manifest": merkle_manifest,
     }
 

@@ -1,16 +1,24 @@
-"""Snapshot differences and Merkle manifests against plain versions."""
+"""Snapshot differences, files of token ids and Merkle manifests against plain versions."""
 
 from __future__ import annotations
 
 import collections
 import hashlib
 import random
+import zlib
 
 import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import common, manifest, queries, snapdiff
+from tessera.llm import common, idcoder, manifest, queries, snapdiff, tokenfiles
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, side int, rank int, grp string"
 
@@ -31,6 +39,11 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def documents(data):
+    return pd.read_parquet(f"{data}/documents.parquet")
+
+
 def duck(data, sql):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
@@ -222,3 +235,124 @@ def test_manifest_of_no_rows_and_of_one(spark, nothing):
     one = spark.createDataFrame([(1, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     row = built(one).first()
     assert row.root == row.subroot == row.leaf == leaf_of((1, None, None, None, None)) and row.proof_sha256 == sha("") and row.verified
+
+
+# 12: token ids in binary files
+
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        return f.read()
+
+
+def ids_of_texts(texts, end=2):
+    """By the library, whole texts one by one."""
+    plain = tokenizers.Tokenizer.from_file(VOCABULARY)
+    return [[*plain.encode(t or "", add_special_tokens=False).ids, *([] if end is None else [end])] for t in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def files_of(rows, end=2):
+    """(doc_id, start, n_tokens, crc) of rows (doc_id, text), in order."""
+    out, at = [], 0
+    for (key, _), ids in zip(rows, ids_of_texts([t for _, t in rows], end), strict=True):
+        out.append((key, at, len(ids), crc(ids)))
+        at += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "constant", "repeats", "counting", "zipf", "extremes"])
+def test_blocks_come_back(kind):
+    own = np.random.default_rng(3)
+    shape = (37, 300)
+    made = {
+        "random": lambda: own.integers(0, 1 << 16, shape),
+        "constant": lambda: np.full(shape, 65535),
+        "repeats": lambda: np.tile(own.integers(0, 1 << 16, (37, 20)), (1, 15)),
+        "counting": lambda: np.arange(37 * 300).reshape(shape),
+        "zipf": lambda: np.minimum(own.zipf(1.2, shape), 65535),
+        "extremes": lambda: own.choice([0, 255, 256, 65535, 49151, 49152], shape),
+    }[kind]().astype(np.uint16)
+    words = idcoder.encode(made)
+    assert (idcoder.decode(words, 300) == made).all()
+    bits = 16 * sum(map(len, words)) / made.size
+    assert bits < {"random": 17.5, "constant": 0.8, "repeats": 5, "counting": 17.5, "zipf": 13, "extremes": 11.5}[kind]  # order 0 knows an id by its class alone
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 65535), min_size=9, max_size=9), min_size=1, max_size=6))
+def test_any_blocks_come_back_and_each_one_alone(rows):
+    made = np.array(rows, np.uint16)
+    words = idcoder.encode(made)
+    assert (idcoder.decode(words, 9) == made).all()
+    assert all((idcoder.decode([w], 9)[0] == row).all() for w, row in zip(words, made, strict=True))
+
+
+def test_a_carry_runs_through_many_digits():
+    # digits of ones before a carry are rare by chance; many blocks of one skewed kind give some
+    own = np.random.default_rng(8)
+    made = np.where(own.random((3000, 60)) < 0.97, 7, own.integers(0, 1 << 16, (3000, 60))).astype(np.uint16)
+    assert (idcoder.decode(idcoder.encode(made), 60) == made).all()
+
+
+TEXTS = ["", None, "two words", " \t\n ", "don't  stop　now's ​", "ÀÉİ straße ΑΣ ΑΣ.", "é ́x", "x" * 5000, "<|endoftext|> a<|startoftext|>b", "\U0001f600" * 3 + "\x1c\x85 a b", "a\r\nb\x0bc\x0cd"]
+
+
+def test_ids_are_those_of_the_library(model, documents):
+    texts = [*TEXTS, *documents.text[:60]]
+    ids, counts = tokenfiles.ids_of(pa.array(texts), model, 2)
+    want = ids_of_texts(texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    sliced, counts = tokenfiles.ids_of(pa.array(["head", *texts]).slice(1), model, None)
+    assert sliced.tolist() == [i for w in ids_of_texts(texts, None) for i in w]
+
+
+def test_words_that_are_forgotten_are_encoded_again(model, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "WORDS", 5)
+    for texts in (["one two three", "four"], ["two five six seven"]):
+        assert tokenfiles.ids_of(pa.array(texts), model, None)[0].tolist() == [i for w in ids_of_texts(texts, None) for i in w]
+
+
+def test_files_of_the_table(spark, data, documents):
+    found = queries.token_id_files(spark, data)
+    assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    rows = sorted(zip(documents.doc_id, documents.text, strict=True))
+    assert bag(found.collect()) == bag(files_of([(int(k), t) for k, t in rows]))
+
+
+def test_files_of_odd_rows(spark, model, monkeypatch, tmp_path):
+    rows = [*enumerate(TEXTS), (3, "again"), (None, "no key"), *((50, "copy"),) * 40, (60, "w " * 30_000)]
+    table = spark.createDataFrame([(k, t, 1, "f") for k, t in rows], "doc_id bigint, text string, start int, file string").repartition(3)
+    written = tokenfiles.write_ids(table, model, end=2, file_ids=20, folder=f"file://{tmp_path}/ids")
+    assert written.count() > 3
+    found = sorted(tokenfiles.read_ids(written, ids=True).collect(), key=lambda r: r.start)
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
+    assert [r.doc_id for r in found] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+    assert bag((r.doc_id, tuple(r.ids)) for r in found) == bag((k, tuple(i)) for (k, _), i in zip(rows, ids_of_texts([t for _, t in rows]), strict=True))
+    assert all(r.ids_crc32 == crc(r.ids) and r.n_tokens == len(r.ids) for r in found)
+
+
+def test_no_documents_no_files(nothing, model):
+    written = tokenfiles.write_ids(nothing, model, end=2)
+    assert written.collect() == [] and tokenfiles.read_ids(written).collect() == []
+
+
+def test_a_damaged_block_is_noticed(spark, model, tmp_path):
+    table = spark.createDataFrame([("k", "some words to be damaged " * 50)], "doc_id string, text string")
+    written = tokenfiles.write_ids(table, model, end=2, folder=str(tmp_path / "ids"))
+    assert [r.doc_id for r in tokenfiles.read_ids(written, "string").collect()] == ["k"]
+    path = written.first().file
+    with open(path, "r+b") as f:
+        f.seek(len(tokenfiles.MAGIC) + 4 + 12 + 20)
+        old = f.read(2)
+        f.seek(-2, 1)
+        f.write(bytes(x ^ 0x55 for x in old))
+    with pytest.raises(Exception, match="checksum"):
+        tokenfiles.read_ids(written, "string").collect()
