@@ -125,9 +125,14 @@ def fold_query(text: str) -> str:
     return text.lower() if text.isascii() else text.lower().translate(_FOLD)
 
 
+def word_list(text: str | None) -> list[str]:
+    """``words`` of one text."""
+    return _WORD.findall(fold_query(text or ""))
+
+
 @F.arrow_udf(S.ArrayType(S.StringType()))
 def _words(texts: pa.Array) -> pa.Array:
-    return pa.array([_WORD.findall(fold_query(t or "")) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pa.array(map(word_list, texts.to_pylist()), pa.list_(pa.string()))
 
 
 def words(text: Column) -> Column:

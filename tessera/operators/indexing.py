@@ -6,6 +6,7 @@ fails at any point leaves the live index and the registry as they were, for all
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.embedding import embed
 from . import maintain
+from .keywords import KeywordIndex
 from .maintain import KEY, Generations, Manifest
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -40,28 +42,49 @@ def unverified(points: DataFrame, fresh: DataFrame) -> DataFrame:
     return wanted.join(there, by, "left").fillna(0, ["n_points"]).where("n_points < n_chunks")
 
 
-def update(store: Generations, registry: DataFrame, observed: DataFrame, rebuilt: DataFrame, manifest: Manifest, now: float, requested: DataFrame | None = None) -> DataFrame:
+def update(
+    store: Generations, registry: DataFrame, observed: DataFrame, rebuilt: DataFrame, manifest: Manifest, now: float, requested: DataFrame | None = None,
+    *, embedder: Embedder | None = None, keywords: KeywordIndex | None = None, key: str = "point_id", order: str = "chunk_index",
+) -> DataFrame:
     """Write new and changed documents, check them, drop deleted ones, make the result live; returns the next registry.
 
-    ``rebuilt`` has the columns of the index; only rows of new and changed documents are used, so it may be the whole corpus.
+    ``rebuilt`` has the columns of the index, without ``embedding`` where an ``embedder`` is given; rows of new and changed documents
+    alone are taken, once, and each of their texts is embedded once.  Only the buckets of documents that changed are
+    rewritten.  A changed document that yields no chunks has no points afterwards.  ``keywords`` follows with the same points.
     """
     if problems := maintain.incompatible(store.manifest(), manifest):
         raise ValueError(f"a full run is needed: {', '.join(problems)}")
+    base, aside = store.pointer()["generation"], f"run-{uuid.uuid4().hex}"
     diff = maintain.inventory(observed, registry, requested)
-    fresh = revised(rebuilt, diff)
-    kept = maintain.delete_documents(store.live(), diff.where("kind = 'deleted'"))
-    name = store.stage(replace_documents(kept, fresh), manifest)
-    missing = unverified(store.generation(name), fresh).orderBy(KEY).first()
-    if missing is not None:
-        raise ValueError(f"{missing.document_id} has {missing.n_points} of {missing.n_chunks} points at revision {missing.revision}")
-    store.activate(name)
-    return maintain.merge_registry(registry, diff, now)
+    try:
+        changes = store.files.table(diff.where("kind <> 'unchanged'"), f"{aside}/changes")
+        chunks = store.files.table(revised(rebuilt, changes), f"{aside}/chunks")
+        places = changes.select(store.place(changes).alias("place")).distinct()
+        touched = [r.place for r in places.collect()]  # at most a row per workspace and bucket
+        if touched:
+            old = store.generation(base, touched)
+            last = chunks.groupBy(key).agg(F.max_by(F.struct(*chunks.columns), order).alias("r")).select("r.*")
+            fresh = embed(last, embedder) if embedder else last
+            name = store.stage(maintain.delete_documents(old, changes).unionByName(fresh.select(*old.columns)), manifest, base=base, touched=touched)
+            written = store.generation(name, touched)
+            missing = unverified(written, chunks).orderBy(KEY).first()
+            if missing is not None:
+                raise ValueError(f"{missing.document_id} has {missing.n_points} of {missing.n_chunks} points at revision {missing.revision}")
+            if keywords is not None:
+                new = written.join(changes.select(*KEY), KEY, "left_semi")
+                gone = old.join(changes.select(*KEY), KEY, "left_semi").select(F.col(key).alias("point_id"))
+                keywords.apply(new.withColumn("point_id", F.col(key)), gone, generation=name)
+            store.activate(name)
+        after = maintain.merge_registry(registry, diff, now)
+    finally:
+        store.files.delete(aside)
+    return after
 
 
 def run(store: Generations, chunks: DataFrame, embedder: Embedder, model: str, now: float, *, workspace_id: str | None = None) -> dict:
     """Embed all ``chunks`` into a new generation and make it live; returns the status, which the folder keeps as well.
 
-    With ``workspace_id`` the chunks of that workspace replace its own, and the other workspaces stay as they are.
+    With ``workspace_id`` the chunks of that workspace replace its own; the other workspaces' files are referred to as they are.
     """
     size = len(embedder(["health check"])[0])
     if workspace_id is not None:
@@ -70,12 +93,14 @@ def run(store: Generations, chunks: DataFrame, embedder: Embedder, model: str, n
         raise ValueError("no chunks: check the sources of the workspaces")
     manifest = Manifest(model, size, store.folder.rsplit("/", 1)[-1])
     previous = store.pointer()["generation"]
-    rows = embed(chunks, embedder)
+    rows, base, touched = embed(chunks, embedder), None, []
     if workspace_id is not None and previous:
         if problems := maintain.incompatible(store.manifest(), manifest):
             raise ValueError(f"the other workspaces would not match: {', '.join(problems)}")
-        rows = store.live().where(F.col("workspace_id") != workspace_id).unionByName(rows)
-    name = store.stage(rows, manifest)
+        own = workspace_id.encode().hex().upper()
+        base, touched = previous, [p for p in store.folders(previous) if p.partition("/")[0] == own]
+        rows = rows.select(*store.generation(previous, ()).columns)
+    name = store.stage(rows, manifest, base=base, touched=touched)
     written = store.generation(name)
     store.activate(name)
     ids = [r.workspace_id for r in written.select("workspace_id").distinct().orderBy("workspace_id").collect()]

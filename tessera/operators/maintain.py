@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import PAYLOAD_SCHEMA_VERSION
+from ..sources.folder import Folder
 
 KEY = ["workspace_id", "source_id", "document_id"]
 
@@ -76,13 +78,6 @@ def delete_documents(points: DataFrame, documents: DataFrame, on: list[str] | No
     return points.join(documents.select(*on).distinct(), on, "left_anti")
 
 
-def apply(points: DataFrame, diff: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """The next index: points of unchanged documents, and those of new and changed ones as rebuilt."""
-    kept = points.join(diff.where("kind = 'unchanged'").select(*KEY), KEY, "left_semi")
-    fresh = rebuilt.join(diff.where("kind IN ('new', 'changed')").select(*KEY), KEY, "left_semi")
-    return kept.unionByName(fresh, allowMissingColumns=True)
-
-
 @dataclass(frozen=True)
 class Manifest:
     embedding_model: str
@@ -101,80 +96,103 @@ def incompatible(stored: Manifest | None, wanted: Manifest) -> list[str]:
     return [f for f in a if a[f] != b[f] or (f.endswith("_version") and a[f] == 0)]
 
 
+#: Buckets of documents in a workspace: what a change of one document rewrites.
+BUCKETS = 64
+
+
 class Generations:
     """Index generations under a folder: written aside, checked, then made live by replacing a pointer.
 
-    Files are reached through Hadoop's file system, so the folder may be on any store that Spark writes.
+    A generation is a map from (workspace, bucket of its documents) to the folder that holds those points, so one that changes a few
+    documents writes the folders of their buckets and refers to all others.  What no generation in use refers to goes by ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.java = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self.system = self.java.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read(self, name: str) -> dict | None:
-        path = self.java.Path(f"{self.folder}/{name}")
-        if not self.system.exists(path):
-            return None
-        stream = self.system.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _write(self, name: str, content: dict) -> None:
-        temporary = self.java.Path(f"{self.folder}/.{name}-{uuid.uuid4().hex}")
-        stream = self.system.create(temporary, True)
-        stream.write(bytearray(json.dumps(content, indent=2, sort_keys=True).encode()))
-        stream.close()
-        # one step: a reader finds the old file or the new one
-        gateway = self.spark.sparkContext._gateway
-        options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = self.java.FileContext.getFileContext(self.system.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(temporary, self.java.Path(f"{self.folder}/{name}"), options)
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.files, self.buckets = spark, Folder(spark, folder), buckets
+        self.folder = self.files.path
 
     def pointer(self) -> dict:
-        return self._read("pointer.json") or {"generation": None, "previous": None}
-
-    def stage(self, index: DataFrame, manifest: Manifest, partition_by: tuple[str, ...] = ("workspace_id",)) -> str:
-        """Write a generation that isn't live; an empty one is refused."""
-        name = f"generation-{uuid.uuid4().hex}"
-        index.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}")
-        self._write(f"{name}.schema.json", json.loads(index.schema.json()))
-        if self.generation(name).isEmpty():
+        return self.files.read("pointer.json") or {"generation": None, "previous": None}
+
+    def place(self, rows: DataFrame) -> Column:
+        """workspace in hexadecimal / bucket: where the points of a document lie; a table without documents has one bucket a workspace."""
+        workspace = F.hex(F.coalesce(F.col("workspace_id").cast("string"), F.lit("")).cast("binary"))
+        document = [c for c in KEY[1:] if c in rows.columns]
+        bucket = F.pmod(F.xxhash64(*document), F.lit(self.buckets)) if document else F.lit(0)
+        return F.concat(workspace, F.lit("/"), bucket.cast("string"))
+
+    def stage(self, index: DataFrame, manifest: Manifest, *, base: str | None = None, touched: Sequence[str] = ()) -> str:
+        """Write a generation that isn't live; an empty one is refused.
+
+        With ``base`` it has the folders of that generation, but for the ``touched`` places, whose rows ``index`` gives anew.
+        """
+        name, write = f"generation-{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
+        where = F.split(F.col("_place"), "/")
+        dealt = index.withColumn("_place", self.place(index)).withColumns({"_w": where[0], "_b": where[1]}).drop("_place")
+        dealt.hint("rebalance", "_w", "_b").write.partitionBy("_w", "_b").parquet(self.files.at(write))
+        folders = {k: v for k, v in (self._state(base)["folders"] if base else {}).items() if k not in set(touched)}
+        for w in (n for n in self.files.names(write) if n.startswith("_w=")):
+            for b in (n for n in self.files.names(f"{write}/{w}") if n.startswith("_b=")):
+                folders[f"{w.removeprefix('_w=').replace('__HIVE_DEFAULT_PARTITION__', '')}/{b.removeprefix('_b=')}"] = f"{write}/{w}/{b}"
+        if not folders:
             raise ValueError("a generation without rows is not made live")
-        self._write(f"{name}.manifest.json", asdict(manifest))
+        self.files.write(f"{name}.json", {"manifest": asdict(manifest), "schema": json.loads(index.schema.json()), "folders": folders})
         return name
 
-    def generation(self, name: str) -> DataFrame:
-        """A generation with the types that it was written with, those of its partitions too."""
-        return self.spark.read.schema(StructType.fromJson(self._read(f"{name}.schema.json"))).parquet(f"{self.folder}/{name}")
+    def _state(self, name: str) -> dict:
+        found = self.files.read(f"{name}.json")
+        if found is None:
+            raise ValueError(f"there is no generation {name}")
+        return found
+
+    def folders(self, name: str) -> dict[str, str]:
+        return self._state(name)["folders"]
+
+    def generation(self, name: str, places: Iterable[str] | None = None, workspaces: Iterable[str] | None = None) -> DataFrame:
+        """A generation with the types that it was written with; of some places or workspaces only, nothing else is listed or read."""
+        state = self._state(name)
+        schema = StructType.fromJson(state["schema"])
+        wanted = set(places) if places is not None else None
+        named = {str(w).encode().hex().upper() for w in workspaces} if workspaces is not None else None
+        chosen = [self.files.at(d) for k, d in state["folders"].items() if (wanted is None or k in wanted) and (named is None or k.partition("/")[0] in named)]
+        return self.spark.read.schema(schema).parquet(*chosen) if chosen else self.spark.createDataFrame([], schema)
 
     def activate(self, name: str) -> None:
         now = self.pointer()
-        self._write("pointer.json", {"generation": name, "previous": now["generation"]})
+        self.files.write("pointer.json", {"generation": name, "previous": now["generation"]})
 
     def rollback(self) -> str:
         now = self.pointer()
         if not now["previous"]:
             raise ValueError("there is no previous generation")
-        self._write("pointer.json", {"generation": now["previous"], "previous": None})
+        self.files.write("pointer.json", {"generation": now["previous"], "previous": None})
         return now["previous"]
 
     def manifest(self) -> Manifest | None:
         name = self.pointer()["generation"]
-        found = self._read(f"{name}.manifest.json") if name else None
-        return Manifest(**found) if found else None
+        return Manifest(**self._state(name)["manifest"]) if name else None
 
-    def live(self) -> DataFrame:
+    def live(self, workspaces: Iterable[str] | None = None) -> DataFrame:
         name = self.pointer()["generation"]
         if not name:
             raise ValueError("no generation is live")
-        return self.generation(name)
+        return self.generation(name, workspaces=workspaces)
+
+    def vacuum(self) -> list[str]:
+        """Delete generations other than the live and the previous one, and the data that these two don't refer to; returns what went."""
+        kept = {g for g in self.pointer().values() if g}
+        used = {d.split("/")[1] + "/" + "/".join(d.split("/")[2:]) for g in kept for d in self.folders(g).values()}
+        gone = [n for n in self.files.names() if n.startswith("generation-") and n.removesuffix(".json") not in kept]
+        for write in self.files.names("data"):
+            places = [f"{write}/{w}/{b}" for w in self.files.names(f"data/{write}") if w.startswith("_w=") for b in self.files.names(f"data/{write}/{w}") if b.startswith("_b=")]
+            unused = [p for p in places if p not in used]
+            gone += [f"data/{write}"] if len(unused) == len(places) else [f"data/{p}" for p in unused]
+        for name in gone:
+            self.files.delete(name)
+        return gone
 
     def write_status(self, status: dict) -> None:
-        self._write("status.json", status)
+        self.files.write("status.json", status)
 
     def status(self) -> dict | None:
-        return self._read("status.json")
+        return self.files.read("status.json")

@@ -12,6 +12,8 @@ from ..config import DISABLED_SCOPES, OVERFETCH, SCOPES, TOP_K, Config, check_ap
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.vectors import cosine, cosine_to
+from . import lexical
+from .keywords import KeywordIndex
 
 #: The columns of a hit.
 HIT = ("workspace_id", "source_id", "document_id", "file", "type", "app", "language", "section", "start_line", "end_line", "content", "requirement_ids", "schema_version", "revision")
@@ -156,33 +158,32 @@ def fuse(lists: DataFrame, k: int = 60, *, key: str = "point_id") -> DataFrame:
     return out.select(key, F.round("rrf", 12).alias("rrf"), F.col("first.list_no").alias("first_list"), F.col("first.rank").alias("first_rank")).orderBy(F.col("rrf").desc(), "first_list", "first_rank")
 
 
-def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters, config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, strict_filters: bool = False, key: str = "point_id") -> DataFrame:
+def hybrid(index: DataFrame, query: str, vector: list[float], filters: Filters, config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, strict_filters: bool = False, key: str = "point_id", keywords: KeywordIndex | None = None) -> DataFrame:
     """Semantic and keyword arms of three times the limit each, fused on the key.
 
-    The keyword arm heeds workspace and source only, unless ``strict_filters``.
+    The keyword arm heeds workspace and source only, unless ``strict_filters``; it reads ``keywords`` where one is given.
     """
-    from .lexical import keyword_search
-
+    if strict_filters and keywords is not None:
+        raise ValueError("a keyword index heeds workspace and source only")
     config = config or Config()
     check_limit(limit)
     arm = limit * OVERFETCH
     near = semantic(index, query, vector, filters, config, limit=arm, path_prefix=path_prefix, key=key)
     near = near.select(key, F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("raw").desc(), key)).alias("rank"), F.lit(0).alias("list_no"))
     docs = index.where(filters.condition()) if strict_filters else index
-    terms = keyword_search(docs.withColumn("point_id", F.col(key)), query, arm, workspace_id=filters.workspace_id, source_id=filters.source_id, stemmed=stemmed)
+    terms = _by_words(docs, keywords, query, arm, filters, stemmed, key)
     terms = terms.select(F.col("point_id").alias(key), F.row_number().over(Window.orderBy(F.round("bm25", 9), "point_id")).alias("rank"), F.lit(1).alias("list_no"))
     # both windows run over at most three limits of rows
     return fuse(near.unionByName(terms), config.search.rrf_k, key=key).limit(limit)
 
 
-def search(index: DataFrame, query: str, vector: list[float], filters: Filters, mode: str = "semantic", config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, key: str = "point_id") -> DataFrame:
+def search(index: DataFrame, query: str, vector: list[float], filters: Filters, mode: str = "semantic", config: Config | None = None, *, limit: int = TOP_K, path_prefix: str | None = None, stemmed: bool = True, key: str = "point_id", keywords: KeywordIndex | None = None) -> DataFrame:
     """The hits of one of ``MODES`` with key, score and the columns of a hit, best first.
 
     Without types the search is for documentation, code and tests, so governance documents are left out; the limit, the
-    mode and the app are checked. The keyword mode heeds workspace and source only.
+    mode and the app are checked. The keyword mode heeds workspace and source only; with ``keywords``, the index of the same
+    points, it reads the postings of the query's terms instead of all texts.
     """
-    from .lexical import keyword_search
-
     config = config or Config()
     if not (query or "").strip():
         raise ValueError("the query is empty")
@@ -196,14 +197,19 @@ def search(index: DataFrame, query: str, vector: list[float], filters: Filters,
         found = semantic(index, query, vector, filters, config, limit=limit, path_prefix=path_prefix, key=key)
         return hits(found, mode, key).orderBy(F.col("score").desc(), key)
     if mode == "keyword":
-        best = keyword_search(index.withColumn("point_id", F.col(key)), query, limit, workspace_id=filters.workspace_id, source_id=filters.source_id, stemmed=stemmed)
+        best = _by_words(index, keywords, query, limit, filters, stemmed, key)
         best = best.select(F.col("point_id").alias(key), "score")
     else:
-        best = hybrid(index, query, vector, filters, config, limit=limit, path_prefix=path_prefix, stemmed=stemmed, key=key).select(key, F.col("rrf").alias("score"))
+        best = hybrid(index, query, vector, filters, config, limit=limit, path_prefix=path_prefix, stemmed=stemmed, key=key, keywords=keywords).select(key, F.col("rrf").alias("score"))
     found = index.join(F.broadcast(best), key)  # at most ``limit`` rows
     return hits(found, mode, key).orderBy(F.col("score").desc(), key)
 
 
+def _by_words(index: DataFrame, keywords: KeywordIndex | None, query: str, limit: int, filters: Filters, stemmed: bool, key: str) -> DataFrame:
+    own = {"workspace_id": filters.workspace_id, "source_id": filters.source_id, "stemmed": stemmed}
+    return keywords.search(query, limit, **own) if keywords is not None else lexical.keyword_search(index.withColumn("point_id", F.col(key)), query, limit, **own)
+
+
 def hits(rows: DataFrame, mode: str, *own: str) -> DataFrame:
     """The fixed columns of a hit list, after the columns ``own``; what the index lacks is null."""
     kinds = {"requirement_ids": "array<string>", "start_line": "int", "end_line": "int", "schema_version": "int", "revision": "int"}

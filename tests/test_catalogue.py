@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from tessera.plans import more, queries  # noqa: F401
+from tessera.plans import more, queries, stored  # noqa: F401
 
 
 @pytest.fixture(scope="module")
