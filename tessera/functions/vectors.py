@@ -40,7 +40,7 @@ WRITTEN_OUT = 64
 
 
 def cosine_to(query: list[float], v: Column) -> Column:
-    """Cosine to a vector that is known when planning; null for vectors that are null or zero, hold nulls or have another length.
+    """Cosine to a vector that is known when planning; null for vectors that are null or zero, hold nulls, have another length, or numbers that aren't finite.
 
     Short vectors: plain arithmetic on elements, which code generation fuses with the scan.  Long ones: a matrix product
     for each Arrow batch.
@@ -58,7 +58,8 @@ def cosine_to(query: list[float], v: Column) -> Column:
         return balanced(terms[:half]) + balanced(terms[half:])
 
     along = balanced([x * F.lit(y / size) for x, y in zip(at, q, strict=True)])
-    return F.when(F.size(v) == len(q), F.try_divide(along, F.sqrt(balanced([x * x for x in at]))))
+    found = F.try_divide(along, F.sqrt(balanced([x * x for x in at])))
+    return F.when(F.size(v) == len(q), F.nullif(found, F.lit(float("nan"))))
 
 
 def _by_batch(unit: np.ndarray):

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_OVERLAP, CHUNK_SIZE
+from .scripts import declarations
 
 HEADING = r"(#{1,3})\s+(.+)$"
 TEXTS = "array<string>"
@@ -41,32 +44,27 @@ def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 
 
 def _pack(paragraphs: list[str], size: int, overlap: int, markdown: bool) -> list[str]:
+    """Chunks of consecutive paragraphs: from each begin the window goes as far as the sums of lengths allow, and is written at its end."""
+    ends = [p.rstrip() for p in paragraphs]
+    reach = list(accumulate((2 + len(p) for p in ends), initial=0))  # what paragraphs add to a window that has begun
+    too_long = [i for i, p in enumerate(paragraphs) if len(p) > size] + [len(paragraphs)]
     out: list[str] = []
-    now = ""
-
-    def close() -> None:
-        if whole := now.strip():
-            out.extend(_cut(whole, size, overlap) if len(whole) > size else [whole])
-
-    for p in paragraphs:
-        if len(p) > size:
-            close()
-            now = ""
-            out.extend(_cut(p, size, overlap))
-            continue
-        joined = f"{now}\n\n{p}".strip() if now else p
-        if not now or len(joined) <= size:
-            now = joined
+    begin, lead = 0, ""
+    while begin < len(paragraphs):
+        head = f"{lead}\n\n{paragraphs[begin]}".strip() if lead else paragraphs[begin]
+        lead, end = "", begin + 1
+        if len(head) > size:
+            out += _cut(head, size, overlap)
+            begin = end
             continue
-        close()
-        keeps = overlap > 0 and not (markdown and len(now) <= overlap)
-        tail = now[-overlap:] if keeps else ""
-        now = f"{tail}\n\n{p}".strip() if tail else p
-        if len(now) > size:
-            out.extend(_cut(now, size, overlap))
-            now = ""
-    close()
-    return out
+        fits = bisect_right(reach, reach[end] + size - len(head.lstrip())) - 1
+        end = max(end, min(fits, too_long[bisect_left(too_long, end)]))
+        window = "\n\n".join([head.lstrip(), *ends[begin + 1 : end]]) if end > begin + 1 else head
+        out.append(window.strip())
+        if end < len(paragraphs) and len(paragraphs[end]) <= size and overlap > 0 and (not markdown or len(window) > overlap):
+            lead = window[-overlap:]
+        begin = end
+    return [x for x in out if x]
 
 
 def pack(paragraphs: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *, markdown: bool = True) -> Column:
@@ -145,27 +143,54 @@ def line_ranges(text: Column, contents: Column) -> Column:
     return _each("array<struct<start_line:int,end_line:int>>", kind, _lines)(text, contents)
 
 
+UNIT = pa.struct([("content", pa.string()), ("section", pa.string()), ("symbol", pa.string()), ("symbol_kind", pa.string()), ("chunk_key", pa.string()), ("imports", pa.list_(pa.string()))])
+UNITS = "array<struct<content:string,section:string,symbol:string,symbol_kind:string,chunk_key:string,imports:array<string>>>"
+#: Languages that are cut by their syntax, by suffix.
+SYNTAX = {".py": "python", ".js": "script", ".jsx": "script", ".ts": "script", ".tsx": "script"}
+
+
 def explode_chunks(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """A row per chunk of ``docs`` (type, file, language, content, ...), with section, chunk_index and lines.
+    """A row per chunk of ``docs`` (type, file, language, content, ...), with section, chunk_index, lines, and what is known of a symbol.
 
-    Documentation, governance documents and .md files go by headings, Python files by their syntax, other code by
-    paragraphs, as do Python files that don't parse.
+    Documentation, governance documents and .md files go by headings, Python, JavaScript and TypeScript files by their
+    syntax, other code by paragraphs, as do files without a symbol or that don't parse.  Chunks of code have a chunk_key that stays
+    when white space or other symbols change.
     """
     file = F.lower("file")
     as_markdown = F.col("type").isin("documentation", "lis") | F.endswith(file, F.lit(".md"))
-    way = F.when(as_markdown, "markdown").when(F.endswith(file, F.lit(".py")), "python").otherwise("code")
+    ways = F.create_map(*(F.lit(x) for kv in SYNTAX.items() for x in kv))
+    way = F.when(as_markdown, "markdown").otherwise(F.coalesce(F.element_at(ways, F.regexp_extract(file, r"\.[^./]*$", 0)), F.lit("code")))
 
     def split(text: str | None, way: str) -> list[dict]:
         if way == "markdown":
             return _markdown(text or "", size, overlap)
-        units = python_units(text or "", size, overlap) if way == "python" else None
-        return [{"section": u["section"], "content": u["content"]} for u in units] if units else [{"section": None, "content": c} for c in _code(text or "", size, overlap)]
+        return source_units(text or "", way, size, overlap)
 
-    kind = pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())]))
-    found = docs.withColumn("chunks", _each("array<struct<section:string,content:string>>", kind, split)(F.col("content"), way))
+    found = docs.withColumn("chunks", _each(UNITS, pa.list_(UNIT), split)(F.col("content"), way))
     found = found.withColumn("lines", line_ranges(F.col("content"), F.transform("chunks", lambda c: c["content"])))
-    found = found.select(*[c for c in docs.columns if c != "content"], F.posexplode(F.arrays_zip("chunks", "lines")).alias("chunk_index", "c"))
-    return found.select(*[c for c in docs.columns if c != "content"], "chunk_index", F.col("c.chunks.section").alias("section"), F.col("c.chunks.content").alias("content"), F.col("c.lines.start_line").alias("start_line"), F.col("c.lines.end_line").alias("end_line"))
+    kept = [c for c in docs.columns if c != "content"]
+    found = found.select(*kept, F.posexplode(F.arrays_zip("chunks", "lines")).alias("chunk_index", "c"))
+    known = [F.col(f"c.chunks.{n}").alias(n) for n in ("symbol", "symbol_kind", "chunk_key", "imports")]
+    return found.select(*kept, "chunk_index", F.col("c.chunks.section").alias("section"), F.col("c.chunks.content").alias("content"), F.col("c.lines.start_line").alias("start_line"), F.col("c.lines.end_line").alias("end_line"), *known)
+
+
+def source_units(text: str, way: str, size: int, overlap: int) -> list[dict]:
+    """Chunks of a source file: its symbols, or packed paragraphs with a key of their number."""
+    units = python_units(text, size, overlap) if way == "python" else script_units(text, size, overlap) if way == "script" else None
+    return units or [{"section": None, "content": c, "symbol": None, "symbol_kind": None, "chunk_key": f"size:{i}", "imports": []} for i, c in enumerate(_code(text, size, overlap))]
+
+
+def script_units(text: str, size: int, overlap: int) -> list[dict]:
+    """Top-level functions and classes of a JavaScript or TypeScript file; none where there are none."""
+    found, imports = declarations(text)
+    return [u for kind, name, source in found for u in _unit(source, name, kind, f"{kind}:{name}", imports, size, overlap)]
+
+
+def _unit(content: str, symbol: str, kind: str, key: str, imports: list[str], size: int, overlap: int, section: str | None = None) -> list[dict]:
+    """The chunks of one symbol, numbered if it takes several."""
+    pieces = _cut(content, size, overlap)
+    named = {"section": section or symbol, "symbol": symbol, "symbol_kind": kind, "imports": imports}
+    return [{"content": p, "chunk_key": f"{key}#{i}" if len(pieces) > 1 else key, **named} for i, p in enumerate(pieces)]
 
 
 def _cut(text: str, size: int, overlap: int) -> list[str]:
@@ -189,9 +214,7 @@ def python_units(text: str, size: int, overlap: int) -> list[dict] | None:
     found: list[dict] = []
 
     def add(content: str, symbol: str, kind: str, key: str, section: str | None = None) -> None:
-        pieces = _cut(content, size, overlap)
-        many = len(pieces) > 1
-        found.extend({"content": p, "section": section or symbol, "symbol": symbol, "symbol_kind": kind, "chunk_key": f"{key}#{i}" if many else key, "imports": imports} for i, p in enumerate(pieces))
+        found.extend(_unit(content, symbol, kind, key, imports, size, overlap, section))
 
     def source(first: int, last: int) -> str:
         return "".join(lines[first - 1 : last])
@@ -215,26 +238,15 @@ def python_units(text: str, size: int, overlap: int) -> list[dict] | None:
     return found or None
 
 
+def source_chunks(docs: DataFrame, way: str, *, key: str = "document_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """key, chunk_index, content, section, symbol, symbol_kind, chunk_key, imports of sources (key, content) of one language: python, script or code."""
+    units = _each(UNITS, pa.list_(UNIT), lambda t: source_units(t or "", way, size, overlap))(F.col("content"))
+    return docs.select(key, F.posexplode(units).alias("chunk_index", "u")).select(key, "chunk_index", "u.*")
+
+
 def python_chunks(docs: DataFrame, *, key: str = "document_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """key, chunk_index, content, section, symbol, symbol_kind, chunk_key, imports of Python sources (key, content).
+    return source_chunks(docs, "python", key=key, size=size, overlap=overlap)
 
-    Python's own parser is the only way to its syntax, so this is an Arrow function; what doesn't parse is
-    packed by paragraphs, as a column.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    kinds = pa.list_(pa.struct([("content", pa.string()), ("section", pa.string()), ("symbol", pa.string()), ("symbol_kind", pa.string()), ("chunk_key", pa.string()), ("imports", pa.list_(pa.string()))]))
-
-    def units(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in stream:
-            rows = [python_units(t or "", size, overlap) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kinds)], names=[key, "content", "units"])
-
-    unit = "struct<content:string,section:string,symbol:string,symbol_kind:string,chunk_key:string,imports:array<string>>"
-    parsed = docs.select(key, "content").mapInArrow(units, f"{key} {kind}, content string, units array<{unit}>")
-    none = F.lit(None).cast("string")
-    plain = F.transform(
-        code_chunks(F.col("content"), size, overlap),
-        lambda c, i: F.struct(c.alias("content"), none.alias("section"), none.alias("symbol"), none.alias("symbol_kind"), F.concat(F.lit("size:"), i).alias("chunk_key"), F.array().cast(TEXTS).alias("imports")),
-    )
-    rows = parsed.withColumn("units", F.coalesce("units", plain))
-    return rows.select(key, F.posexplode("units").alias("chunk_index", "u")).select(key, "chunk_index", "u.*")
+
+def script_chunks(docs: DataFrame, *, key: str = "document_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    return source_chunks(docs, "script", key=key, size=size, overlap=overlap)

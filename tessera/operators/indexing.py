@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.embedding import embed
+from ..sources.embedding import CLAMP, DOCUMENTS, embed, embed_new
 from . import maintain
 from .keywords import KeywordIndex
 from .maintain import KEY, Generations, Manifest
@@ -64,7 +64,11 @@ def update(
         if touched:
             old = store.generation(base, touched)
             last = chunks.groupBy(key).agg(F.max_by(F.struct(*chunks.columns), order).alias("r")).select("r.*")
-            fresh = embed(last, embedder) if embedder else last
+            fresh = last
+            if embedder:  # a text that a changed document had before keeps its vector
+                sent = F.sha2(F.substring(F.concat(F.lit(DOCUMENTS), F.coalesce("content", F.lit(""))), 1, CLAMP).cast("binary"), 256)
+                known = old.join(changes.select(*KEY), KEY, "left_semi").groupBy(sent.alias("text_hash")).agg(F.first("embedding").alias("embedding"))
+                fresh, _ = embed_new(last, known, embedder, lambda rows: store.files.table(rows, f"{aside}/vectors"))
             name = store.stage(maintain.delete_documents(old, changes).unionByName(fresh.select(*old.columns)), manifest, base=base, touched=touched)
             written = store.generation(name, touched)
             missing = unverified(written, chunks).orderBy(KEY).first()

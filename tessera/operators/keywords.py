@@ -1,9 +1,4 @@
-"""A keyword index that is kept: segments of postings, tombstones, exact statistics, and merges.
-
-A change adds a segment with the postings of the points that it writes, and tombstones for the points that it writes or deletes; a
-tombstone hides a point in all segments before it.  A version, one JSON file made by create-if-absent, names segments and tombstones, the
-number of live points and their words, and the generation of the index that it belongs to; readers of an older version aren't
-disturbed.  When there are too many segments, the newest ones, up to one that is larger than all of them, become one.
+"""A keyword index that is kept: segments of postings, with exact statistics under changes and deletes (see ``segments``).
 
 In a segment postings lie in folders by the bucket of their stem, sorted by stem; a query addresses the folders of its
 stems and no others, and Parquet's statistics skip what lies beside them there.  The number of buckets follows the segment's size.
@@ -11,25 +6,22 @@ stems and no others, and Parquet's statistics skip what lies beside them there.
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions.stem import porter
 from ..functions.text import word_list
-from ..sources.folder import Conflict, Folder, Versions
 from . import lexical
+from .segments import Segmented
 
-#: Points from which a segment has 16 and 256 buckets; segments that are kept apart; attempts to commit.
+#: Points from which a segment has 1, 16 and 256 buckets.
 BUCKETS = ((0, 1), (500, 16), (20_000, 256))
-SEGMENTS, ATTEMPTS = 8, 5
 ENTRY = S.ArrayType(S.StructType([S.StructField("term", S.StringType()), S.StructField("stem", S.StringType()), S.StructField("at", S.ArrayType(S.IntegerType()))]))
-POSTINGS = "point_id {}, workspace_id string, source_id string, doc_len int, term string, stem string, at array<int>, seq int"
+POSTINGS = "point_id {}, workspace_id string, source_id string, doc_len int, term string, stem string, at array<int>"
 
 _stems: dict[str, str] = {}
 
@@ -56,142 +48,46 @@ def entries(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("stem", pa.string()), ("at", pa.list_(pa.int32()))])))
 
 
-class KeywordIndex:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.folder = spark, Folder(spark, path)
-        self.versions = Versions(self.folder)
-
-    def state(self) -> dict:
-        return self.versions.latest()[1] or {"segments": [], "tombs": [], "seq": 0, "n_docs": 0, "words": 0, "generation": None, "key": "string"}
-
-    @property
-    def generation(self) -> str | None:
-        """The generation of the index whose points these are."""
-        return self.state()["generation"]
+class KeywordIndex(Segmented):
+    measure = "doc_len"
 
-    # what a change writes
+    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, *, generation: str | None = None) -> dict:
+        """Write points (point_id, workspace_id, source_id, content) and delete others (point_id); returns the new state.
 
-    def _postings(self, rows: DataFrame, name: str, buckets: int) -> dict[str, int]:
-        """Write postings by bucket; returns the bytes of each.  Spark splits a bucket with very many rows and packs small ones."""
+        Of several rows of one point that with the greatest content is taken.
+        """
+        if upserts is None:
+            kind = deletes.schema["point_id"].dataType.simpleString()
+            upserts = self.spark.createDataFrame([], f"point_id {kind}, workspace_id string, source_id string, content string")
+        one = upserts.groupBy("point_id").agg(F.max(F.struct("content", "workspace_id", "source_id")).alias("r"))
+        found = one.select("point_id", "r.workspace_id", "r.source_id", entries("r.content").alias("entries"))
+        return self.change(found.withColumn("doc_len", F.aggregate("entries", F.lit(0), lambda n, e: n + F.size(e["at"]))), deletes, generation)
+
+    def write_segment(self, staged: DataFrame, name: str, points: int) -> dict:
+        """Postings by bucket; Spark splits a bucket with very many rows and packs small ones."""
+        buckets = next(b for least, b in reversed(BUCKETS) if points >= least)
+        rows = staged.select("point_id", "workspace_id", "source_id", "doc_len", F.inline("entries"))
         bucket = F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(buckets)).cast("int")
         dealt = rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem", "point_id")
         dealt.write.partitionBy("bucket").parquet(self.folder.at(f"{name}/postings"))
-        found = [n for n in self.folder.names(f"{name}/postings") if n.startswith("bucket=")]
-        return {n.removeprefix("bucket="): self.folder.size(f"{name}/postings/{n}") for n in found}
-
-    def _segment(self, postings: DataFrame, points: DataFrame, seq: int) -> dict:
-        """Write a segment out of points (point_id, doc_len) and postings."""
-        name = f"segment-{seq:08d}-{uuid.uuid4().hex}"
-        kept = self.folder.table(points, f"{name}/points")
-        n, words = kept.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-        buckets = next(b for least, b in reversed(BUCKETS) if n >= least)
-        return {"name": name, "seq": seq, "points": n, "words": words, "modulus": buckets, "bytes": self._postings(postings, name, buckets)}
-
-    def _lengths(self, state: dict) -> DataFrame:
-        """(point_id, doc_len, seq) of the points of all segments."""
-        parts = [self.spark.read.parquet(self.folder.at(f"{s['name']}/points")).withColumn("seq", F.lit(s["seq"])) for s in state["segments"]]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"point_id {state['key']}, doc_len int, seq int")
-
-    def _live(self, rows: DataFrame, state: dict) -> DataFrame:
-        """``rows`` (point_id, seq, ...) without those that a later tombstone hides."""
-        first = min((s["seq"] for s in state["segments"]), default=0)
-        hides = [t for t in state["tombs"] if t["seq"] > first]
-        if not hides:
-            return rows
-        parts = [self.spark.read.parquet(self.folder.at(t["name"])).withColumn("over", F.lit(t["seq"])) for t in hides]
-        last = reduce(DataFrame.unionByName, parts).groupBy(F.col("point_id").alias("gone")).agg(F.max("over").alias("over"))
-        return rows.join(last, (F.col("point_id") == F.col("gone")) & (F.col("seq") < F.col("over")), "left_anti")
+        staged.select("point_id", "workspace_id", "source_id", "doc_len", "entries").write.parquet(self.folder.at(f"{name}/rows"))
+        return {"modulus": buckets, "bytes": self.sizes(f"{name}/postings", "bucket")}
 
-    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, *, generation: str | None = None) -> dict:
-        """Write points (point_id, workspace_id, source_id, content) and delete others (point_id); returns the new state.
+    def held(self, state: dict) -> DataFrame:
+        parts = [self.spark.read.parquet(self.folder.at(f"{s['name']}/rows")).withColumn("seq", F.lit(s["seq"])) for s in state["segments"]]
+        return self.union(parts, "")
 
-        A point of both is written; of several rows of one point one is taken.  The new rows are written once; what has to be
-        known of the points that they replace is asked again if another writer commits first.
-        """
-        kind = (upserts if upserts is not None else deletes).schema["point_id"].dataType.simpleString()
-        empty = self.spark.createDataFrame([], f"point_id {kind}, workspace_id string, source_id string, content string")
-        one = (empty if upserts is None else upserts).select(*empty.columns).dropDuplicates(["point_id"])
-        found = one.select("point_id", "workspace_id", "source_id", entries("content").alias("entries"))
-        size = F.aggregate("entries", F.lit(0), lambda n, e: n + F.size(e["at"]))
-        aside = f"staged-{uuid.uuid4().hex}"
-        try:
-            staged = self.folder.table(found.withColumn("doc_len", size), aside)
-            gone = staged.select("point_id")
-            gone = gone if deletes is None else gone.union(deletes.select("point_id"))
-            mark = f"tombs-{uuid.uuid4().hex}"
-            tombs = self.folder.table(gone.distinct(), mark)
-            n_tombs = tombs.count()
-            made = None
-            for _ in range(ATTEMPTS):
-                number, _state = self.versions.latest()
-                state = self.state()
-                seq = state["seq"] + 1
-                if made is None and not staged.isEmpty():
-                    made = self._segment(staged.select("point_id", "workspace_id", "source_id", "doc_len", F.inline("entries")), staged.select("point_id", "doc_len"), seq)
-                before = self._live(self._lengths(state).join(tombs, "point_id", "left_semi"), state)
-                less, words = before.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-                new = dict(state, seq=seq, key=kind, generation=generation or state["generation"])
-                new["segments"] = state["segments"] + ([dict(made, seq=seq)] if made else [])
-                new["tombs"] = state["tombs"] + ([{"name": mark, "seq": seq, "rows": n_tombs}] if less else [])
-                new["n_docs"] = state["n_docs"] - less + (made["points"] if made else 0)
-                new["words"] = state["words"] - words + (made["words"] if made else 0)
-                try:
-                    self.versions.commit(number, new)
-                    break
-                except Conflict:
-                    continue
-            else:
-                raise Conflict("other writers were faster every time")
-        finally:
-            self.folder.delete(aside)
-        return self.merge() if len(new["segments"]) > SEGMENTS else new
-
-    def merge(self, whole: bool = False) -> dict:
-        """Make one segment of the newest ones, up to one that is larger than all after it, or of all; hidden points go for good."""
-        number, state = self.versions.latest()
-        segments = state["segments"] if state else []
-        first, total = len(segments) - 1, segments[-1]["points"] if segments else 0
-        while first > 0 and (whole or first == len(segments) - 1 or segments[first - 1]["points"] <= total):
-            first -= 1
-            total += segments[first]["points"]
-        chosen = segments[max(first, 0) :]
-        if len(chosen) < 2 and not (whole and chosen and state["tombs"]):
-            return self.state()
-        part = dict(state, segments=chosen)
-        postings = self._live(self._read(part, None), part).drop("seq")
-        points = self._live(self._lengths(part), part).drop("seq")
-        made = self._segment(postings, points, chosen[-1]["seq"])
-        new = dict(state, segments=segments[:first] + ([made] if made["points"] else []))
-        oldest = min((s["seq"] for s in new["segments"]), default=state["seq"])
-        new["tombs"] = [t for t in state["tombs"] if t["seq"] > oldest]
-        self.versions.commit(number, new)
-        return new
-
-    def vacuum(self) -> None:
-        """Delete what neither of the two newest versions names."""
-        self.versions.forget()
-        kept = {x["name"] for n in self.folder.names() if n.startswith("version-") for k in ("segments", "tombs") for x in self.folder.read(n)[k]}
-        for name in self.folder.names():
-            if name.startswith(("segment-", "tombs-", "staged-")) and name not in kept:
-                self.folder.delete(name)
-
-    # what a query reads
-
-    def _folders(self, segment: dict, stems: list[str] | None) -> list[str]:
-        there = segment["bytes"]
-        wanted = there if stems is None else {str(zlib.crc32(s.encode()) % segment["modulus"]) for s in stems}
-        return [b for b in there if b in wanted]
-
-    def _read(self, state: dict, stems: list[str] | None) -> DataFrame:
-        """Postings with the seq of their segment, of some stems or all."""
-        schema = POSTINGS.format(state["key"])
-        parts = []
+    def _folders(self, segment: dict, stems: list[str]) -> list[str]:
+        wanted = {str(zlib.crc32(s.encode()) % segment["modulus"]) for s in stems}
+        return [b for b in segment["bytes"] if b in wanted]
+
+    def _read(self, state: dict, stems: list[str]) -> DataFrame:
+        """Postings of some stems, with the seq of their segment."""
+        schema, parts = POSTINGS.format(state["key"]), []
         for s in state["segments"]:
-            places = [self.folder.at(f"{s['name']}/postings/bucket={b}") for b in self._folders(s, stems)]
-            if places:
-                rows = self.spark.read.schema(schema.removesuffix(", seq int")).parquet(*places)
-                parts.append((rows if stems is None else rows.where(F.col("stem").isin(stems))).withColumn("seq", F.lit(s["seq"])))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+            if places := [self.folder.at(f"{s['name']}/postings/bucket={b}") for b in self._folders(s, stems)]:
+                parts.append(self.spark.read.schema(schema).parquet(*places).where(F.col("stem").isin(stems)).withColumn("seq", F.lit(s["seq"])))
+        return self.union(parts, f"{schema}, seq int")
 
     def cost(self, query: str, *, stemmed: bool = True) -> tuple[int, int]:
         """(bytes of the folders that a query reads, bytes of all postings)."""
@@ -205,11 +101,11 @@ class KeywordIndex:
     def search(self, query: str, limit: int, *, workspace_id: str, source_id: str | None = None, stemmed: bool = True) -> DataFrame:
         """(point_id, bm25, score): what ``lexical.keyword_search`` finds in the live points, from the postings of the query's terms alone."""
         phrases, state = lexical.parse_query(query, stemmed=stemmed), self.state()
-        if not phrases or not state["words"]:
+        if not phrases or not state["total"]:
             return self.spark.createDataFrame([], f"point_id {state['key']}, bm25 double, score double")
-        held = self._live(self._read(state, self._stems(phrases, stemmed)), state)
+        held = self.live(self._read(state, self._stems(phrases, stemmed)), state)
         if not stemmed:
             held = held.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
         found = held.select("point_id", "workspace_id", "source_id", "doc_len", F.col("stem" if stemmed else "term").alias("term"), F.explode("at").alias("pos"))
-        totals = self.spark.range(1).select(F.lit(state["n_docs"]).alias("n_docs"), F.lit(state["words"] / state["n_docs"]).alias("avg_len"))
+        totals = self.spark.range(1).select(F.lit(state["points"]).alias("n_docs"), F.lit(state["total"] / state["points"]).alias("avg_len"))
         return lexical._ranked(found, totals, phrases, limit, workspace_id, source_id)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import indexing, maintain, search
+from ..operators.cells import VectorIndex
 from ..operators.keywords import KeywordIndex
 from ..operators.maintain import Generations, Manifest
 from ..sources.embedding import embed
 from ..sources.folder import Folder, scratch
-from .corpus import index, query_vector
+from .corpus import index, query_vector, table
 from .more import DIFF, _observed, _registry
 from .queries import WORKSPACE, _bm25, _points, _rerank, query
 
@@ -79,3 +80,38 @@ def apply_inventory(spark, sf):
     store.activate(store.stage(embed(chunked(registry.where("status <> 'deleted'"), 0, 1), embedder), manifest))
     indexing.update(store, registry, observed, chunked(observed, 0, 2), manifest, 7.0, embedder=embedder)
     return store.live().select("point_id", "revision", F.col("embedding")[0].cast("double").alias("size"))
+
+
+# Vector index: every row whose id is divisible by 50 asks for its nearest among all rows.
+
+KNN = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS point_id, round(list_cosine_similarity(q.v, i.v), 6) AS raw FROM e q JOIN e i ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, point_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, point_id, raw FROM r WHERE rank <= 10"""
+
+
+def _vectors(spark: SparkSession, sf: str) -> VectorIndex:
+    def build(path: str) -> None:
+        points, kept = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").cast("string").alias("workspace_id"), "embedding"), VectorIndex(spark, path)
+        kept.fit(points)
+        kept.apply(points.withColumn("embedding", F.expr("CASE WHEN point_id % 7 = 0 THEN reverse(embedding) ELSE embedding END")))
+        kept.apply(points.where("point_id % 7 = 0"))
+        kept.tune()
+
+    return VectorIndex(spark, _kept(spark, sf, "vectors", build))
+
+
+def _knn(spark: SparkSession, sf: str, **how) -> DataFrame:
+    queries = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _vectors(spark, sf).search_all(queries, 10, **how)
+
+
+@query(KNN)
+def knn_cells_exact(spark, sf):
+    return _knn(spark, sf, exact=True)
+
+
+@query()
+def knn_cells(spark, sf):
+    """The cells that ``tune`` found enough for a recall of 0.95; held against the exact query in a test."""
+    return _knn(spark, sf)

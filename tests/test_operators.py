@@ -287,7 +287,7 @@ def test_embedding(spark):
 def test_top_k_skips_vectors_without_a_cosine(spark, size):
     r = random.Random(size)
     vectors = [[r.gauss(0, 1) for _ in range(size)] for _ in range(50)]
-    rows = list(enumerate(vectors)) + [(90, [0.0] * size), (91, None), (92, [1.0]), (93, [None] * size), (94, [1.0] * (size + 1))]
+    rows = list(enumerate(vectors)) + [(90, [0.0] * size), (91, None), (92, [1.0]), (93, [None] * size), (94, [1.0] * (size + 1)), (95, [float("nan")] * size), (96, [float("inf")] + [1.0] * (size - 1))]
     df = spark.createDataFrame(rows, "point_id int, embedding array<double>")
     length = lambda v: sum(x * x for x in v) ** 0.5
     query = vectors[7]
