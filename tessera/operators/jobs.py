@@ -36,6 +36,7 @@ def submit(jobs: DataFrame, requests: DataFrame, now: float, lease: float = LEAS
         F.when(again, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
         F.when(again, F.lit(now + lease)).otherwise(F.col("lease_expires_at")).alias("lease_expires_at"),
         F.when(again, F.lit("")).otherwise(F.col("error")).alias("error"),
+        *(F.when(again, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("holder", "result") if c in jobs.columns),
         "outcome",
     )
 
@@ -64,10 +65,12 @@ def renew(jobs: DataFrame, asked: DataFrame, now: float, lease: float = LEASE_SE
 
 
 def finish(jobs: DataFrame, ended: DataFrame, now: float) -> DataFrame:
-    """The table after jobs ended (job_id, error): without an error they succeeded; the lease is given back."""
-    last = ended.groupBy("job_id").agg(F.max(F.coalesce("error", F.lit(""))).alias("ended"))
+    """The table after jobs ended (job_id, error, and result if there is one): without an error they succeeded; the lease is given back."""
+    own = [F.max("result").alias("gave")] if "result" in ended.columns else []
+    last = ended.groupBy("job_id").agg(F.max(F.coalesce("error", F.lit(""))).alias("ended"), *own)
     rows, over = jobs.join(last, "job_id", "left"), F.col("ended").isNotNull()
     changed = {"status": F.when(F.col("ended") == "", "succeeded").otherwise("failed"), "error": F.col("ended"), "updated_at": F.lit(now), "lease_expires_at": F.lit(None)}
+    changed |= {"result": F.col("gave")} if own else {}
     return rows.select(*(F.when(over, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns))
 
 
