@@ -39,10 +39,11 @@ class PathPolicy:
     secret_suffixes: tuple[str, ...] = SECRET_SUFFIXES
     allowed_suffixes: tuple[str, ...] = ALLOWED_SUFFIXES
     max_bytes: int = MAX_FILE_BYTES
+    allow_symlinks: bool = False
 
     def extended(self, names: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> PathPolicy:
         """With further deny rules."""
-        return PathPolicy((*self.secret_names, *map(str.lower, names)), (*self.secret_suffixes, *map(str.lower, suffixes)), self.allowed_suffixes, self.max_bytes)
+        return PathPolicy((*self.secret_names, *map(str.lower, names)), (*self.secret_suffixes, *map(str.lower, suffixes)), self.allowed_suffixes, self.max_bytes, self.allow_symlinks)
 
 
 def normal(path: Column) -> Column:
