@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: A (source, size) may hold a third of all documents: ranks inside it are taken in so many parts.
 SALTS = 256
-STEPS, TOLERANCE, REPAIRS = 60, 1e-7, 6
+STEPS, TOLERANCE = 60, 1e-7
 
 
 def word_count(text: Column) -> Column:
@@ -92,6 +92,8 @@ def solve(strata: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
         state = state.drop("w", "s", "gap", "open")
         if not pending:
             break
+    else:
+        raise RuntimeError(f"sources are still off their targets after {STEPS} Newton steps")
     return strata.join(small(state), "src").select("src", "size", "n", F.when(F.col("target") > 0, rate).otherwise(0.0).alias("rate"))
 
 
@@ -103,7 +105,7 @@ def copies(rates: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
     upto = F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto).withColumn("more", F.least(F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("part") + 0.5), F.col("n")))
     rows = cut(rows.select("src", "size", "n", "base", F.greatest("more", F.lit(0)).cast("long").alias("more")))
-    for _ in range(REPAIRS):
+    while True:  # each round brings some source nearer to its target by a document at least, none further away
         taken = rows.groupBy("src").agg(F.sum((F.col("n") * F.col("base") + F.col("more")) * F.col("size")).alias("taken"))
         gaps = cut(sources.join(taken, "src").select("src", F.round(F.col("target") - F.col("taken")).cast("long").alias("gap")))
         room = F.when(F.col("gap") > 0, F.when(F.col("base") < most, F.col("n") - F.col("more")).otherwise(F.least(-F.col("more"), F.col("n")))).otherwise(
