@@ -684,6 +684,19 @@ def test_audit_counts_vectors_alike(spark):
     assert neardup.audit(vectors, links, whole, 0.97) == pytest.approx(34 / 90)
 
 
+def test_audit_sees_links_that_are_rare(spark):
+    """Ten pairs among 5,000 vectors: a sample of 20 of all meets none, one of those with a near neighbour does."""
+    own = np.random.default_rng(11)
+    rows = own.normal(size=(5000, 16))
+    rows[1:20:2] = rows[0:20:2] + 0.01
+    vectors = spark.createDataFrame([(0, i, r.tobytes()) for i, r in enumerate(rows)], "space int, node bigint, v binary")
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    whole = spark.createDataFrame([], "node bigint, component bigint")
+    near = spark.createDataFrame([(i,) for i in range(20)], "node bigint")
+    assert neardup.audit(vectors, empty, whole, 0.95, 20) == 1.0
+    assert neardup.audit(vectors, empty, whole, 0.95, 20, near) == 0.0
+
+
 def test_a_missed_recall_fails(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PLANTINGS", 1)
     df = spark.createDataFrame([(i, [1.0, i / 1000], 1) for i in range(5)], "vec_id bigint, embedding array<double>, label int")
