@@ -103,10 +103,6 @@ def redact(text: Column) -> Column:
     return text
 
 
-def clamp(text: Column, prefix: str = "", limit: int = 6000) -> Column:
-    return F.substring(F.concat(F.lit(prefix), text), 1, limit)
-
-
 def snippet(content: Column, chars: int = 160) -> Column:
     return strip(F.regexp_replace(F.substring(content, 1, chars), f"{SPACE}+", " "))
 

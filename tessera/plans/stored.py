@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import indexing, maintain, search
+from ..operators import building, indexing, maintain, search
 from ..operators.cells import VectorIndex
 from ..operators.keywords import KeywordIndex
 from ..operators.maintain import Generations, Manifest
 from ..sources.embedding import embed
 from ..sources.folder import Folder, scratch
-from .corpus import index, query_vector, table
+from .corpus import chunks, index, query_vector, table
 from .more import DIFF, _observed, _registry
 from .queries import WORKSPACE, _bm25, _points, _rerank, query
 
@@ -115,3 +115,15 @@ def knn_cells_exact(spark, sf):
 def knn_cells(spark, sf):
     """The cells that ``tune`` found enough for a recall of 0.95; held against the exact query in a test."""
     return _knn(spark, sf)
+
+
+# From texts to the rows of an index.
+
+
+@query()
+def build_chunks(spark, sf):
+    """All documents as files of four workspaces, those of the type lis with frontmatter; held against a plain version in a test."""
+    rows = chunks(spark, sf).withColumn("bucket", F.expr("CASE type WHEN 'documentation' THEN 'knowledge' WHEN 'lis' THEN 'lis' ELSE 'code' END"))
+    front = F.concat(F.lit("---\nid: LIS-"), F.col("doc_id").cast("string"), F.lit("\ntags: [a, b]\nstatus: draft\n---\n"))
+    text = F.when(F.col("type") == "lis", F.concat(front, F.col("content"))).otherwise(F.col("content"))
+    return building.build_chunks(rows.select("workspace_id", "source_id", "bucket", F.col("file").alias("identity"), text.alias("text"))).drop("imports", "governance")

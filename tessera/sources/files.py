@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -173,12 +172,3 @@ def document_slice(text: Column, start: int | None = None, end: int | None = Non
     body = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "")
     some = total > 0
     return F.struct(body.alias("content"), F.when(some, first).alias("start_line"), F.when(some, last).alias("end_line"), total.alias("total_lines"))
-
-
-def write_json(spark: SparkSession, path: str, content: dict) -> None:
-    """A status or manifest file, through Hadoop's file system."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    stream.write(bytearray(json.dumps(content, indent=2, sort_keys=True, ensure_ascii=False).encode()))
-    stream.close()

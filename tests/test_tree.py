@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import PathPolicy
-from tessera.sources import frontmatter, tree
+from tessera.sources import files, frontmatter, tree
 
 
 @pytest.fixture
@@ -116,3 +118,31 @@ def test_predicates_on_lists_and_nesting(spark):
     found = {r.k: (r.body, r.g.document_id, r.g.title, r.g.status, r.beta, r.team) for r in got.collect()}
     assert found["a"] == ("body\n", "LIS-7", "12", None, True, "core")
     assert {k: v for k, v in found.items() if k != "a"} == {"b": ("# none\n", None, None, None, False, None), "c": ("---\n- list\n---\nx", None, None, None, False, None), "d": (None, None, None, None, False, None), "e": ("---\nopen: 1\n", None, None, None, False, None)}
+
+
+def test_documents_that_are_no_text(spark):
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>två</w:t></w:r></w:p></w:body></w:document>')
+    rows = spark.createDataFrame([("/r/a.DOCX", packed.getvalue()), ("/r/b.md", "# é\xff".encode("latin-1"))], "path string, content binary")
+    got = {r.path: (r.text, r.adapter, r.media_type) for r in files.extract(rows).collect()}
+    assert got["/r/a.DOCX"] == ("one line\ntvå", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
+    assert got["/r/b.md"] == ("# \ufffd\ufffd", "markdown", "text/markdown")
+
+
+def test_pdf_needs_its_reader():
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="pypdf"):
+            files.pdf_text(b"%PDF")
+
+
+def test_workspace_manifests(spark):
+    one = {"schema_version": 1, "id": "w", "tags": ["t"], "roots": [{"id": "r", "path": "src", "include": ["**/*.py"]}], "relationships": [{"target": "v", "type": "depends_on"}]}
+    row = files.workspaces(spark, [one, {"schema_version": 1, "id": "v", "roots": [{"id": "r"}]}]).where("workspace_id = 'w'").first()
+    assert row.sources[0].id == "r" and row.sources[0].include == ["**/*.py"] and row.relationships[0].target == "v" and row.tags == ["t"]
+    for bad in ([one, one], [one | {"more": 1}], [one | {"schema_version": 2}], [one | {"roots": []}], [one | {"roots": [{"id": "a"}, {"id": "a"}]}]):
+        with pytest.raises(ValueError):
+            files.workspaces(spark, bad)
