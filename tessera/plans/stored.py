@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import building, indexing, maintain, search
+from ..operators import building, health, indexing, maintain, search
 from ..operators.cells import VectorIndex
 from ..operators.keywords import KeywordIndex
 from ..operators.maintain import Generations, Manifest
 from ..sources.embedding import embed
 from ..sources.folder import Folder, scratch
-from .corpus import chunks, index, query_vector, table
+from .corpus import CHUNKS, chunks, index, query_vector, table
 from .more import DIFF, _observed, _registry
 from .queries import WORKSPACE, _bm25, _points, _rerank, query
 
@@ -127,3 +127,9 @@ def build_chunks(spark, sf):
     front = F.concat(F.lit("---\nid: LIS-"), F.col("doc_id").cast("string"), F.lit("\ntags: [a, b]\nstatus: draft\n---\n"))
     text = F.when(F.col("type") == "lis", F.concat(front, F.col("content"))).otherwise(F.col("content"))
     return building.build_chunks(rows.select("workspace_id", "source_id", "bucket", F.col("file").alias("identity"), text.alias("text"))).drop("imports", "governance")
+
+
+@query(f"""WITH {CHUNKS} SELECT workspace_id, source_id, type, count(*) AS points, count(DISTINCT workspace_id || '/' || source_id || '/' || file) AS documents
+FROM chunks GROUP BY ROLLUP (workspace_id, source_id, type)""")
+def points_by_level(spark, sf):
+    return health.points_by(chunks(spark, sf).withColumn("document_id", F.col("file")))
