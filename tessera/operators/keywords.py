@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..functions.stem import porter
-from ..functions.text import word_list
+from ..functions.stem import known_stem, porter
+from ..functions.text import by_parts, word_list
 from . import lexical
 from .segments import Segmented
 
@@ -23,29 +23,17 @@ BUCKETS = ((0, 1), (500, 16), (20_000, 256))
 ENTRY = S.ArrayType(S.StructType([S.StructField("term", S.StringType()), S.StructField("stem", S.StringType()), S.StructField("at", S.ArrayType(S.IntegerType()))]))
 POSTINGS = "point_id {}, workspace_id string, source_id string, doc_len int, term string, stem string, at array<int>"
 
-_stems: dict[str, str] = {}
-
-
-def _stem(term: str) -> str:
-    """Stems that a worker has seen; the memory starts anew at 200,000 terms."""
-    found = _stems.get(term)
-    if found is None:
-        if len(_stems) >= 200_000:
-            _stems.clear()
-        found = _stems[term] = porter(term)
-    return found
-
-
 @F.arrow_udf(ENTRY)
 def entries(texts: pa.Array) -> pa.Array:
     """The distinct terms of each text with their stems and positions, in one pass by Arrow batches."""
-    out = []
-    for text in texts.to_pylist():
+
+    def one(text: str | None) -> list[dict]:
         at: dict[str, list[int]] = {}
         for i, w in enumerate(word_list(text)):
             at.setdefault(w, []).append(i)
-        out.append([{"term": w, "stem": _stem(w), "at": p} for w, p in at.items()])
-    return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("stem", pa.string()), ("at", pa.list_(pa.int32()))])))
+        return [{"term": w, "stem": known_stem(w), "at": p} for w, p in at.items()]
+
+    return by_parts(one, pa.list_(pa.struct([("term", pa.string()), ("stem", pa.string()), ("at", pa.list_(pa.int32()))])), texts)
 
 
 class KeywordIndex(Segmented):
@@ -108,4 +96,4 @@ class KeywordIndex(Segmented):
             held = held.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
         found = held.select("point_id", "workspace_id", "source_id", "doc_len", F.col("stem" if stemmed else "term").alias("term"), F.explode("at").alias("pos"))
         totals = self.spark.range(1).select(F.lit(state["points"]).alias("n_docs"), F.lit(state["total"] / state["points"]).alias("avg_len"))
-        return lexical._ranked(found, totals, phrases, limit, workspace_id, source_id)
+        return lexical._ranked(lexical._by_doc(found, phrases), totals, phrases, limit, workspace_id, source_id)

@@ -136,6 +136,30 @@ def test_keyword_search_agrees_with_sqlite(spark):
     assert [porter(w) for w in ("sky", "generalizations", "feed", "agreed", "falling", "rational")] == ["sky", "gener", "feed", "agre", "fall", "ration"]
 
 
+def test_places_of_terms_are_those_of_the_words(spark, monkeypatch):
+    """Words by passes over code points are the words of the pattern, in parts too; stems begin as their words do."""
+    texts = ["Ünïcode naïve e\u0301te\u0301 \u0301x", None, "", "ΟΔΟΣ οδος a_b  a-b", "İstanbul ²3 x\u0301\u0301y", "end", "begin the things thing's ponies", "日本 語 don't"]
+    monkeypatch.setattr(T, "PART", 20)
+    for some in (texts, texts[3:4], []):
+        points, first, end, own = T.word_spots(some)
+        found = [points[a:z].tobytes().decode("utf-32-le") for a, z in zip(first, end, strict=True)]
+        assert [found[a:z] for a, z in zip(own, own[1:], strict=False)] == [T.word_list(t) for t in some]
+    roots = ["rela", "hop", "gener", "sens", "anal", "trou", "cons", "bl", "visi", "tr", "agr", "fl", "yb", "s"]
+    ends = ["ational", "tional", "enci", "anci", "izer", "bli", "alli", "entli", "eli", "ousli", "ization", "ation", "ator", "alism", "iveness", "fulness", "ousness", "aliti", "iviti", "biliti", "icate", "ative", "alize", "ical", "ness", "ement", "able", "ing", "ed", "y", "s", "ies", "sses", "bly", "bilities", "logies", "ly", "eed", "ions", ""]
+    for w in {r + a + b for r in roots for a in ends for b in ends}:
+        shared = max(1, len(porter(w)) - lexical.CHANGED)
+        assert w[:shared] == porter(w)[:shared]
+
+
+def test_scores_that_are_equal_in_six_decimals_are_ties(spark):
+    """A word of most documents weighs so little that lengths show behind the sixth decimal only; the point decides."""
+    texts = {"1": "the sun", "2": "the", "3": "the sun and the moon", "4": "the", "5": "moon"}
+    docs = spark.createDataFrame([(k, "w", "s", t) for k, t in texts.items()], "point_id string, workspace_id string, source_id string, content string")
+    found = lexical.keyword_search(docs, "the", 3, workspace_id="w", stemmed=False).collect()
+    assert [r.point_id for r in found] == ["1", "2", "3"] and found[2].bm25 > found[0].bm25 > found[1].bm25
+    assert all(r.score == 1 / (1 + abs(round(r.bm25, 6))) for r in found)
+
+
 def test_filters_and_limits():
     for bad in (search.Filters(), search.Filters("w", scope="global"), search.Filters("w", scope="source"), search.Filters("w", doc_type="novel")):
         with pytest.raises(ValueError):
