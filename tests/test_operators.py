@@ -144,6 +144,8 @@ def test_places_of_terms_are_those_of_the_words(spark, monkeypatch):
         points, first, end, own = T.word_spots(some)
         found = [points[a:z].tobytes().decode("utf-32-le") for a, z in zip(first, end, strict=True)]
         assert [found[a:z] for a, z in zip(own, own[1:], strict=False)] == [T.word_list(t) for t in some]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.words(F.col("text")).alias("words")).collect()
+    assert [r.words for r in rows] == [T.word_list(r.text) for r in rows]
     roots = ["rela", "hop", "gener", "sens", "anal", "trou", "cons", "bl", "visi", "tr", "agr", "fl", "yb", "s"]
     ends = ["ational", "tional", "enci", "anci", "izer", "bli", "alli", "entli", "eli", "ousli", "ization", "ation", "ator", "alism", "iveness", "fulness", "ousness", "aliti", "iviti", "biliti", "icate", "ative", "alize", "ical", "ness", "ement", "able", "ing", "ed", "y", "s", "ies", "sses", "bly", "bilities", "logies", "ly", "eed", "ions", ""]
     for w in {r + a + b for r in roots for a in ends for b in ends}:
@@ -160,6 +162,25 @@ def test_scores_that_are_equal_in_six_decimals_are_ties(spark):
     assert all(r.score == 1 / (1 + abs(round(r.bm25, 6))) for r in found)
 
 
+def test_nearest_of_a_group_meet_in_blocks(spark, monkeypatch):
+    """Odd vectors have no neighbours, null groups meet nothing, and no row is made of each pair of a query and a row."""
+    r = random.Random(8)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(4 if i % 9 else 3)], None if i % 13 == 0 else f"g{i % 2}") for i in range(120)] + [(200, None, "g0"), (201, [None] * 4, "g0"), (202, [0.0] * 4, "g1")]
+    table = spark.createDataFrame(rows, "key bigint, embedding array<double>, group string")
+    asked = table.where("key % 10 = 0").select(F.col("key").alias("query_id"), F.col("embedding").alias("query_vector"), "group")
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    fine = [(k, v, g) for k, v, g in rows if v and None not in v and size(v) and g]
+    want = set()
+    for q, v, g in fine:
+        if q % 10 == 0:
+            near = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)) / size(v) / size(w), 6), k) for k, w, h in fine if h == g and len(w) == len(v))
+            want |= {(q, n, k, -c) for n, (c, k) in enumerate(near[:5], 1)}
+    found = search.nearest_per_group(asked, table, 5, group="group")
+    assert {tuple(x) for x in found.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    assert all(x.raw >= 0.9 for x in search.nearest_per_group(asked, table, 5, group="group", threshold=0.9).collect())
+
+
 def test_filters_and_limits():
     for bad in (search.Filters(), search.Filters("w", scope="global"), search.Filters("w", scope="source"), search.Filters("w", doc_type="novel")):
         with pytest.raises(ValueError):
