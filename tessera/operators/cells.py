@@ -16,36 +16,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .search import DIGITS, top_k
+from ..functions.vectors import matrix, unit
+from .search import BLOCK, SLICE, best, nearest_in_blocks, top_k
 from .segments import Segmented
 
-#: Most cells of an index; vectors that a fit reads at most (about); Lloyd steps; vectors and queries that one task compares at once.
-CELLS, FIT, STEPS, BLOCK = 4096, 2_000_000, 8, 2048
+#: Most cells of an index; vectors that a fit reads at most (about); Lloyd steps.
+CELLS, FIT, STEPS = 4096, 2_000_000, 8
 #: Queries of a recall measurement, and neighbours of each.
 ASKED, NEIGHBOURS = 200, 10
 VECTORS = "point_id {}, workspace_id string, vector array<double>, cell int, size int"
 
 
-def unit(vector: Column) -> Column:
-    """The vector with length 1, null where it has no direction."""
-    square = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))) & (square > 0) & (square < float("inf"))
-    return F.when(fine, F.transform(vector, lambda x: x.cast("double") / F.sqrt(square)))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-
-
 def _nearest(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centroids of each vector, nearest first, ties by number."""
-    return np.argsort(-np.round(vectors @ centroids.T, 12), axis=1, kind="stable")[:, :n]
+    n = min(n, len(centroids))
+    out = np.zeros((len(vectors), n), np.int64)
+    for at in range(0, len(vectors), SLICE):
+        near = np.round(vectors[at : at + SLICE] @ centroids.T, 12)
+        if n == 1:
+            out[at : at + SLICE, 0] = near.argmax(axis=1)
+            continue
+        some = np.nonzero(best(near, n))[1].reshape(-1, n)
+        order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+        out[at : at + SLICE] = np.take_along_axis(some, order, axis=1)
+    return out
 
 
 class VectorIndex(Segmented):
@@ -91,14 +89,14 @@ class VectorIndex(Segmented):
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros_like(centroids)
             for b in batches:
-                vectors = _matrix(b.column(0))
+                vectors = matrix(b.column(0))
                 if len(vectors):
                     np.add.at(sums, _nearest(vectors, centroids, 1)[:, 0], vectors)
             there = np.flatnonzero(sums.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(list(sums[there]), pa.list_(pa.float64()))], names=["cell", "sum"])
 
         def total(table: pa.Table) -> pa.Table:
-            return pa.table({"cell": table["cell"].slice(0, 1), "sum": pa.array([_matrix(table["sum"].combine_chunks()).sum(axis=0)], pa.list_(pa.float64()))})
+            return pa.table({"cell": table["cell"].slice(0, 1), "sum": pa.array([matrix(table["sum"].combine_chunks()).sum(axis=0)], pa.list_(pa.float64()))})
 
         kind = "cell int, sum array<double>"
         found = rows.select("vector").mapInArrow(partial, kind).groupBy("cell").applyInArrow(total, kind).collect()  # a row per cell
@@ -136,7 +134,7 @@ class VectorIndex(Segmented):
 
         @F.arrow_udf("int")
         def cell(vectors: pa.Array) -> pa.Array:
-            return pa.array(_nearest(_matrix(vectors), centroids, 1)[:, 0] if len(vectors) else [], pa.int32())
+            return pa.array(_nearest(matrix(vectors), centroids, 1)[:, 0] if len(vectors) else [], pa.int32())
 
         rows = one.where(fine).withColumn("cell", cell("vector")).withColumn("size", F.lit(1))
         return self.change(rows.select("point_id", "workspace_id", "vector", "cell", "size"), deletes, generation)
@@ -184,67 +182,56 @@ class VectorIndex(Segmented):
     def search_all(self, queries: DataFrame, k: int, *, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, rank, point_id, raw) for many queries (query_id, query_vector), each in its own probed cells.
 
-        Queries and vectors meet by cell, both dealt in blocks, so a cell that holds very much is compared by many tasks and
-        none holds more than BLOCK of each; a block gives at most k rows for each of its queries.
+        Queries meet runs of cells of about ``BLOCK`` vectors, with ``exact`` all vectors, both sides dealt in blocks: a cell that
+        holds very much is compared by many tasks, small ones together, and each block gives at most k rows for a query.
         """
         state, fitted, centroids = self.state(), self._fitted(), self.centroids()
-        many = len(centroids) if exact else probes or fitted["probes"]
+        many = probes or fitted["probes"]
+        run = max(1, BLOCK * len(centroids) // max(1, state["points"]))
 
         @F.arrow_udf("array<int>")
         def nearest(vectors: pa.Array) -> pa.Array:
-            return pa.array(list(_nearest(_matrix(vectors), centroids, many).astype(np.int32)) if len(vectors) else [], pa.list_(pa.int32()))
+            return pa.array(list(_nearest(matrix(vectors), centroids, many).astype(np.int32)) if len(vectors) else [], pa.list_(pa.int32()))
 
         asked = queries.select("query_id", unit(F.col("query_vector")).alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") == fitted["size"]))
-        asked = asked.withColumn("cell", F.explode(nearest("vector")))
-        rows = self.live(self._cells(state, None), state).select("cell", "point_id", "vector")
-        dealt = []
-        for side, key in ((asked, "query_id"), (rows, "point_id")):
-            blocks = side.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            dealt.append((side.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks"), blocks))
-        (asked, q), (rows, p) = dealt
-        asked = asked.join(p, "cell").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.col("own").alias("i"), F.col("other").alias("j"), "query_id", "vector")
-        rows = rows.join(q, "cell").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.col("other").alias("i"), F.col("own").alias("j"), "point_id", "vector")
-        kinds = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(rows.schema["point_id"].dataType), pa.float64()]
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table([pa.array([], t) for t in kinds], names=["query_id", "point_id", "raw"])
-            right = right.sort_by("point_id")
-            raw = np.round(_matrix(left["vector"].combine_chunks()) @ _matrix(right["vector"].combine_chunks()).T, DIGITS)
-            chosen = np.ones(raw.shape, bool)
-            if raw.shape[1] > k:  # what is above the k-th, and of those that tie with it as many as there is room for, by key
-                least = -np.partition(-raw, k - 1, axis=1)[:, k - 1 : k]
-                above, tied = raw > least, raw == least
-                chosen = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-            a, b = np.nonzero(chosen)
-            return pa.table([left["query_id"].combine_chunks().take(pa.array(a)), right["point_id"].combine_chunks().take(pa.array(b)), pa.array(raw[a, b])], names=["query_id", "point_id", "raw"])
-
-        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, point_id {state['key']}, raw double"
-        on = ("cell", "i", "j")
-        met = asked.groupBy(*on).cogroup(rows.groupBy(*on)).applyInArrow(meet, schema)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc(), "point_id"))
-        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "raw")
+        rows = self.live(self._cells(state, None), state).select("cell", F.col("point_id").alias("key"), "vector")
+        if exact:
+            asked, rows = (x.withColumn("run", F.lit(0)) for x in (asked, rows.drop("cell")))
+        else:
+            of = lambda c: F.floor(c / F.lit(run)).cast("int")
+            asked = asked.withColumn("cells", nearest("vector")).withColumn("run", F.explode(F.array_distinct(F.transform("cells", of))))
+            asked = asked.withColumn("cells", F.filter("cells", lambda c: of(c) == F.col("run")))
+            rows = rows.withColumn("run", of(F.col("cell")))
+        met = nearest_in_blocks(asked, rows, k, ["run"], BLOCK)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc(), "key"))
+        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias("point_id"), "raw")
 
     def recall(self, probes: int | None = None, *, k: int = NEIGHBOURS, asked: int = ASKED) -> float:
         """The share of the k nearest points that are found, for about ``asked`` indexed vectors, chosen by a hash of their key, against all rows."""
-        state = self.state()
-        if not state["points"]:
-            return 1.0
+        return self._recall(probes, k, self._truth(k, asked)) if self.state()["points"] else 1.0
+
+    def _truth(self, k: int, asked: int) -> tuple[DataFrame, DataFrame]:
+        """(queries, the worst of the k nearest points of each and their number), written, as each measurement reads them."""
+        state, number = self.state(), self.versions.latest()[0]
         share = min(1.0, 1.2 * asked / state["points"])
         rows = self.live(self._cells(state, None), state).select(F.col("point_id").alias("query_id"), F.col("vector").alias("query_vector"))
-        chosen = self.folder.table(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < int(1_000_000 * share)), f"asked-{self.versions.latest()[0]}", mode="overwrite")
-        want = self.search_all(chosen, k, exact=True).withColumnRenamed("raw", "want")
+        chosen = self.folder.table(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < int(1_000_000 * share)), f"asked-{number}", mode="overwrite")
+        want = self.search_all(chosen, k, exact=True)
+        return chosen, self.folder.table(want.groupBy("query_id").agg(F.min("raw").alias("least"), F.count("*").alias("n")), f"worst-{number}", mode="overwrite")
+
+    def _recall(self, probes: int | None, k: int, truth: tuple[DataFrame, DataFrame]) -> float:
+        chosen, worst = truth
         # a point that ties with the last one counts as found
-        worst = want.groupBy("query_id").agg(F.min("want").alias("least"), F.count("*").alias("n"))
         found = self.search_all(chosen, k, probes=probes).join(worst, "query_id").where("raw >= least").count()
         return found / max(1, worst.agg(F.sum("n")).first()[0] or 1)
 
-    def tune(self, target: float = 0.95, **measure) -> tuple[int, float]:
+    def tune(self, target: float = 0.95, *, k: int = NEIGHBOURS, asked: int = ASKED) -> tuple[int, float]:
         """(probes, recall): the least of 1, 2, 4, ... probes that reach the target; searches use it from now on."""
         fitted, probes = self._fitted(), 1
+        truth = self._truth(k, asked) if self.state()["points"] else None
         while True:
             probes = min(probes, fitted["cells"])
-            got = self.recall(probes, **measure)
+            got = self._recall(probes, k, truth) if truth else 1.0
             if got >= target or probes == fitted["cells"]:
                 self.folder.write("fit.json", dict(fitted, probes=probes, recall=got))
                 return probes, got
