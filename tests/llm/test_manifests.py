@@ -339,6 +339,17 @@ def test_files_of_odd_rows(spark, model, monkeypatch, tmp_path):
     assert all(r.ids_crc32 == crc(r.ids) and r.n_tokens == len(r.ids) for r in found)
 
 
+def test_files_are_frames_or_compact(spark, model, tmp_path, monkeypatch):
+    """The range coder runs only where it is asked for; both kinds of files say the same."""
+    table = spark.createDataFrame([*enumerate(TEXTS), (60, "w " * 30_000)], "doc_id bigint, text string").coalesce(1)
+    ask = lambda **how: tokenfiles.read_ids(tokenfiles.write_ids(table, model, end=2, **how), ids=True)
+    made = {c: ask(folder=str(tmp_path / f"ids{c}"), compact=c).collect() for c in (False, True)}
+    assert bag((*r[:4], tuple(r.ids)) for r in made[False]) == bag((*r[:4], tuple(r.ids)) for r in made[True])
+    for c, rows in made.items():
+        for f in (tmp_path / f"ids{c}").glob("*.ids"):
+            assert f.read_bytes()[:8] == (tokenfiles.COMPACT if c else tokenfiles.MAGIC)
+
+
 def test_no_documents_no_files(nothing, model):
     written = tokenfiles.write_ids(nothing, model, end=2)
     assert written.collect() == [] and tokenfiles.read_ids(written).collect() == []
