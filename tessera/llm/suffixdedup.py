@@ -48,7 +48,7 @@ PARTS = 4
 #: Contexts of crowded anchors (of some 40 bytes each) up to which their places are broadcast, which saves a shuffle of the texts.
 FEW = 500_000
 #: Contexts of one index, at least; contexts that are cut out at a time; bytes of one pass over texts.
-CHUNK, CUT, SLICE = 8192, 1024, 1 << 20
+CHUNK, CUT, SLICE = 8192, 1024, 1 << 18
 ROW_KEY = "struct<a:bigint,b:bigint>"
 MARK = "unit tinyint, h bigint, ctx bigint, begin int, end int"
 BYTES, WORDS = 0, 1
