@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import parts
 from . import pretokens
 
 #: Pre-tokens of more bytes are contracted with a priority queue.
@@ -199,7 +200,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value, long_word)
-        for batch in batches:
+        for batch in (b.slice(at, to - at) for b in batches for at, to in parts(b.column(1))):  # Python's texts of one part at a time
             n, a, b, ids, plain = [], [], [], [], []
             for count, joined, decoded in own.documents(batch.column(1).to_pylist()):
                 n.append(count)

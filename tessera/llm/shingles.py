@@ -9,7 +9,7 @@ from .pretokens import mix, powers
 
 WIDTH = 5
 #: Bytes that one pass takes; texts are cut at separators, so a pass never splits a word.
-SLICE = 1 << 21
+SLICE = 1 << 18
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(SEPARATORS)] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
