@@ -60,8 +60,9 @@ f AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(CASE
 SELECT doc_id, 'hybrid' AS search_mode, round(rrf, 9) AS score FROM f ORDER BY rrf DESC, first LIMIT 8""")
 def search_hybrid_mode(spark, sf):
     """The verb ``search`` in its hybrid mode, whose keyword arm reads the kept index."""
-    rows = index(spark, sf).where(f"NOT ({DELETED}) OR {CHANGED}").withColumn("point_id", F.col("doc_id").cast("string"))
-    found = search.search(rows, "req-3 the tion", query_vector(spark, sf), WORKSPACE, "hybrid", limit=8, stemmed=False, keywords=_keywords(spark, sf))
+    live = f"NOT ({DELETED}) OR {CHANGED}"
+    rows = index(spark, sf).where(live).withColumn("point_id", F.col("doc_id").cast("string"))
+    found = search.search(rows, "req-3 the tion", query_vector(spark, sf), WORKSPACE, "hybrid", limit=8, stemmed=False, keywords=_keywords(spark, sf), texts=_points(spark, sf).where(live))
     return found.select(F.col("point_id").cast("bigint").alias("doc_id"), "search_mode", F.round("score", 9).alias("score"))
 
 
