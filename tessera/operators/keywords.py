@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions.stem import known_stem, porter
-from ..functions.text import by_parts, word_list
+from ..functions.text import parts, word_spots
 from . import lexical
 from .segments import Segmented
 
@@ -22,18 +23,62 @@ from .segments import Segmented
 BUCKETS = ((0, 1), (500, 16), (20_000, 256))
 ENTRY = S.ArrayType(S.StructType([S.StructField("term", S.StringType()), S.StructField("stem", S.StringType()), S.StructField("at", S.ArrayType(S.IntegerType()))]))
 POSTINGS = "point_id {}, workspace_id string, source_id string, doc_len int, term string, stem string, at array<int>"
+#: The base of the hash of words, and its inverse.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
 
 @F.arrow_udf(ENTRY)
 def entries(texts: pa.Array) -> pa.Array:
     """The distinct terms of each text with their stems and positions, in one pass by Arrow batches."""
 
-    def one(text: str | None) -> list[dict]:
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(word_list(text)):
-            at.setdefault(w, []).append(i)
-        return [{"term": w, "stem": known_stem(w), "at": p} for w, p in at.items()]
-
-    return by_parts(one, pa.list_(pa.struct([("term", pa.string()), ("stem", pa.string()), ("at", pa.list_(pa.int32()))])), texts)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("stem", pa.string()), ("at", pa.list_(pa.int32()))]))
+    return pa.concat_arrays([pa.array([], kind), *(_entries(texts.slice(a, z - a).to_pylist(), kind) for a, z in parts(texts))])
+
+
+def _entries(texts: list[str | None], kind: pa.DataType) -> pa.Array:
+    """``entries`` of some texts, by sorting the numbers of their words; each distinct word is a Python object once."""
+    points, first, end, own = word_spots(texts)
+    words, which = _distinct(points, first, end)
+    doc = np.repeat(np.arange(len(texts)), np.diff(own))
+    _, begin, group, times = np.unique(doc * max(1, len(words)) + which, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(begin)  # by text, and in a text by the first place
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    spots = np.argsort(place[group], kind="stable")
+    at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times[order])]), pa.int32()), pa.array((spots - own[doc[spots]]).astype(np.int32)))
+    named = pa.array(which[begin[order]], pa.int64())
+    columns = [pa.array(words, pa.string()).take(named), pa.array([known_stem(w) for w in words], pa.string()).take(named), at]
+    rows = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin[order], own), pa.int32()), rows).cast(kind)
+
+
+def _distinct(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and which of them each word is. Words of one hash are compared; if any differ, Python tells them apart."""
+    size = end - first
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_mixed(points.astype(np.uint64)) * _powers(len(points), _STEP), out=sums[1:])
+    code = _mixed((sums[end] - sums[first]) * _powers(len(points) + 1, _BACK)[first]) ^ size.astype(np.uint64)
+    _, chosen, which = np.unique(code, return_index=True, return_inverse=True)
+    every = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    like = chosen[which]
+    if (size == size[like]).all() and (points[every + np.repeat(first, size)] == points[every + np.repeat(first[like], size)]).all():
+        return [points[a:z].tobytes().decode("utf-32-le") for a, z in zip(first[chosen].tolist(), end[chosen].tolist(), strict=True)], which
+    known: dict[str, int] = {}
+    which = [known.setdefault(points[a:z].tobytes().decode("utf-32-le"), len(known)) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
+    return list(known), np.array(which, np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first n powers modulo 2**64."""
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
 class KeywordIndex(Segmented):
