@@ -103,7 +103,7 @@ class KeywordIndex(Segmented):
         bucket = F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(buckets)).cast("int")
         dealt = rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem", "point_id")
         dealt.write.partitionBy("bucket").parquet(self.folder.at(f"{name}/postings"))
-        staged.select("point_id", "workspace_id", "source_id", "doc_len", "entries").write.parquet(self.folder.at(f"{name}/rows"))
+        self.keep(staged, f"{name}/rows")
         return {"modulus": buckets, "bytes": self.sizes(f"{name}/postings", "bucket")}
 
     def held(self, state: dict) -> DataFrame:

@@ -54,6 +54,13 @@ class Segmented:
     def union(self, parts: list[DataFrame], schema: str) -> DataFrame:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
+    def keep(self, staged: DataFrame, place: str) -> None:
+        """Make ``staged`` the table ``place``, as the last thing that is done with it: what a change has staged is moved, not written again."""
+        if aside := getattr(staged, "tessera_aside", None):
+            self.folder.move(aside, place)
+        else:
+            staged.write.parquet(self.folder.at(place))
+
     def sizes(self, place: str, column: str) -> dict[str, int]:
         """Bytes of each folder column=value."""
         found = [n for n in self.folder.names(place) if n.startswith(f"{column}=")]
@@ -82,6 +89,7 @@ class Segmented:
         aside = f"staged-{uuid.uuid4().hex}"
         try:
             staged = self.folder.table(rows, aside)
+            staged.tessera_aside = aside
             gone = staged.select("point_id")
             gone = gone if deletes is None else gone.union(deletes.select("point_id"))
             mark = f"tombs-{uuid.uuid4().hex}"

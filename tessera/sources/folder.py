@@ -40,6 +40,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self.system.delete(self.java.Path(self.at(name)), True)
 
+    def move(self, name: str, to: str) -> None:
+        if not self.system.rename(self.java.Path(self.at(name)), self.java.Path(self.at(to))):
+            raise OSError(f"{self.at(name)} can't be moved to {self.at(to)}")
+
     def read(self, name: str) -> dict | None:
         path = self.java.Path(self.at(name))
         if not self.system.exists(path):

@@ -30,3 +30,13 @@ def test_entries_stem_a_word_of_many_texts_once(monkeypatch):
 def test_entries_where_hashes_clash(monkeypatch):
     monkeypatch.setattr(keywords, "_mixed", lambda x: np.zeros_like(x))
     assert keywords.entries.func(pa.array(TEXTS)).to_pylist() == [_plain(t) for t in TEXTS]
+
+
+def test_staged_rows_are_moved_into_their_segment(spark, tmp_path, monkeypatch):
+    moved = []
+    monkeypatch.setattr(keywords.KeywordIndex, "keep", lambda self, staged, place, keep=keywords.KeywordIndex.keep: moved.append(staged.tessera_aside) or keep(self, staged, place))
+    kept = keywords.KeywordIndex(spark, str(tmp_path / "k"))
+    kept.apply(spark.createDataFrame([("1", "w", "s", "alpha beta"), ("2", "w", "s", "beta")], "point_id string, workspace_id string, source_id string, content string"))
+    assert len(moved) == 1 and not kept.folder.exists(moved[0])
+    assert {r.point_id for r in kept.held(kept.state()).collect()} == {"1", "2"}
+    assert {r.point_id for r in kept.search("beta", 5, workspace_id="w").collect()} == {"1", "2"}
