@@ -45,6 +45,20 @@ def test_query(spark, data, duck, name):
         assert found.num_rows > 0 or name in EMPTY
 
 
+#: Texts whose lines are odd: none, empty ones at either end, other ends of lines than a line feed.
+LINES = [None, "", "a", "a\n", "a\n\n", "a\nb", "a\nb\n", "a\nb\nc\nd", "a\n\n\nb", "\n", "\n\n", "\nx", "\na\na", "a\r\nb\r\nc\r\n", "a\rb\rc", "x\n\r\n", "\r\n\r\n", "a\nb\x0bc\u2028d\x85e\nf", "a\x00\nb", "é\n\ud55c\n", " \n \n "]
+
+
+@pytest.mark.parametrize("name", ["line_ranges"])
+def test_odd_lines(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame(list(enumerate(LINES)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows(queries.QUERIES[name](spark, str(tmp_path)).toArrow()) == rows(con.sql(queries.ORACLE[name]).to_arrow_table())
+
+
 def test_entry_works_without_the_training_data_operators(spark):
     import __spark_entry__
 
