@@ -163,12 +163,15 @@ def lis_fields(meta: Column) -> Column:
     return F.struct(F.coalesce(value("id"), value("document_id")).alias("document_id"), *(value(k).alias(k) for k in LIS_FIELDS))
 
 
-def document_slice(text: Column, start: int | None = None, end: int | None = None) -> Column:
-    """struct(content, start_line, end_line, total_lines): an inclusive range of lines, clamped, with their ends."""
-    lines = F.filter(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), lambda x: x != "")
+def document_slice(text: Column, start: int | None = None, end: int | None = None, *, feeds: bool = False) -> Column:
+    """struct(content, start_line, end_line, total_lines): an inclusive range of lines, clamped, with their ends.
+
+    With ``feeds`` a line feed alone parts lines: what follows the last one is a line too, and contents end without one of their own.
+    """
+    lines = F.split(text, "\n") if feeds else F.filter(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), lambda x: x != "")
     total = F.size(lines)
     first = F.least(F.greatest(F.lit(start or 1), F.lit(1)), total + 1)
     last = F.least(F.greatest(F.lit(end) if end is not None else total, F.lit(0)), total)
-    body = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "")
+    body = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n" if feeds else "")
     some = total > 0
     return F.struct(body.alias("content"), F.when(some, first).alias("start_line"), F.when(some, last).alias("end_line"), total.alias("total_lines"))

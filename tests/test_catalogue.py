@@ -49,7 +49,7 @@ def test_query(spark, data, duck, name):
 LINES = [None, "", "a", "a\n", "a\n\n", "a\nb", "a\nb\n", "a\nb\nc\nd", "a\n\n\nb", "\n", "\n\n", "\nx", "\na\na", "a\r\nb\r\nc\r\n", "a\rb\rc", "x\n\r\n", "\r\n\r\n", "a\nb\x0bc\u2028d\x85e\nf", "a\x00\nb", "é\n\ud55c\n", " \n \n "]
 
 
-@pytest.mark.parametrize("name", ["line_ranges"])
+@pytest.mark.parametrize("name", ["line_ranges", "document_slice"])
 def test_odd_lines(spark, tmp_path, name):
     import duckdb
 
