@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import zlib
 
@@ -320,6 +321,35 @@ def test_words_that_are_forgotten_are_encoded_again(model, monkeypatch):
         assert tokenfiles.ids_of(pa.array(texts), model, None)[0].tolist() == [i for w in ids_of_texts(texts, None) for i in w]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aSLÉé×÷ÿß'|<>.,-9²İΣſÅå한 \n\x1c\x85\u0301\u212b"), max_size=12) | st.sampled_from(["don't", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>y.", "H\u0331", "A\u030a"]), min_size=1, max_size=8))
+def test_words_cut_at_signs_have_the_ids_of_the_library(model, texts):
+    ids, counts = tokenfiles.ids_of(pa.array(texts), model, 2)
+    want = ids_of_texts(texts)
+    assert tokenfiles.Words.of(model).fine and counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_model_with_other_steps_has_its_words_whole(model, monkeypatch):
+    from tokenizers import Tokenizer
+
+    other = json.loads(model)
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    other = json.dumps(other)
+    monkeypatch.setattr(tokenfiles.Words, "held", None)
+    ids, _ = tokenfiles.ids_of(pa.array(["don't stop, now.É", None, "A1"]), other, None)
+    assert not tokenfiles.Words.of(other).fine
+    assert ids.tolist() == [i for t in ("don't stop, now.É", "A1") for i in Tokenizer.from_str(other).encode(t, add_special_tokens=False).ids]
+
+
+def test_the_query_codes_its_ids_by_the_range_coder(spark, data, monkeypatch):
+    made, write = [], tokenfiles.write_ids
+    monkeypatch.setattr(tokenfiles, "write_ids", lambda *a, **k: made.append(write(*a, **k)) or made[-1])
+    queries.token_id_files(spark, data)
+    for row in made[0].collect():
+        with open(row.file.removeprefix("file://"), "rb") as f:
+            assert f.read(8) == tokenfiles.COMPACT
+
+
 def test_files_of_the_table(spark, data, documents):
     found = queries.token_id_files(spark, data)
     assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
